@@ -12,6 +12,7 @@ no rows; repeated rows are packed once each; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections import Counter
@@ -32,29 +33,78 @@ class Encoder:
     """Token ids of texts, word by word, with a bounded memory of words.
 
     No token of this kind of vocabulary spans white space, so a text's ids are its words' ids in turn.
+    Letters and the full stops and commas after them are pieces of their own too, and ASCII letters are
+    lower-cased, so words that differ in these only are encoded once.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 500_000) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that only end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end_id, self.limit = end_id, limit
         self._reset()
 
     def _reset(self) -> None:
         self.words = WordIds()
         self.words[b" end"] = 0  # no word has a space: this one stands for the end id
+        self.cores: dict[bytes, tuple[int, int]] = {}  # place in ids, size
         self.ids = np.array([self.end_id], np.uint32)
         self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
 
+    def _encode(self, words: list[bytes], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in turn, ids of each). Words of letters go many to a call, told apart by the ids that end one."""
+        if letters:
+            text = b" ".join(words).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        parts: list[tuple[bytes, bytes]] = []
+        new: dict[bytes, bool] = {}  # letters only?
+        cores = self.cores
+        for w in fresh:
+            core = w.rstrip(b".,")
+            tail = w[len(core) :]
+            letters = core.isalpha()  # bytes: ASCII letters only
+            if letters:
+                core = core.lower()
+            elif core and core.decode().isalpha():
+                letters = True
+            else:
+                core, tail = w, b""
+            parts.append((core, tail))
+            if core not in cores:
+                new[core] = letters
+            if tail and tail not in cores:
+                new[tail] = False
+        known, at = [self.ids], len(self.ids)
+        for letters in (True, False):
+            some = [w for w, x in new.items() if x == letters]
+            for i in range(0, len(some), 4000):
+                ids, size = self._encode(some[i : i + 4000], letters)
+                starts = at + np.cumsum(size) - size
+                cores.update(zip(some[i : i + 4000], zip(starts.tolist(), size.tolist(), strict=True), strict=True))
+                at += len(ids)
+                known.append(ids)
+        known = np.concatenate(known)
+        first = np.array([self.cores[c] for c, _ in parts], np.int64).reshape(-1, 2)
+        second = np.array([self.cores[t] if t else (0, 0) for _, t in parts], np.int64).reshape(-1, 2)
+        size = first[:, 1] + second[:, 1]
+        ends = np.cumsum(size)
+        where = np.repeat(first[:, 0] - ends + size, size) + np.arange(ends[-1])
+        tails = np.repeat(second[:, 0] - ends + second[:, 1], size) + np.arange(ends[-1])
+        inside = np.arange(ends[-1]) - np.repeat(ends - size, size) < np.repeat(first[:, 1], size)
+        self.start = np.concatenate([self.start, len(known) + ends - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([known, known[np.where(inside, where, tails)]])
 
     def batch(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
@@ -75,6 +125,12 @@ class Encoder:
         return np.split(ids, after[np.array(ends, np.int64) - 1])[:-1] if ends else []
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(tokenizer_json: str, end_id: int) -> Encoder:
+    """A Python worker's encoder: its memory of words serves the worker's next tasks too."""
+    return Encoder(tokenizer_json, end_id)
+
+
 def token_pieces(docs: DataFrame, tokenizer_json: str, sequence_length: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece of at most `sequence_length` tokens of every document (doc_id, text)."""
 
@@ -82,10 +138,10 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, sequence_length: int = 20
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer_json, end_id)
+        own = encoder(tokenizer_json, end_id)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.batch(texts(batch["text"])), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.batch(texts(batch["text"])), strict=True):
                 for piece, start in enumerate(range(0, len(ids), sequence_length)):
                     part = ids[start : start + sequence_length]
                     out.append((doc_id, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
