@@ -1,15 +1,67 @@
-"""Corpus pipeline over the table documents (stages follow)."""
+"""Corpus pipeline: from the table documents to packed training sequences.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
+is written and read again as the next one's docs. All but the last return the columns of docs.
+
+1. quality: rows that the pairwise ranking, fitted on all of labels, puts below its threshold go.
+2. near_duplicates: of each group of five-word shingle sets linked at 0.8 or more, the row of
+   smallest doc_id stays (one row, if it is repeated); rows without a doc_id or words stay.
+3. secrets: spans found are replaced by their kind; n_chars follows.
+4. mix: every row as often as the source targets take it (0 to 3 times).
+5. packing: pieces of at most 2048 tokens with their sequence and offset.
+
+SQL can't express tokens, the ranking or the cube method, so ORACLE_SQL is None.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilscan.llm import jaccard, mixing, packing, quality, secrets
+from veilscan.llm._common import materialise, table
+from veilscan.llm.queries import SEQUENCE_LENGTH, tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranker = quality.train_on(docs, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, ranker)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.Join(k=5, num=80, den=100).run(docs)
+    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    one = docs.join(heads, "doc_id", "left_semi").withColumn("row_", F.row_number().over(order)).filter("row_ = 1").drop("row_")
+    return one.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path(), SEQUENCE_LENGTH)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secrets", secret_stage),
+    ("mix", mixing_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialise(docs)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import fingerprints, html_text, jaccard, lines, mixing, packing, quality, secrets, toxicity
+from veilscan.llm import fingerprints, html_text, jaccard, lines, mixing, packing, quality, secrets, substrings, toxicity
 from veilscan.llm._common import table
 
 SEQUENCE_LENGTH = 2048
@@ -23,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_LENGTH)
 
 
+def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.Repeats(window=50).run(table(spark, sf_dir, "documents"))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     return lines.line_rules(table(spark, sf_dir, "documents")).select(*names)

@@ -17,11 +17,12 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import map_batches, texts
+from veilscan.llm._common import map_batches, set_batches, texts
 
 # The base kinds' expressions.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -133,3 +134,16 @@ def scan(docs: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "masked"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCANNED)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """`docs` with every span of text replaced by its kind, and n_chars (if there) to match; a null text stays."""
+
+    @F.pandas_udf("string")
+    def masked(text: pd.Series) -> pd.Series:
+        words = automaton()
+        return text.map(lambda t: None if t is None else mask(t, spans(t, words)))
+
+    set_batches(docs.sparkSession)
+    out = docs.withColumn("text", masked(F.col("text").cast("string")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
