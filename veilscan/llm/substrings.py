@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import WordHashes, map_batches, materialise, mix64, texts
+from veilscan.llm._common import map_batches, materialise, mix64, texts
+from veilscan.llm._words import word_hashes
 
 PARSED = "doc_id long, n_words long, hi long, lo long, sha binary, anchors array<struct<symbol:long,first:int,last:int>>"
 ROUNDS = 14
@@ -137,8 +138,9 @@ def window_hashes(words: np.ndarray, window: int, seed: int) -> np.ndarray:
     return out
 
 
-def digests(docs: list[list[bytes]]) -> list[bytes]:
-    return [b" ".join(ws) for ws in docs]
+def joined(raw: bytes) -> bytes:
+    """The words of a text with one space between them."""
+    return b" ".join(raw.split())
 
 
 class Repeats:
@@ -152,11 +154,10 @@ class Repeats:
         window = self.window
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
-                docs_ = [t.encode().split() for t in texts(batch["text"])]
-                whole = digests(docs_)
-                values, counts = hashes.batch(docs_)
+                raw = [t.encode() for t in texts(batch["text"])]
+                whole = [joined(t) for t in raw]
+                values, counts = word_hashes(raw)
                 words, fence, begin = fenced(values, counts)
                 windows = np.maximum(counts - window + 1, 0)
                 ends = np.cumsum(windows)
@@ -184,14 +185,13 @@ class Repeats:
         window = self.window
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
-                docs_ = [t.encode().split() for t in texts(batch["text"])]
-                values, counts = hashes.batch(docs_)
+                raw = [t.encode() for t in texts(batch["text"])]
+                values, counts = word_hashes(raw)
                 words, _, begin = fenced(values, counts)
                 h, check = window_hashes(words, window, 1), window_hashes(words, window, 2)
                 for i, (doc_id, mark, hi, ranges) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "hi", "ranges")), strict=True)):
-                    if np.frombuffer(xxhash.xxh128_digest(b" ".join(docs_[i])), np.int64)[0] != hi:
+                    if np.frombuffer(xxhash.xxh128_digest(joined(raw[i])), np.int64)[0] != hi:
                         continue  # another text under the same doc_id
                     at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges]) + begin[i]
                     _, once = np.unique(h[at], return_index=True)
@@ -208,15 +208,14 @@ class Repeats:
         window = self.window
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
-                docs_ = [t.encode().split() for t in texts(batch["text"])]
-                values, counts = hashes.batch(docs_)
+                raw = [t.encode() for t in texts(batch["text"])]
+                values, counts = word_hashes(raw)
                 words, _, begin = fenced(values, counts)
                 h = window_hashes(words, window, 1)
                 cols: list[list] = [[], [], [], []]
                 for i, (doc_id, mark, hi, gone) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "hi", "gone")), strict=True)):
-                    if np.frombuffer(xxhash.xxh128_digest(b" ".join(docs_[i])), np.int64)[0] != hi:
+                    if np.frombuffer(xxhash.xxh128_digest(joined(raw[i])), np.int64)[0] != hi:
                         continue
                     own = h[begin[i] : begin[i] + max(0, counts[i] - window + 1)]
                     hit = np.isin(own, np.array(gone, np.int64).view(np.uint64))
@@ -224,7 +223,7 @@ class Repeats:
                     change[: len(own)] += hit
                     change[window : window + len(own)] -= hit
                     stay = np.cumsum(change)[:-1] == 0
-                    left = b" ".join([w for w, s in zip(docs_[i], stay.tolist(), strict=True) if s])
+                    left = b" ".join([w for w, s in zip(raw[i].split(), stay.tolist(), strict=True) if s])
                     for c, x in zip(cols, (doc_id, mark, left.decode(), int(counts[i] - stay.sum())), strict=True):
                         c.append(x)
                 kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64()]
