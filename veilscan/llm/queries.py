@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import fingerprints, html_text, jaccard, lines, mixing, packing, quality, secrets, substrings, toxicity
+from veilscan.llm import fingerprints, html_text, jaccard, lines, mixing, packing, quality, secrets, sql, substrings, toxicity
 from veilscan.llm._common import table
 
 SEQUENCE_LENGTH = 2048
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
