@@ -69,3 +69,12 @@ def test_plants_keep_every_row(spark):
     rows = docs(spark, ["banana banana"] * 20)
     assert plant.plant_text(rows).count() == 20
     assert S.verdict(S.scan(plant.plant_text(rows))).filter("hiding").count() == 2
+
+
+def test_written_tables_are_cleared(spark):
+    from veilscan.sources.tables import clear_scratch, materialise
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    assert materialise(spark.range(5)).count() == 5
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+    assert clear_scratch(spark) >= 1 and clear_scratch(spark) == 0

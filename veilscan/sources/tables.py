@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 TEXT_TABLES = {"documents": (("doc_id",), "text"), "pages": (("page_id",), "html"), "conversations": (("conv_id", "turn"), "text")}
 
 
+#: How the names of written tables begin.
+SCRATCH = "veilscan-"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -46,8 +50,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+# Spark then drops an execution's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/veilscan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Parquet rather than checkpoint(): later readers prune columns, and it is compressed. The shuffle
+    files behind it go at once, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{SCRATCH}{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the written tables of this library in the shared folder; call it when no result that reads them is in use."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{SCRATCH}*")) or []
+    return sum(bool(fs.delete(x.getPath(), True)) for x in found)
