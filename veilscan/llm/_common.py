@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from veilscan.sources.tables import materialise, scratch_dir, table  # noqa: F401
 
 # Words are maximal runs outside ASCII white space. bytes.split() has exactly these separators.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -18,51 +16,17 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Table `name` of the folder `sf_dir`, read by Spark so that any Hadoop path works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def set_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch for this session; texts of 100 KB then stay near 100 MB a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temp folder only on local masters."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-veilscan-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Parquet rather than checkpoint(): later readers prune columns, and it is compressed.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/veilscan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with bounded batches."""
     set_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def texts(col: pa.Array) -> list[str]:
     """Python strings of a text column; null counts as the empty text."""
     return [x or "" for x in col.to_pylist()]
@@ -91,35 +55,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-class WordHashes:
-    """64-bit hashes of words, remembered between batches up to `limit` words."""
-
-    def __init__(self, limit: int = 400_000, seed: int = 0) -> None:
-        self.limit, self.seed = limit, seed
-        self._reset()
-
-    def _reset(self) -> None:
-        self.ids = WordIds()
-        self.values = np.zeros(0, np.uint64)
-
-    def batch(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word of all documents in turn, number of words of each document)."""
-        import xxhash
-
-        if len(self.ids) > self.limit:
-            self._reset()
-        counts = np.fromiter(map(len, docs), np.int64, len(docs))
-        get = self.ids.__getitem__
-        index = np.fromiter((i for ws in docs for i in map(get, ws)), np.int64, int(counts.sum()))
-        if self.ids.fresh:
-            new = np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in self.ids.fresh), np.uint64, len(self.ids.fresh))
-            self.values = np.concatenate([self.values, new])
-            self.ids.fresh = []
-        return self.values[index], counts
-
-
-def crc_bucket(id_col: str, n: int) -> "F.Column":
-    """crc32 of the decimal text of an id, modulo n."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))

@@ -7,7 +7,7 @@ equal symbols in their interior. Every symbol keeps the stretch of words that it
 
 Each window of `window` words picks, among the symbols whose stretch lies inside it, the first of the
 latest round: equal windows pick equal symbols. Only windows whose symbol occurs in different texts
-can repeat; these are hashed (128 bits) and matched against the smallest doc_id that holds them.
+can repeat; these are hashed (96 bits) and matched against the smallest doc_id that holds them.
 
 Texts with equal words are one class, kept by its smallest doc_id; other rows of a class are removed
 whole if they have a window at all.
@@ -179,30 +179,26 @@ class Repeats:
         return map_batches(docs, run, PARSED)
 
     def windows(self, candidates: DataFrame) -> DataFrame:
-        """(h, check, doc_id, mark): hashes of the windows in each candidate's ranges, each once a document."""
-        import xxhash
-
+        """(h, check, doc_id): 96-bit hashes of the windows in each candidate's ranges, each once a document."""
         window = self.window
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw = [t.encode() for t in texts(batch["text"])]
-                values, counts = word_hashes(raw)
+                values, counts = word_hashes([t.encode() for t in texts(batch["text"])])
                 words, _, begin = fenced(values, counts)
                 h, check = window_hashes(words, window, 1), window_hashes(words, window, 2)
-                for i, (doc_id, mark, hi, ranges) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "hi", "ranges")), strict=True)):
-                    if np.frombuffer(xxhash.xxh128_digest(joined(raw[i])), np.int64)[0] != hi:
-                        continue  # another text under the same doc_id
-                    at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges]) + begin[i]
+                for i, (doc_id, ranges) in enumerate(zip(batch["doc_id"].to_pylist(), batch["ranges"].to_pylist(), strict=True)):
+                    at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
+                    at = at[at <= counts[i] - window] + begin[i]  # another text of this doc_id may be longer
                     _, once = np.unique(h[at], return_index=True)
                     at = at[once]
-                    same = [pa.array(h[at].view(np.int64)), pa.array(check[at].view(np.int64)), pa.array(np.full(len(at), doc_id)), pa.array(np.full(len(at), mark, np.int32))]
-                    yield pa.RecordBatch.from_arrays(same, names=["h", "check", "doc_id", "mark"])
+                    same = [pa.array(h[at].view(np.int64)), pa.array(check[at].astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), doc_id, np.int64))]
+                    yield pa.RecordBatch.from_arrays(same, names=["h", "check", "doc_id"])
 
-        return map_batches(candidates, run, "h long, check long, doc_id long, mark int")
+        return map_batches(candidates, run, "h long, check int, doc_id long")
 
     def kept(self, candidates: DataFrame) -> DataFrame:
-        """(doc_id, mark, kept text, n_removed) of candidates, given the hashes of their repeated windows."""
+        """(doc_id, hi, kept text, n_removed) of candidates, given the hashes of their repeated windows."""
         import xxhash
 
         window = self.window
@@ -214,9 +210,7 @@ class Repeats:
                 words, _, begin = fenced(values, counts)
                 h = window_hashes(words, window, 1)
                 cols: list[list] = [[], [], [], []]
-                for i, (doc_id, mark, hi, gone) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "mark", "hi", "gone")), strict=True)):
-                    if np.frombuffer(xxhash.xxh128_digest(joined(raw[i])), np.int64)[0] != hi:
-                        continue
+                for i, (doc_id, gone) in enumerate(zip(batch["doc_id"].to_pylist(), batch["gone"].to_pylist(), strict=True)):
                     own = h[begin[i] : begin[i] + max(0, counts[i] - window + 1)]
                     hit = np.isin(own, np.array(gone, np.int64).view(np.uint64))
                     change = np.zeros(counts[i] + 1, np.int64)
@@ -224,32 +218,34 @@ class Repeats:
                     change[window : window + len(own)] -= hit
                     stay = np.cumsum(change)[:-1] == 0
                     left = b" ".join([w for w, s in zip(raw[i].split(), stay.tolist(), strict=True) if s])
-                    for c, x in zip(cols, (doc_id, mark, left.decode(), int(counts[i] - stay.sum())), strict=True):
+                    hi = int(np.frombuffer(xxhash.xxh128_digest(joined(raw[i])), np.int64)[0])
+                    for c, x in zip(cols, (doc_id, hi, left.decode(), int(counts[i] - stay.sum())), strict=True):
                         c.append(x)
-                kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "mark", "kept", "n_removed"])
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "hi", "kept", "n_removed"])
 
-        return map_batches(candidates, run, "doc_id long, mark int, kept string, n_removed long")
+        return map_batches(candidates, run, "doc_id long, hi long, kept string, n_removed long")
 
     def run(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_words, n_removed, kept_sha256) of every row of `docs` (doc_id, text)."""
+        """(doc_id, n_words, n_removed, kept_sha256) of every row of `docs` (doc_id, text).
+
+        Whether a window repeats depends on its words and doc_id alone, so several texts of one doc_id
+        may share ranges and hashes; only their results are told apart, by the class key.
+        """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         parsed = materialise(self.parsed(docs))
         classes = parsed.filter("n_words > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
         rows = materialise(parsed.select("doc_id", "n_words", "hi", "lo", "sha").join(classes, ["hi", "lo"], "left"))
-        picked = parsed.filter("doc_id IS NOT NULL").select("doc_id", "hi", "lo", F.inline("anchors"))
-        shared = picked.groupBy("symbol").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("symbol")
-        hits = picked.join(shared, "symbol").groupBy("doc_id", "hi", "lo").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-        reps = rows.filter("doc_id = rep").select("doc_id", "hi", "lo").distinct()
-        mark = F.col("hi").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("mark")
-        hits = hits.join(reps, ["doc_id", "hi", "lo"], "left_semi").select("doc_id", "hi", mark, "ranges")
+        picked = parsed.filter("doc_id IS NOT NULL")
+        shared = picked.select("hi", F.explode("anchors.symbol").alias("symbol")).groupBy("symbol").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("symbol")
+        hits = picked.select("doc_id", F.inline("anchors")).join(shared, "symbol").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+        hits = materialise(hits.join(rows.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"))
         candidates = materialise(docs.join(hits, "doc_id"))
         found = self.windows(candidates)
         least = found.groupBy("h", "check").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        gone = found.join(least, ["h", "check"]).filter("least < doc_id").groupBy("doc_id", "mark").agg(F.collect_set("h").alias("gone"))
-        cut = self.kept(candidates.drop("ranges").join(gone, ["doc_id", "mark"])).select("doc_id", "mark", "n_removed", F.sha2("kept", 256).alias("cut_sha")).distinct()
-        own = rows.withColumn("mark", F.when(F.col("doc_id") == F.col("rep"), mark))
-        out = own.join(cut, ["doc_id", "mark"], "left")
+        gone = materialise(found.join(least, ["h", "check"]).filter("least < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("gone")))
+        cut = self.kept(candidates.drop("ranges").join(gone, "doc_id")).select("doc_id", "hi", "n_removed", F.sha2("kept", 256).alias("cut_sha")).distinct()
+        out = rows.join(cut, ["doc_id", "hi"], "left")
         copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= self.window)
         removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
         sha = F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", F.lower(F.hex("sha"))))
