@@ -37,7 +37,7 @@ class Encoder:
     lower-cased, so words that differ in these only are encoded once.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 700_000) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -48,11 +48,13 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.words = WordIds()
+        self.words, self.cores = WordIds(), WordIds()
         self.words[b" end"] = 0  # no word has a space: this one stands for the end id
-        self.cores: dict[bytes, tuple[int, int]] = {}  # place in ids, size
-        self.ids = np.array([self.end_id], np.uint32)
+        self.cores[b""] = 0  # a word without stops at its end
+        self.ids = [np.array([self.end_id], np.uint32)]  # joined when read
+        self.total = 1
         self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.core_start, self.core_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _encode(self, words: list[bytes], letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, ids of each). Words of letters go many to a call, told apart by the ids that end one."""
@@ -65,64 +67,65 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
+    def _learn_cores(self) -> None:
+        fresh, self.cores.fresh = self.cores.fresh, []
+        letters = np.fromiter((w.isalpha() or w.decode().isalpha() for w in fresh), bool, len(fresh))
+        start, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        for kind in (True, False):
+            which = np.flatnonzero(letters == kind)
+            for some in np.array_split(which, -(-len(which) // 4000)) if len(which) else ():
+                ids, n = self._encode([fresh[i] for i in some.tolist()], kind)
+                start[some], size[some] = self.total + np.cumsum(n) - n, n
+                self.ids.append(ids)
+                self.total += len(ids)
+        self.core_start, self.core_size = np.concatenate([self.core_start, start]), np.concatenate([self.core_size, size])
+
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
-        parts: list[tuple[bytes, bytes]] = []
-        new: dict[bytes, bool] = {}  # letters only?
-        cores = self.cores
+        heads, tails, core_of = [], [], self.cores.__getitem__
         for w in fresh:
             core = w.rstrip(b".,")
-            tail = w[len(core) :]
-            letters = core.isalpha()  # bytes: ASCII letters only
-            if letters:
-                core = core.lower()
+            if core.isalpha():  # bytes: ASCII letters only
+                heads.append(core_of(core.lower()))
             elif core and core.decode().isalpha():
-                letters = True
+                heads.append(core_of(core))
             else:
-                core, tail = w, b""
-            parts.append((core, tail))
-            if core not in cores:
-                new[core] = letters
-            if tail and tail not in cores:
-                new[tail] = False
-        known, at = [self.ids], len(self.ids)
-        for letters in (True, False):
-            some = [w for w, x in new.items() if x == letters]
-            for i in range(0, len(some), 4000):
-                ids, size = self._encode(some[i : i + 4000], letters)
-                starts = at + np.cumsum(size) - size
-                cores.update(zip(some[i : i + 4000], zip(starts.tolist(), size.tolist(), strict=True), strict=True))
-                at += len(ids)
-                known.append(ids)
-        known = np.concatenate(known)
-        first = np.array([self.cores[c] for c, _ in parts], np.int64).reshape(-1, 2)
-        second = np.array([self.cores[t] if t else (0, 0) for _, t in parts], np.int64).reshape(-1, 2)
-        size = first[:, 1] + second[:, 1]
-        ends = np.cumsum(size)
-        where = np.repeat(first[:, 0] - ends + size, size) + np.arange(ends[-1])
-        tails = np.repeat(second[:, 0] - ends + second[:, 1], size) + np.arange(ends[-1])
-        inside = np.arange(ends[-1]) - np.repeat(ends - size, size) < np.repeat(first[:, 1], size)
-        self.start = np.concatenate([self.start, len(known) + ends - size])
+                core = w
+                heads.append(core_of(w))
+            tails.append(core_of(w[len(core) :]))
+        self._learn_cores()
+        head, tail = np.array(heads, np.int64), np.array(tails, np.int64)
+        known = np.concatenate(self.ids)
+        # A word's ids are its core's and its tail's, one after the other.
+        pieces = np.stack([head, tail], 1).ravel()
+        n = self.core_size[pieces]
+        after = np.cumsum(n)
+        ids = known[np.repeat(self.core_start[pieces] - after + n, n) + np.arange(after[-1])]
+        size = n.reshape(-1, 2).sum(1)
+        self.start = np.concatenate([self.start, self.total + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([known, known[np.where(inside, where, tails)]])
+        self.ids = [np.concatenate([known, ids])]
+        self.total += len(ids)
 
     def batch(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
         if len(self.words) > self.limit:
             self._reset()
         get = self.words.__getitem__
-        index, ends = [], []
+        parts = []
         for text in batch:
-            index.extend(map(get, text.encode().split()))
-            index.append(0)
-            ends.append(len(index))
+            words = text.encode().split()
+            words.append(b" end")
+            parts.append(np.fromiter(map(get, words), np.int64, len(words)))
+        if not parts:
+            return []
         if self.words.fresh:
             self._learn()
-        at = np.array(index, np.int64)
+        at = np.concatenate(parts)
         size = self.size[at]
         after = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[at] - after + size, size) + np.arange(after[-1] if len(after) else 0)]
-        return np.split(ids, after[np.array(ends, np.int64) - 1])[:-1] if ends else []
+        ids = self.ids[0][np.repeat(self.start[at] - after + size, size) + np.arange(after[-1])]
+        return np.split(ids, after[np.cumsum([len(p) for p in parts]) - 1])[:-1]
 
 
 @functools.lru_cache(maxsize=1)
