@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import WordHashes, map_batches, materialise, mix64, texts
+from veilscan.llm._common import map_batches, materialise, mix64, texts
+from veilscan.llm._words import word_hashes
 from veilscan.llm.components import components
 
 SETS = "doc_id long, n long, hi long, lo long, token long, times long"
@@ -32,9 +33,9 @@ INDEXED = "doc_id long, n long, mkey long, prefix array<struct<token:long,positi
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_sets(hashes: WordHashes, batch: list[str], k: int) -> list[np.ndarray]:
+def shingle_sets(batch: list[str], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles, A-Z lower-cased; fewer words: one shingle."""
-    values, counts = hashes.batch([t.encode().lower().split() for t in batch])
+    values, counts = word_hashes([t.encode().lower() for t in batch])
     if not len(values):
         return [np.zeros(0, np.uint64) for _ in batch]
     rolled = np.zeros(len(values), np.uint64)
@@ -66,14 +67,15 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 def fold(histogram: np.ndarray, size: int) -> np.ndarray:
     """The histogram in `size` bins; a full bin counts as endless."""
-    wide = np.where(histogram == 255, 1 << 40, histogram).astype(np.int64)
-    return wide.reshape(size, -1).sum(1)
+    if len(histogram) and histogram.max() == 255:
+        histogram = np.where(histogram == 255, 1 << 40, histogram.astype(np.int64))
+    return histogram.reshape(size, -1).sum(1, dtype=np.int64) if len(histogram) > size else histogram
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
     """Not less than the overlap of any two sets with these histograms."""
     size = min(len(a), len(b))
-    return int(np.minimum(fold(a, size), fold(b, size)).sum())
+    return int(np.minimum(fold(a, size), fold(b, size)).sum(dtype=np.int64))
 
 
 class Join:
@@ -97,13 +99,12 @@ class Join:
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
-                sets = shingle_sets(hashes, texts(batch["text"]), k)
+                sets = shingle_sets(texts(batch["text"]), k)
                 digest = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
                 ends = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2) if digest else np.zeros((0, 2), np.int64)
                 token, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                often = times >= max(4, len(sets) // 250)
+                often = times >= max(2, len(sets) // 500)
                 token, times = token[often], times[often]
                 m, extra = len(sets), len(token)
                 cols = [
@@ -130,10 +131,10 @@ class Join:
         shared = docs.sparkSession.sparkContext.broadcast(heavy)  # bounded: heavy_most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, late = WordHashes(), shared.value
+            late = shared.value
             for batch in batches:
                 cols: list[list] = [[] for _ in range(5)]
-                for doc_id, s in zip(batch["doc_id"].to_pylist(), shingle_sets(hashes, texts(batch["text"]), k), strict=True):
+                for doc_id, s in zip(batch["doc_id"].to_pylist(), shingle_sets(texts(batch["text"]), k), strict=True):
                     if not len(s):
                         continue
                     p = length(len(s))
@@ -160,16 +161,29 @@ class Join:
         return F.broadcast(df) if df.count() <= self.broadcast_rows else df
 
     def candidates(self, indexed: DataFrame) -> DataFrame:
-        """(doc_id, gid): groups that share a prefix shingle with the class and have a member of fitting, not larger size."""
+        """(doc_id, own, gid): groups that share a prefix shingle with the class (of group own) and have a member of fitting, not larger size."""
         index_length = F.col("n") - F.ceil(F.lit(2 * self.num) * F.col("n") / F.lit(self.num + self.den)) + 1
         rows = indexed.select("doc_id", "n", "gid", (index_length + 1).alias("short"), F.explode("prefix").alias("entry"))
         rows = rows.select(F.col("entry.token").alias("token"), "doc_id", "n", "gid", (F.col("entry.position") < F.col("short")).alias("indexed"))
-        rows = rows.repartition("token")  # one exchange serves the count, the filter and the join below
-        shared = rows.groupBy("token").agg(F.min("gid").alias("least"), F.max("gid").alias("most")).filter("least <> most").select("token")
-        rows = rows.join(shared, "token", "left_semi")
+        # Most shingles are in one group: these go first, by partial sums. What stays is small, and written.
+        shared = materialise(rows.groupBy("token").agg(F.min("gid").alias("least"), F.max("gid").alias("most")).filter("least <> most").select("token"))
+        rows = materialise(rows.join(shared, "token", "left_semi"))
         matrix = rows.filter("indexed").groupBy("token", "gid").agg(F.min("n").alias("n_least"), F.max("n").alias("n_most")).withColumnRenamed("gid", "other")
         met = rows.join(matrix, "token").filter((F.col("gid") != F.col("other")) & (F.col("n_least") <= F.col("n")) & (F.col("n_most") * self.den >= F.col("n") * self.num))
-        return met.select("doc_id", F.col("other").alias("gid")).distinct()
+        return met.select("doc_id", F.col("gid").alias("own"), F.col("other").alias("gid")).distinct()
+
+    def turned(self, met: DataFrame, groups: DataFrame) -> DataFrame:
+        """(doc_id, gid) that cover the same pairs of classes with fewer queries.
+
+        Where more classes of one group ask another than that has members, its members ask the first
+        group instead: a family of near copies isn't sent to each of its stragglers.
+        """
+        sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("members"))
+        pairs = met.groupBy("own", "gid").agg(F.count(F.lit(1)).alias("asking")).join(sizes, "gid")
+        pairs = materialise(pairs.withColumn("turn", F.col("members") < F.col("asking")).select("own", "gid", "turn"))
+        stay = met.join(pairs.filter("NOT turn"), ["own", "gid"]).select("doc_id", "gid")
+        turn = pairs.filter("turn").join(groups.select("doc_id", "gid"), "gid").select("doc_id", F.col("own").alias("gid"))
+        return stay.unionByName(turn).distinct()
 
     def qualify(self, met: DataFrame, indexed: DataFrame) -> DataFrame:
         """The candidate pairs whose histograms don't rule the threshold out."""
@@ -199,9 +213,8 @@ class Join:
         needed = members.select("doc_id").unionByName(opened.select("doc_id")).distinct()
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
-                found = [s.tobytes() for s in shingle_sets(hashes, texts(batch["text"]), k)]
+                found = [s.tobytes() for s in shingle_sets(texts(batch["text"]), k)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "tokens"])
 
         held = materialise(map_batches(docs.join(needed, "doc_id", "left_semi"), sets, "doc_id long, tokens binary"))
@@ -257,8 +270,8 @@ class Join:
         hot = self.small(materialise(hot))
         chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks"))
         indexed = indexed.join(hot, "mkey", "left").withColumn("gid", F.when(F.col("chunks").isNull(), F.col("mkey")).otherwise(F.xxhash64("mkey", chunk))).drop("chunks", "mkey")
-        met = materialise(self.candidates(indexed))
         groups = materialise(indexed.select("doc_id", "n", "gid"))
+        met = materialise(self.turned(materialise(self.candidates(indexed)), groups))
         within = groups.join(groups.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "gid").select("doc_id", "gid")
         opened = materialise(self.qualify(met, indexed).unionByName(within).distinct())
         same_id = own.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
