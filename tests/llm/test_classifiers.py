@@ -61,3 +61,21 @@ def test_odd_rows(spark, odd, none, classify):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert classify(none, labels).count() == 0
     assert all(r.predicted in (0, 1) for r in classify(odd, labels.limit(0)).collect())
+
+
+@pytest.mark.parametrize("most_rows", [8_000, 200])
+def test_thresholds_keep_the_mix_of_labels_above_the_cap(spark, most_rows):
+    """Half of the toxic twentieth has a word of its own; the other half shares one with a fifth of the clean rows."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(3000):
+        toxic = int(rng.random() < 0.05)
+        own = toxic and rng.random() < 0.5
+        shared = not own and (toxic or rng.random() < 0.2)
+        words = [f"word{n}" for n in rng.integers(0, 50, 12)] + ["vileness"] * own + ["doubtful"] * shared
+        rows.append((i, " ".join(words), 0, toxic, own, shared))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels, most_rows=most_rows).collect()}
+    assert np.mean([got[r[0]] for r in rows if r[4]]) > 0.9
+    assert np.mean([got[r[0]] for r in rows if not r[3]]) < 0.05

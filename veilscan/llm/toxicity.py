@@ -3,8 +3,9 @@
 Words (lower case, outer punctuation off) and their beginnings are hashed to embedding rows, whose sum
 stands for the word, so that inflected forms share weight; filters of widths 1 to 3 slide over the
 whole text, each filter's greatest value is kept, and a logistic layer weighs them.
-The language is guessed from the text's own function words, and each language's threshold, set on
-labelled rows kept from the fit, is moved to 0.3.
+The language is guessed from the text's own function words, and each language's threshold is moved
+to 0.3. Thresholds are set on all labelled rows of a fold kept from the fit, in the mix of labels that
+they have, with the same values over whole texts that the verdict uses.
 
 The fit uses at most `most_rows` labelled rows and `most_words` words of each, bounds by design;
 scoring reads every word of every text.
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import WordIds, map_batches, texts
+from veilscan.llm._common import WordIds, map_batches, materialise, texts
 
 ROWS = 1 << 16
 WIDTH = 8  # numbers an embedding has
 FILTERS = 8  # of each width
 WIDTHS = (1, 2, 3)
 CUT = 0.3
+STEPS = 64  # of a logit, in the counts that thresholds are set on
+FARTHEST = 30  # logits beyond it count as if at it
 STARTS = (3, 4, 5, 7)  # characters of a word's beginnings
 PARTS = 1 + len(STARTS)  # rows that make up a word
 STRIP = b".,;:!?*$%&#|\"'()[]{}<>-_"
@@ -128,7 +131,6 @@ class TextCNN:
             kernel = rng.normal(0, 0.3, (w, WIDTH, FILTERS)).astype(np.float32)
             kernel[:, 0, :] = np.abs(kernel[:, 0, :]) + 0.3 / w
             self.params[f"k{w}"] = kernel
-        self.shift = np.zeros(len(LANGUAGES))
         self.fitted = False
 
     def pooled(self, words: np.ndarray, starts: np.ndarray, rows: np.ndarray | None = None, taps: Taps | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -155,16 +157,12 @@ class TextCNN:
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled + self.params["bias"], 0) @ self.params["out"] + self.params["out_bias"][0]
 
-    def fit(self, docs: list[np.ndarray], rows: np.ndarray, y: np.ndarray, lang: np.ndarray, epochs: int = 8, rate: float = 0.01) -> TextCNN:
+    def fit(self, docs: list[np.ndarray], rows: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.01) -> TextCNN:
         """docs: word numbers of each text; rows: embedding rows of each word number."""
         if len(set(y.tolist())) < 2:
             return self
         rng = self.rng
-        order = rng.permutation(len(docs))
-        n_cal = max(1, len(docs) // 5)
-        cal, own = order[:n_cal], order[n_cal:]
-        if len(set(y[own].tolist())) < 2:
-            own = order
+        own = rng.permutation(len(docs))
         # Rows seen in few texts stay at zero; the others start from how much likelier toxic texts hold them.
         held = np.zeros((2, ROWS))
         for i in own:
@@ -219,46 +217,55 @@ class TextCNN:
                 squares[touched] += (total**2).sum(1)
                 p["emb"][touched] -= 0.5 * rate * total / np.sqrt(squares[touched])[:, None]
         self.fitted = True
-        self._calibrate([docs[i] for i in cal], rows, y[cal], lang[cal])
         return self
 
-    def _calibrate(self, docs: list[np.ndarray], rows: np.ndarray, y: np.ndarray, lang: np.ndarray) -> None:
-        """Each language's threshold: best F1 on rows kept from the fit; languages with few rows take that of all."""
-        z = []
-        for i in range(0, len(docs), 256):
-            some = docs[i : i + 256]
-            words, starts = padded(np.concatenate(some), np.array([len(d) for d in some]))
-            z.append(self.logits(self.pooled(words, starts, rows)[0]))
-        z = np.concatenate(z)
-
-        def threshold(z: np.ndarray, y: np.ndarray) -> float | None:
-            if y.sum() < 5 or (1 - y).sum() < 5:
-                return None
-            cuts = np.sort(z)
-            cuts = (cuts[1:] + cuts[:-1]) / 2
-            f1 = np.array([2 * (y[z >= c]).sum() / ((z >= c).sum() + y.sum()) for c in cuts])
-            return float(np.median(cuts[f1 >= f1.max() - 1e-9]))
-
-        overall = threshold(z, y)
-        overall = -0.85 if overall is None else overall
-        for j in range(len(LANGUAGES)):
-            own = threshold(z[lang == j], y[lang == j])
-            # Few rows give a shaky threshold: drawn towards that of all.
-            n = float(y[lang == j].sum())
-            self.shift[j] = overall if own is None else (n * own + 20 * overall) / (n + 20)
-
-    def probability(self, z: np.ndarray, lang: np.ndarray) -> np.ndarray:
-        """0..1; a logit at its language's threshold comes to CUT."""
-        if not self.fitted:
-            return np.zeros(len(z))
-        z = z - self.shift[lang] + np.log(CUT / (1 - CUT))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most_rows: int = 8_000, most_words: int = 2_000) -> TextCNN:
-    """Fits on labelled rows whose crc32(doc_id as text) mod `folds` isn't `held`."""
+
+def threshold(z: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> float | None:
+    """The cut between the rising logits `z` of best F1, from the toxic and clean rows at each; None for few rows."""
+    if ones.sum() < 5 or zeros.sum() < 5 or len(z) < 2:
+        return None
+    cuts = (z[1:] + z[:-1]) / 2
+    hit, wrong = np.cumsum(ones[::-1])[::-1][1:], np.cumsum(zeros[::-1])[::-1][1:]  # at or above each cut
+    f1 = 2 * hit / (hit + wrong + ones.sum())
+    return float(np.median(cuts[f1 >= f1.max() - 1e-9]))
+
+
+def thresholds(raw: DataFrame, labelled: DataFrame) -> list[float]:
+    """Each language's threshold: best F1 on `labelled` (doc_id, y); languages with few rows take that of all.
+
+    Rows are counted in Spark by language, label and step of the logit, so every row counts and what is
+    collected has a fixed bound.
+    """
+    step = F.round(F.greatest(F.least("z", F.lit(FARTHEST)), F.lit(-FARTHEST)) * STEPS).cast("int")
+    counted = raw.join(labelled, "doc_id").groupBy("lang", "y", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    tally = np.zeros((len(LANGUAGES), 2, 2 * FARTHEST * STEPS + 1))
+    for r in counted.collect():
+        tally[r["lang"], r["y"], r["step"] + FARTHEST * STEPS] = r["n"]
+
+    def of(zeros: np.ndarray, ones: np.ndarray) -> float | None:
+        used = np.flatnonzero(zeros + ones)
+        return threshold(used / STEPS - FARTHEST, ones[used], zeros[used])
+
+    overall = of(*tally.sum(0))
+    overall = -0.85 if overall is None else overall
+    found = []
+    for zeros, ones in tally:
+        own = of(zeros, ones)
+        # Few rows give a shaky threshold: drawn towards that of all.
+        n = float(ones.sum())
+        found.append(overall if own is None else (n * own + 20 * overall) / (n + 20))
+    return found
+
+
+def labelled_rows(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, y, kept) of the labelled rows outside the held fold; a fifth is kept from the fit for the thresholds."""
     rows = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
     rows = rows.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != held)
+    return rows.withColumn("kept", F.pmod(F.xxhash64(F.lit("kept"), "doc_id"), F.lit(5)) == 0)
+
+
+def train(docs: DataFrame, rows: DataFrame, most_rows: int = 8_000, most_words: int = 2_000) -> TextCNN:
+    """Fits on labelled `rows` (doc_id, y)."""
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     rows = rows.filter("y = 1").orderBy(*by_hash).limit(most_rows // 2).unionByName(rows.filter("y = 0").orderBy(*by_hash).limit(most_rows // 2))
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id")  # bounded: most_rows
@@ -274,12 +281,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         return TextCNN()
     vocabulary = Vocabulary(limit=1 << 62)
     words, counts, _ = vocabulary.batch(found["text"].tolist())
-    lang = languages(vocabulary.votes[words], counts)
-    return TextCNN().fit(np.split(words, np.cumsum(counts)[:-1]), vocabulary.rows, found["y"].to_numpy(), lang)
+    return TextCNN().fit(np.split(words, np.cumsum(counts)[:-1]), vocabulary.rows, found["y"].to_numpy())
 
 
-def scored(docs: DataFrame, model: TextCNN) -> DataFrame:
-    """(doc_id, score) of every row."""
+def logits(docs: DataFrame, model: TextCNN) -> DataFrame:
+    """(doc_id, z, lang) of every row: the whole text's logit and language number."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,17 +294,31 @@ def scored(docs: DataFrame, model: TextCNN) -> DataFrame:
         for batch in batches:
             words, counts, before = vocabulary.batch(texts(batch["text"]))
             taps.learn(vocabulary, before)
-            score = np.zeros(0)
+            z, lang = np.zeros(0), np.zeros(0, np.int64)
             if len(counts):
                 around, starts = padded(words, counts)
-                score = model.probability(model.logits(model.pooled(around, starts, taps=taps)[0]), languages(vocabulary.votes[words], counts))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score, pa.float64())], names=["doc_id", "score"])
+                z, lang = model.logits(model.pooled(around, starts, taps=taps)[0]), languages(vocabulary.votes[words], counts)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(z.astype(np.float64)), pa.array(lang, pa.int32())], names=["doc_id", "z", "lang"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, z double, lang int")
+
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double")
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most_rows: int = 8_000) -> DataFrame:
+    """(doc_id, score) of every row, 0..1; a logit at its language's threshold comes to CUT."""
+    rows = labelled_rows(labels, label, folds, held)
+    model = train(docs, rows.filter("NOT kept"), most_rows=most_rows)
+    if not model.fitted:  # a handful of labels: the kept ones are needed for the fit
+        model = train(docs, rows, most_rows=most_rows)
+    if not model.fitted:
+        return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"))
+    raw = materialise(logits(docs, model))  # read twice: for the thresholds and for the scores
+    shift = F.array(*map(F.lit, thresholds(raw, rows.filter("kept"))))
+    z = F.col("z") - F.get(shift, F.col("lang")) + F.lit(float(np.log(CUT / (1 - CUT))))
+    return raw.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most_rows: int = 8_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of `docs`."""
-    out = scored(docs, train(docs, labels, folds=folds, held=held))
+    out = scored(docs, labels, folds=folds, held=held, most_rows=most_rows)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
