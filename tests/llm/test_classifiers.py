@@ -79,3 +79,14 @@ def test_thresholds_keep_the_mix_of_labels_above_the_cap(spark, most_rows):
     got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels, most_rows=most_rows).collect()}
     assert np.mean([got[r[0]] for r in rows if r[4]]) > 0.9
     assert np.mean([got[r[0]] for r in rows if not r[3]]) < 0.05
+
+
+def test_toxic_passages_late_in_a_text_are_learned(spark):
+    filler = "plain words of a long text "
+    rows = [(i, filler * 500 + ("vileness it is" if i % 4 == 0 else "kindness it is"), 0, int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.classify(docs, labels).collect()}
+    assert [got[r[0]] for r in rows] == [r[3] for r in rows]
+    model = toxicity.train(docs, labels.selectExpr("doc_id", "toxic AS y"), most_chars=400_000)  # whole rows go, words stay
+    assert model.fitted and {r.z > 0 for r in toxicity.logits(docs, model).filter("doc_id % 4 = 0").collect()} == {True}

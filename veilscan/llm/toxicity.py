@@ -7,8 +7,8 @@ The language is guessed from the text's own function words, and each language's
 to 0.3. Thresholds are set on all labelled rows of a fold kept from the fit, in the mix of labels that
 they have, with the same values over whole texts that the verdict uses.
 
-The fit uses at most `most_rows` labelled rows and `most_words` words of each, bounds by design;
-scoring reads every word of every text.
+The fit uses a sample of whole labelled texts, at most `most_rows` of them and about `most_chars`
+characters, bounds by design; scoring reads every word of every text.
 
 Defined results: a null text is empty and scores like padding alone; without labels of both kinds
 every score is 0; repeated rows give equal scores.
@@ -264,18 +264,20 @@ def labelled_rows(labels: DataFrame, label: str, folds: int, held: int) -> DataF
     return rows.withColumn("kept", F.pmod(F.xxhash64(F.lit("kept"), "doc_id"), F.lit(5)) == 0)
 
 
-def train(docs: DataFrame, rows: DataFrame, most_rows: int = 8_000, most_words: int = 2_000) -> TextCNN:
-    """Fits on labelled `rows` (doc_id, y)."""
+def train(docs: DataFrame, rows: DataFrame, most_rows: int = 8_000, most_chars: int = 40_000_000) -> TextCNN:
+    """Fits on whole texts of labelled `rows` (doc_id, y): of each label those with the smallest hashes."""
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     rows = rows.filter("y = 1").orderBy(*by_hash).limit(most_rows // 2).unionByName(rows.filter("y = 0").orderBy(*by_hash).limit(most_rows // 2))
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id")  # bounded: most_rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [b" ".join(t.encode().split()[:most_words]).decode() for t in texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(cut, pa.string())], names=["doc_id", "y", "text"])
-
-    found = map_batches(chosen, run, "doc_id long, y int, text string").toPandas()
+    # The driver's memory bounds rows, never a text's words: a label's rows end before the one that goes over its half.
+    sizes = chosen.groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"), F.xxhash64("doc_id").alias("hash"))
+    sizes = sizes.toPandas().sort_values(["hash", "doc_id"], kind="stable")
+    total = sizes.groupby("y")["chars"].cumsum()
+    fits = (total <= most_chars // 2) | (sizes.groupby("y").cumcount() == 0)
+    if not fits.all():
+        some = docs.sparkSession.createDataFrame(sizes.loc[fits, ["doc_id", "y"]], "doc_id long, y int")
+        chosen = chosen.join(F.broadcast(some), ["doc_id", "y"])
+    found = chosen.toPandas().fillna({"text": ""})
     found = found.sort_values(["doc_id", "text"], kind="stable").head(2 * most_rows)
     if not len(found):
         return TextCNN()
