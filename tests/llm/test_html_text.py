@@ -47,3 +47,21 @@ def test_odd_rows(spark):
     got = html_text.extract(rows).collect()
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (2, 0), (3, 5)]
     assert html_text.extract(rows.limit(0)).count() == 0
+
+
+def test_the_labelled_table_is_learned():
+    assert all(html_text.verdict(html_text.tree(row[7] == 1), row[:-1]) == bool(row[-1]) for row in html_text.LABELLED + html_text.LINKED)
+
+
+def test_linked_blocks_of_the_article_stay_but_link_lists_go():
+    long = "This paragraph is long enough to be the main text of any page, with only plain words in it."
+    page = f"""<body><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
+    <article><h1><a href=t>The linked title of it</a></h1><p>{long}</p><h2><a href=s>A section</a></h2><p>{long}</p>
+    <p><a href=p>One paragraph that is a single link from its first word to its last</a></p><p>{long}</p>
+    <aside><a href=ad>Buy this now</a></aside><p>{long}</p>
+    <ul><li><a href=1>More news</a><li><a href=2>Other stories of today</a><li><a href=3>Weather</a></ul><p>{long}</p>
+    <h2>References</h2><ol><li>Ann Smith, <a href=r1>On the words of long texts and pages</a>, 1999<li>Bo Lee, <a href=r2>Trees that tell blocks apart by their links</a>, 2004
+    <li>Cy Roe, <a href=r3>What a page holds besides its article</a>, 2011</ol></article><footer><a href=f>Imprint</a></footer></body>"""
+    want = ["The linked title of it", long, "A section", long, "One paragraph that is a single link from its first word to its last", long, long, long, "References"]
+    want += ["Ann Smith, On the words of long texts and pages, 1999", "Bo Lee, Trees that tell blocks apart by their links, 2004", "Cy Roe, What a page holds besides its article, 2011"]
+    assert html_text.main_text(page) == "\n".join(want)

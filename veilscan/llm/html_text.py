@@ -1,9 +1,10 @@
 """Main text of HTML pages: flat text blocks classified by a decision tree.
 
 A page is read as a flat list of text blocks. Every block has its word count and link density, those
-of the blocks before and after it, and what its markup says (inside an element that names itself
-a menu, footer, advert, comment list and so on; inside or outside the page's article). A decision
-tree, trained on the small labelled table below, tells article blocks from the rest.
+of the blocks before and after it (links outside the article don't count beside a block of it), and what its markup says (inside an element that names itself
+a menu, footer, advert, comment list and so on; inside or outside the page's article). Decision
+trees (one for blocks inside the article, one for others), trained on the small labelled tables below,
+tell article blocks from the rest.
 
 Defined results: null or empty HTML gives an empty text; text outside any tag is a block; markup cut
 off in the middle ends the page; repeated rows give equal texts; extra columns are ignored.
@@ -71,6 +72,24 @@ LABELLED = (
     (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (5, 0.6, 60, 0.0, 4, 1.0, 0, 0, 0), (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0),
 )
 
+# More rows inside the article, so that only runs of linked blocks go there.
+LINKED = (
+    # inside the article: linked titles and headings, paragraphs that are one link, reference lists
+    (8, 1.0, 1, 0.0, 60, 0.0, 0, 1, 1), (6, 1.0, 0, 0.0, 45, 0.0, 0, 1, 1), (3, 1.0, 70, 0.0, 50, 0.05, 0, 1, 1), (20, 1.0, 40, 0.0, 30, 0.0, 0, 1, 1),
+    (9, 0.95, 2, 0.0, 0, 0.0, 0, 1, 1), (12, 1.0, 30, 0.1, 4, 0.0, 0, 1, 1), (2, 1.0, 8, 0.0, 15, 0.3, 0, 1, 1), (5, 0.9, 60, 0.3, 60, 0.0, 0, 1, 1),
+    (14, 0.6, 2, 0.0, 12, 0.7, 0, 1, 1), (12, 0.7, 14, 0.6, 16, 0.85, 0, 1, 1), (16, 0.85, 12, 0.7, 15, 0.8, 0, 1, 1), (15, 0.8, 16, 0.85, 3, 0.0, 0, 1, 1),
+    (10, 0.75, 10, 0.75, 0, 0.0, 0, 1, 1),
+    # inside the article: plain blocks beside linked ones
+    (90, 0.0, 6, 1.0, 2, 0.0, 0, 1, 1), (15, 0.0, 5, 1.0, 3, 0.0, 0, 1, 1), (2, 0.0, 6, 1.0, 5, 0.0, 0, 1, 1), (3, 0.0, 70, 0.0, 12, 1.0, 0, 1, 1),
+    (4, 0.3, 8, 1.0, 9, 1.0, 0, 1, 1), (1, 0.0, 9, 1.0, 0, 0.0, 0, 1, 1), (6, 0.0, 0, 0.0, 2, 1.0, 0, 1, 1), (18, 0.2, 4, 1.0, 4, 1.0, 0, 1, 1),
+    (4, 1.0, 30, 0.0, 2, 0.0, 0, 1, 1), (8, 1.0, 60, 0.2, 9, 0.0, 0, 1, 1), (6, 1.0, 1, 0.0, 3, 0.0, 0, 1, 1), (15, 1.0, 9, 0.5, 20, 0.0, 0, 1, 1),
+    # named boilerplate beside plain blocks
+    (2, 1.0, 60, 0.0, 40, 0.0, 1, 1, 0), (8, 1.0, 50, 0.0, 0, 0.0, 1, 1, 0), (20, 0.9, 30, 0.1, 60, 0.0, 1, 1, 0), (5, 1.0, 0, 0.0, 70, 0.0, 1, 1, 0),
+    # runs of linked blocks
+    (6, 1.0, 40, 0.0, 20, 1.0, 0, 1, 0), (20, 1.0, 15, 1.0, 60, 0.0, 0, 1, 0), (14, 1.0, 18, 1.0, 25, 1.0, 0, 1, 0), (3, 1.0, 4, 1.0, 80, 0.0, 0, 1, 0),
+    (4, 1.0, 1, 0.0, 25, 1.0, 0, 1, 0), (9, 1.0, 12, 1.0, 3, 0.0, 0, 1, 0), (30, 1.0, 80, 0.1, 4, 0.95, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0),
+)
+
 PAGES = "page_id long, url string, text string, n_chars long"
 
 
@@ -95,9 +114,9 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple | float:
 
 
 @functools.cache
-def tree(depth: int = 7) -> tuple | float:
-    """The tree trained on LABELLED."""
-    rows = np.array(LABELLED, float)
+def tree(inside: bool = False, depth: int = 7) -> tuple | float:
+    """The tree trained on LABELLED; for blocks inside an article that on its rows there and LINKED."""
+    rows = np.array([r for r in LABELLED if r[7] == 1] + list(LINKED) if inside else LABELLED, float)
     return _grow(rows[:, :-1], rows[:, -1], depth)
 
 
@@ -208,13 +227,18 @@ def main_text(page: str) -> str:
         return ""
     words = [len(t.split()) for t, *_ in found]
     links = [min(1.0, n / w) for (_, n, _, _), w in zip(found, words, strict=True)]
-    has_main = any(m and not b for _, _, b, m in found)
+    article = [m and not b for _, _, b, m in found]
+    has_main = any(article)
+
+    def beside(i: int, j: int) -> float:
+        return 0.0 if article[i] and not article[j] else links[j]
+
     kept = []
     for i, (text, _, boiler, inside) in enumerate(found):
-        before = (words[i - 1], links[i - 1]) if i else (0, 0.0)
-        after = (words[i + 1], links[i + 1]) if i + 1 < len(found) else (0, 0.0)
+        before = (words[i - 1], beside(i, i - 1)) if i else (0, 0.0)
+        after = (words[i + 1], beside(i, i + 1)) if i + 1 < len(found) else (0, 0.0)
         row = (words[i], links[i], *before, *after, int(boiler), 1 if inside else -int(has_main))
-        if verdict(tree(), row):
+        if verdict(tree(inside), row):
             kept.append(text)
     return "\n".join(kept)
 
