@@ -65,3 +65,15 @@ def test_odd_rows(spark, odd, none):
     assert alone[0].near_next == 1.0 and alone[0].doc_id is None
     nulls = fp.fingerprint_neighbours(spark.createDataFrame([(None, "a"), (1, "b"), (None, "c"), (2, "d")], "doc_id long, text string")).collect()
     assert len(nulls) == 4
+
+
+def test_near_copies_without_spaces_share_their_phrases(spark):
+    rng = np.random.default_rng(4)
+    one, other = ("".join(chr(0x4E00 + int(n)) for n in rng.integers(0, 1500, 2000)) for _ in range(2))
+    hexed = "".join(rng.choice(list("0123456789abcdef"), 2000))
+    texts = [one, "\u7684" + one, other, hexed, "f" + hexed, "ab" * 1000, "b" + "ab" * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {r.doc_id: r.near_next for r in fp.fingerprint_neighbours(docs).collect()}
+    assert near[0] > 0.9 and near[1] < 0.2 and near[3] > 0.9
+    assert all("".join(fp.tokens(t)) == t for t in texts)
+    assert max(len(x) for t in texts for x in fp.tokens(t)) <= fp.LONGEST
