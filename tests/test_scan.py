@@ -78,3 +78,15 @@ def test_written_tables_are_cleared(spark):
     assert materialise(spark.range(5)).count() == 5
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
     assert clear_scratch(spark) >= 1 and clear_scratch(spark) == 0
+
+
+def test_every_detector_reaches_the_verdicts(spark):
+    import base64
+
+    payload = base64.b64encode(b"this is a hidden message, well long enough").decode()
+    got = S.scan(docs(spark, ["see aB3dE5gH7jK9mN1pQ4sT here", payload, b"jklmnojklmnojklmno".hex()])).collect()
+    assert [[f.detector for f in r.findings] for r in got] == [["T4"], ["T3b", "T3d"], ["T3h", "T3d"]]
+    assert [r.hiding for r in S.verdict(S.scan(docs(spark, ["see aB3dE5gH7jK9mN1pQ4sT here"]))).collect()] == [True]
+    pages = ["<p>in\u200bvisible</p>", "<p>p\u0430ypal</p>", f"<!-- {'0f' * 17} -->", "<script>p\u0430ypal</script>", "<!-- 4111111111111111 -->", "<!-- aB3dE5gH7jK9mN1pQ4sT -->", "<!-- a note  --><p>plain </p>"]
+    got = S.verdict(S.scan(docs(spark, pages), names=D.PAGES)).orderBy("doc_id").collect()
+    assert [r.detectors for r in got] == ["T1", "T2", "P1s", "P3s", "P1s", "P1s", ""]

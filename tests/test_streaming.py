@@ -36,3 +36,12 @@ def test_repeat_arrivals_are_dropped(spark, sf, tmp_path):
     A.run_once(stream, lambda df, _: got.extend(df.select("user_id", "event_type").collect()), str(tmp_path))
     want = table(spark, sf, "events").select("user_id", "event_type").distinct().collect()
     assert sorted(got) == sorted(want)
+
+
+def test_byte_findings_set_the_verdict_of_arriving_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, content in {"a.pdf": b"MZ plain", "b.pdf": b"%PDF-1.4 x %%EOF\nhidden", "c.txt": b"text PK\x03\x04 more", "d.txt": b"plain"}.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    got = {}
+    A.run_once(A.scan_stream(spark, str(tmp_path / "in")), lambda df, _: got.update({r.path[-5:]: r.detectors for r in df.collect()}), str(tmp_path / "state"))
+    assert got == {"a.pdf": "B1", "b.pdf": "B2", "c.txt": "B3", "d.txt": ""}

@@ -6,7 +6,9 @@ report of concealed secrets doesn't copy them. A null text has no findings.
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -60,6 +62,11 @@ def readable_payloads(text: Column) -> Column:
     return F.filter(base64_runs(text), lambda x: F.coalesce(F.is_valid_utf8(F.try_to_binary(x, F.lit("base64")).cast("string")), F.lit(False)))
 
 
+def readable_hex(text: Column) -> Column:
+    """Hex runs that decode to valid text."""
+    return F.filter(hex_runs(text), lambda x: F.coalesce(F.is_valid_utf8(F.try_to_binary(x, F.lit("hex")).cast("string")), F.lit(False)))
+
+
 def entropy(token: str) -> float:
     """Bits a character."""
     n = len(token)
@@ -76,6 +83,12 @@ def high_entropy_tokens(bits: float = 4.0) -> Callable[[Column], Column]:
     return lambda text: pick(matches(text, P.TOKEN))
 
 
+def other_high_entropy_tokens(text: Column) -> Column:
+    """T4 in the scan: those tokens that are not part of what T3, T6 or T7 report already."""
+    named = F.concat(base64_runs(text), hex_runs(text), credentials(text), emails(text), card_numbers(text))
+    return F.filter(high_entropy_tokens()(text), lambda t: ~F.exists(named, lambda x: F.contains(x, t) | F.contains(t, x)))
+
+
 def trailing_whitespace(text: Column) -> Column:
     return matches(text, P.TRAILING)
 
@@ -129,6 +142,8 @@ TEXT = {
     "T2": ("mixed_script_word", mixed_script_words, 3),
     "T3b": ("base64_run", base64_runs, 2),
     "T3h": ("hex_run", hex_runs, 1),
+    "T3d": ("readable_payload", lambda t: F.concat(readable_payloads(t), readable_hex(t)), 0),
+    "T4": ("high_entropy_token", other_high_entropy_tokens, 1),
     "T5": ("trailing_blank", trailing_whitespace, 1),
     "T6": ("credential", credentials, 3),
     "T6k": ("key_block", key_blocks, 3),
@@ -139,12 +154,39 @@ TEXT = {
 #: Pages: comments and scripts are on every page, so they count only where their body trips a text detector.
 HTML = {
     "P1": ("comment", html_comments, 0),
-    "P1s": ("comment_secret", lambda h: F.filter(html_comments(h), suspicious), 3),
+    "P1s": ("comment_secret", lambda h: suspicious_bodies(html_comments(h)), 3),
     "P2": ("hidden_element", html_hidden_elements, 2),
     "P3": ("nonvisible_block", html_nonvisible_blocks, 0),
-    "P3s": ("nonvisible_secret", lambda h: F.filter(html_nonvisible_blocks(h), suspicious), 3),
+    "P3s": ("nonvisible_secret", lambda h: suspicious_bodies(html_nonvisible_blocks(h)), 3),
 }
 
 
+#: Text detectors of a page and of its parts. Blanks before a line's end are layout there (T5).
+IN_PAGES = {name: d for name, d in TEXT.items() if name != "T5"}
+
+
 def suspicious(body: Column) -> Column:
-    return body.rlike(P.INVISIBLE) | body.rlike(P.ASSIGNMENT) | body.rlike(P.BASE64) | body.rlike(P.KEY_BLOCK)
+    """Whether a text detector that sets the verdict finds something; T4 apart."""
+    found = [F.size(expr(body)) > 0 for name, (_, expr, severity) in IN_PAGES.items() if severity > 0 and name != "T4"]
+    return functools.reduce(lambda a, b: a | b, found)
+
+
+def suspicious_bodies(bodies: Column) -> Column:
+    """Bodies that trip a text detector. T4 is Python, which can't run inside a lambda: it sees all bodies at once."""
+
+    @F.pandas_udf("array<struct<body:string,entropic:boolean>>")
+    def marked(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda xs: [{"body": x, "entropic": any(entropy(t) >= 4.0 for t in re.findall(P.TOKEN, x))} for x in xs])
+
+    return F.transform(F.filter(marked(bodies), lambda x: x["entropic"] | suspicious(x["body"])), lambda x: x["body"])
+
+
+def page_text(html: Column) -> Column:
+    """What stands between the tags, without comments, scripts and styles."""
+    for pattern in (P.COMMENT, P.SCRIPT, P.STYLE, r"<[^>]*>"):
+        html = F.regexp_replace(html, pattern, " ")
+    return html
+
+
+#: Pages with the text detectors on their own text.
+PAGES = HTML | {name: (kind, lambda h, e=expr: e(page_text(h)), severity) for name, (kind, expr, severity) in IN_PAGES.items()}

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilscan.functions.detectors import findings
 from veilscan.functions.patterns import SIGNATURES
 
 # How each type ends. A zip's end record is 22 bytes and a comment whose length it states.
@@ -54,3 +55,16 @@ def structure(content: Column) -> Column:
         return pd.DataFrame({"kind": [kind_of(c) for c in some], "trailing": [trailing_bytes(c) for c in some], "embedded": [embedded(c) for c in some]})
 
     return look(content)
+
+
+def byte_findings(path: Column, content: Column) -> Column:
+    """B1 to B3 as an array of findings: another type than the extension says, bytes past the end, another file inside."""
+    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    found = structure(content)
+    kind = found["kind"]
+    wrong = F.when(kind.isNotNull(), extension != kind).otherwise(extension.isin(*SIGNATURES))
+    none = F.array().cast("array<string>")
+    mismatch = F.when(wrong, F.array(F.concat_ws(" ", extension, kind))).otherwise(none)
+    trailing = F.when(found["trailing"] > 0, F.array(F.concat(found["trailing"].cast("string"), F.lit(" bytes")))).otherwise(none)
+    inside = F.transform(found["embedded"], lambda at: F.concat(F.lit("at "), at.cast("string")))
+    return F.concat(findings(mismatch, "B1", "type_mismatch", 3), findings(trailing, "B2", "trailing_bytes", 2), findings(inside, "B3", "embedded_file", 2))

@@ -144,15 +144,15 @@ def v6_outliers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("verdict_documents")
 def verdict_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship with all detectors on the table as it is; single detectors have their SQL above."""
+    """The flagship with T1 to T7 on the table as it is; single detectors have their SQL above."""
     return corpus_verdict(spark, folder)
 
 
 @query("verdict_pages")
 def verdict_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages, where comments and scripts count only if their body trips a text detector."""
+    """Pages and their own text, where comments and scripts count only if their body trips a text detector."""
     pages = table(spark, folder, "pages").select("page_id", F.col("html").alias("text"))
-    return S.verdict(S.scan(pages, names=D.HTML))
+    return S.verdict(S.scan(pages, names=D.PAGES))
 
 
 @query("j1_known_content", "SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d WHERE sha256(d.text) IN (SELECT sha256(text) FROM documents WHERE n_chars < 400)")

@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilscan.functions.raw import byte_findings
 from veilscan.operators.scan import scan, verdict
 
 RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
 def scan_stream(spark: SparkSession, folder: str, glob: str = "*", most_bytes: int = 64 << 20) -> DataFrame:
-    """W1: verdicts of text files as they arrive: path, modificationTime and the columns of verdict. The content is dropped at once."""
+    """W1: verdicts (T1 to T7, B1 to B3) of files as they arrive: path, modificationTime and the columns of verdict. The content is dropped at once."""
     files = spark.readStream.format("binaryFile").schema(RAW).option("pathGlobFilter", glob).load(folder).filter(F.col("length") <= most_bytes)
-    docs = files.select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return verdict(scan(docs))
+    docs = files.select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), byte_findings(F.col("path"), F.col("content")).alias("bytes_"))
+    found = scan(docs)
+    return verdict(found.withColumn("findings", F.concat("findings", "bytes_")).drop("bytes_"))
 
 
 def read_arrivals(spark: SparkSession, folder: str, name: str = "events", files_at_once: int = 8) -> DataFrame:
