@@ -45,3 +45,16 @@ def test_byte_findings_set_the_verdict_of_arriving_files(spark, tmp_path):
     got = {}
     A.run_once(A.scan_stream(spark, str(tmp_path / "in")), lambda df, _: got.update({r.path[-5:]: r.detectors for r in df.collect()}), str(tmp_path / "state"))
     assert got == {"a.pdf": "B1", "b.pdf": "B2", "c.txt": "B3", "d.txt": ""}
+
+
+def test_large_files_arrive_with_an_unknown_verdict(spark, tmp_path):
+    from veilscan.sources.tables import read_large_files, read_raw_files
+
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.txt": "plain", "b.txt": "x" * 100}.items():
+        (tmp_path / "in" / name).write_text(text)
+    got = {}
+    A.run_once(A.scan_stream(spark, str(tmp_path / "in"), most_bytes=50), lambda df, _: got.update({r.path[-5:]: (r.hiding, r.detectors) for r in df.collect()}), str(tmp_path / "state"))
+    assert got == {"a.txt": (False, ""), "b.txt": (None, "too large")}
+    assert [r.length for r in read_large_files(spark, str(tmp_path / "in"), most_bytes=50).collect()] == [100]
+    assert read_raw_files(spark, str(tmp_path / "in"), most_bytes=50).count() == 1

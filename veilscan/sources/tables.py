@@ -28,11 +28,17 @@ def read_text_docs(spark: SparkSession, folder: str, name: str = "documents") ->
 
 
 def read_raw_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 64 << 20) -> DataFrame:
-    """(path, modificationTime, length, content); larger files are left out before their content is read."""
+    """(path, modificationTime, length, content); larger files are in `read_large_files`, their content is never read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.filter(F.col("length") <= most_bytes)
 
 
+def read_large_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 64 << 20) -> DataFrame:
+    """(path, modificationTime, length) of the files that `read_raw_files` can't hold in a row, from the same listing."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.filter(F.col("length") > most_bytes).select("path", "modificationTime", "length")
+
+
 def write_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Exploded findings, a folder for each detector."""
     findings.write.mode(mode).partitionBy("detector").parquet(path)

@@ -14,11 +14,17 @@ RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
 def scan_stream(spark: SparkSession, folder: str, glob: str = "*", most_bytes: int = 64 << 20) -> DataFrame:
-    """W1: verdicts (T1 to T7, B1 to B3) of files as they arrive: path, modificationTime and the columns of verdict. The content is dropped at once."""
-    files = spark.readStream.format("binaryFile").schema(RAW).option("pathGlobFilter", glob).load(folder).filter(F.col("length") <= most_bytes)
-    docs = files.select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), byte_findings(F.col("path"), F.col("content")).alias("bytes_"))
+    """W1: verdicts (T1 to T7, B1 to B3) of files as they arrive: path, modificationTime and the columns of verdict. The content is dropped at once.
+
+    Files above `most_bytes` can't be held in a row: their content isn't read, their verdict is unknown
+    (hiding is null) and their detectors say "too large".
+    """
+    files = spark.readStream.format("binaryFile").schema(RAW).option("pathGlobFilter", glob).load(folder)
+    docs = files.filter(F.col("length") <= most_bytes).select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), byte_findings(F.col("path"), F.col("content")).alias("bytes_"))
     found = scan(docs)
-    return verdict(found.withColumn("findings", F.concat("findings", "bytes_")).drop("bytes_"))
+    verdicts = verdict(found.withColumn("findings", F.concat("findings", "bytes_")).drop("bytes_"))
+    large = files.filter(F.col("length") > most_bytes).select("path", "modificationTime", F.lit(None).cast("boolean").alias("hiding"), F.lit(1).cast("long").alias("n_findings"), F.lit("too large").alias("detectors"), F.lit(0).cast("long").alias("score"))
+    return verdicts.unionByName(large)
 
 
 def read_arrivals(spark: SparkSession, folder: str, name: str = "events", files_at_once: int = 8) -> DataFrame:
