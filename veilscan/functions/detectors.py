@@ -21,8 +21,17 @@ from veilscan.functions import patterns as P
 FINDING = "struct<detector:string,kind:string,ordinal:int,preview:string,evidence_sha256:string,severity:int>"
 
 
+def none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+    """All matches, none for a null text, in time that grows as the text (see patterns.LINEAR)."""
+    if pattern in P.LAST:
+        text = F.regexp_extract(text, P.LAST[pattern], 0)
+    found = F.regexp_extract_all(text, F.lit(P.LINEAR.get(pattern, pattern)), F.lit(group))
+    found = F.when(F.contains(text, F.lit(P.NEEDS[pattern])), found) if pattern in P.NEEDS else found
+    return F.coalesce(found, none())
 
 
 def findings(hits: Column, detector: str, kind: str, severity: int) -> Column:
@@ -46,7 +55,8 @@ def invisible_chars(text: Column) -> Column:
 
 
 def mixed_script_words(text: Column) -> Column:
-    return F.filter(matches(text, P.LETTERS), lambda w: w.rlike(P.CYRILLIC) & w.rlike(P.LATIN))
+    """Few texts have a Cyrillic letter: the others' words aren't looked at."""
+    return F.when(text.rlike(P.CYRILLIC), F.filter(matches(text, P.LETTERS), lambda w: w.rlike(P.CYRILLIC) & w.rlike(P.LATIN))).otherwise(none())
 
 
 def base64_runs(text: Column) -> Column:
@@ -57,14 +67,20 @@ def hex_runs(text: Column) -> Column:
     return matches(text, P.HEX)
 
 
-def readable_payloads(text: Column) -> Column:
-    """Base64 runs that decode to valid text."""
-    return F.filter(base64_runs(text), lambda x: F.coalesce(F.is_valid_utf8(F.try_to_binary(x, F.lit("base64")).cast("string")), F.lit(False)))
+def decoded(run: Column, form: str) -> Column:
+    """What a run stands for, null unless that is text."""
+    return F.try_validate_utf8(F.try_to_binary(run, F.lit(form)).cast("string"))
+
 
+def payloads(base64: Column, hexed: Column) -> Column:
+    """The texts that runs decode to."""
+    both = F.concat(F.transform(base64, lambda x: decoded(x, "base64")), F.transform(hexed, lambda x: decoded(x, "hex")))
+    return F.filter(both, lambda x: x.isNotNull())
 
-def readable_hex(text: Column) -> Column:
-    """Hex runs that decode to valid text."""
-    return F.filter(hex_runs(text), lambda x: F.coalesce(F.is_valid_utf8(F.try_to_binary(x, F.lit("hex")).cast("string")), F.lit(False)))
+
+def readable_payloads(text: Column) -> Column:
+    """T3: what base64 and hex runs decode to, where that is text."""
+    return payloads(base64_runs(text), hex_runs(text))
 
 
 def entropy(token: str) -> float:
@@ -78,17 +94,11 @@ def high_entropy_tokens(bits: float = 4.0) -> Callable[[Column], Column]:
 
     @F.pandas_udf("array<string>")
     def pick(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda ts: [t for t in ts if entropy(t) >= bits])
+        return tokens.map(lambda ts: [t for t in ts if entropy(t) >= bits - 1e-9])
 
     return lambda text: pick(matches(text, P.TOKEN))
 
 
-def other_high_entropy_tokens(text: Column) -> Column:
-    """T4 in the scan: those tokens that are not part of what T3, T6 or T7 report already."""
-    named = F.concat(base64_runs(text), hex_runs(text), credentials(text), emails(text), card_numbers(text))
-    return F.filter(high_entropy_tokens()(text), lambda t: ~F.exists(named, lambda x: F.contains(x, t) | F.contains(t, x)))
-
-
 def trailing_whitespace(text: Column) -> Column:
     return matches(text, P.TRAILING)
 
@@ -136,39 +146,37 @@ def html_nonvisible_blocks(html: Column) -> Column:
     return F.concat(matches(html, P.SCRIPT, 1), matches(html, P.STYLE, 1))
 
 
-#: Named, switchable detectors of text: kind, expression, severity. Severity 0 is reported but doesn't set the verdict.
+#: Named, switchable detectors of text: kind, what they find, severity. Severity 0 is reported but doesn't
+#: set the verdict. Each is given the text and what the detectors before it have found, by name.
 TEXT = {
-    "T1": ("invisible_char", invisible_chars, 3),
-    "T2": ("mixed_script_word", mixed_script_words, 3),
-    "T3b": ("base64_run", base64_runs, 2),
-    "T3h": ("hex_run", hex_runs, 1),
-    "T3d": ("readable_payload", lambda t: F.concat(readable_payloads(t), readable_hex(t)), 0),
-    "T4": ("high_entropy_token", other_high_entropy_tokens, 1),
-    "T5": ("trailing_blank", trailing_whitespace, 1),
-    "T6": ("credential", credentials, 3),
-    "T6k": ("key_block", key_blocks, 3),
-    "T7e": ("email", emails, 0),
-    "T7i": ("ipv4", ipv4s, 0),
-    "T7c": ("card_number", card_numbers, 1),
+    "T1": ("invisible_char", lambda t, _: invisible_chars(t), 3),
+    "T2": ("mixed_script_word", lambda t, _: mixed_script_words(t), 3),
+    "T3b": ("base64_run", lambda t, _: base64_runs(t), 2),
+    "T3h": ("hex_run", lambda t, _: hex_runs(t), 1),
+    "T3d": ("readable_payload", lambda _, found: payloads(found["T3b"], found["T3h"]), 0),
+    "T3s": ("payload_secret", lambda _, found: F.filter(found["T3d"], suspicious), 3),
+    "T5": ("trailing_blank", lambda t, _: trailing_whitespace(t), 1),
+    "T6": ("credential", lambda t, _: credentials(t), 3),
+    "T6k": ("key_block", lambda t, _: key_blocks(t), 3),
+    "T7e": ("email", lambda t, _: emails(t), 0),
+    "T7i": ("ipv4", lambda t, _: ipv4s(t), 0),
+    "T7c": ("card_number", lambda t, _: card_numbers(t), 1),
+    "T4": ("high_entropy_token", lambda t, found: unnamed(high_entropy_tokens()(t), *(found[x] for x in ("T3b", "T3h", "T6", "T7e", "T7c") if x in found)), 1),
 }
-#: Pages: comments and scripts are on every page, so they count only where their body trips a text detector.
-HTML = {
-    "P1": ("comment", html_comments, 0),
-    "P1s": ("comment_secret", lambda h: suspicious_bodies(html_comments(h)), 3),
-    "P2": ("hidden_element", html_hidden_elements, 2),
-    "P3": ("nonvisible_block", html_nonvisible_blocks, 0),
-    "P3s": ("nonvisible_secret", lambda h: suspicious_bodies(html_nonvisible_blocks(h)), 3),
-}
-
-
 #: Text detectors of a page and of its parts. Blanks before a line's end are layout there (T5).
 IN_PAGES = {name: d for name, d in TEXT.items() if name != "T5"}
 
 
+def unnamed(tokens: Column, *named: Column) -> Column:
+    """Those tokens that are no part of what other detectors report, nor hold it."""
+    others = F.concat(none(), *named)
+    return F.filter(tokens, lambda t: ~F.exists(others, lambda x: F.contains(x, t) | F.contains(t, x)))
+
+
 def suspicious(body: Column) -> Column:
-    """Whether a text detector that sets the verdict finds something; T4 apart."""
-    found = [F.size(expr(body)) > 0 for name, (_, expr, severity) in IN_PAGES.items() if severity > 0 and name != "T4"]
-    return functools.reduce(lambda a, b: a | b, found)
+    """Whether a text detector that sets the verdict finds something in a payload or a page's part; T4 apart."""
+    found = [invisible_chars, mixed_script_words, base64_runs, hex_runs, credentials, key_blocks, card_numbers]
+    return functools.reduce(lambda a, b: a | b, (F.size(f(body)) > 0 for f in found))
 
 
 def suspicious_bodies(bodies: Column) -> Column:
@@ -176,17 +184,27 @@ def suspicious_bodies(bodies: Column) -> Column:
 
     @F.pandas_udf("array<struct<body:string,entropic:boolean>>")
     def marked(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda xs: [{"body": x, "entropic": any(entropy(t) >= 4.0 for t in re.findall(P.TOKEN, x))} for x in xs])
+        return bodies.map(lambda xs: [{"body": x, "entropic": any(entropy(t) >= 4.0 - 1e-9 for t in re.findall(P.TOKEN, x))} for x in xs])
 
     return F.transform(F.filter(marked(bodies), lambda x: x["entropic"] | suspicious(x["body"])), lambda x: x["body"])
 
 
 def page_text(html: Column) -> Column:
     """What stands between the tags, without comments, scripts and styles."""
-    for pattern in (P.COMMENT, P.SCRIPT, P.STYLE, r"<[^>]*>"):
-        html = F.regexp_replace(html, pattern, " ")
-    return html
-
-
-#: Pages with the text detectors on their own text.
-PAGES = HTML | {name: (kind, lambda h, e=expr: e(page_text(h)), severity) for name, (kind, expr, severity) in IN_PAGES.items()}
+    for pattern in (P.COMMENT, P.SCRIPT, P.STYLE):
+        # The replacement stops where the last match ends, as the search does.
+        end = F.length(F.regexp_extract(html, P.LAST[pattern], 0))
+        html = F.concat(F.regexp_replace(F.substring(html, F.lit(1), end), pattern, " "), F.substring(html, end + 1, F.length(html)))
+    return F.regexp_replace(html, P.TAG, " ")
+
+
+#: Pages: comments and scripts are on every page, so they count only where their body trips a text
+#: detector. Then the text detectors on the page's own text.
+PAGES = {
+    "P1": ("comment", lambda h, _: html_comments(h), 0),
+    "P1s": ("comment_secret", lambda _, found: suspicious_bodies(found["P1"]), 3),
+    "P2": ("hidden_element", lambda h, _: html_hidden_elements(h), 2),
+    "P3": ("nonvisible_block", lambda h, _: html_nonvisible_blocks(h), 0),
+    "P3s": ("nonvisible_secret", lambda _, found: suspicious_bodies(found["P3"]), 3),
+    "text": ("", lambda h, _: page_text(h), None),  # no detector: what the others are given from here on
+} | IN_PAGES

@@ -1,4 +1,4 @@
-"""What the detectors look for. Fixed values, in the syntax that Java and RE2 share."""
+"""What the detectors look for. Fixed values, in the syntax that Java and RE2 share, and the spelling that Spark runs."""
 
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{00AD}]"
 LETTERS = r"\p{L}+"
@@ -15,9 +15,26 @@ EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 IPV4 = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 DIGITS = r"[0-9]{13,19}"
 COMMENT = r"(?s)<!--(.*?)-->"
-HIDDEN_ELEMENT = r"(?i)<[a-z][^>]*(?:\shidden|display:\s*none|visibility:\s*hidden)[^>]*>"
-SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
-STYLE = r"(?is)<style[^>]*>(.*?)</style>"
+HIDDEN_ELEMENT = r"(?i)<[a-z][^<>]*(?:\shidden|display:\s*none|visibility:\s*hidden)[^<>]*>"
+SCRIPT = r"(?is)<script[^<>]*>(.*?)</script>"
+STYLE = r"(?is)<style[^<>]*>(.*?)</style>"
+TAG = r"<[^<>]*>"
+
+#: The same matches in a spelling that a backtracking engine finds in time that grows as the text: a run
+#: is tried from its start only (or from where the last match ended), and never given back in part.
+LINEAR = {
+    BASE64: r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}",
+    HEX: r"(?<![0-9a-fA-F])[0-9a-fA-F]{32,}+",
+    TOKEN: r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+",
+    TRAILING: r"(?md)(?<![ \t])[ \t]++$",
+    EMAIL: r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
+    DIGITS: r"(?:\G|(?<![0-9]))[0-9]{13,19}+",
+    HIDDEN_ELEMENT: r"(?i)<[a-z](?=[^<>]*+>)[^<>]*(?:\shidden|display:\s*+none|visibility:\s*+hidden)[^<>]*>",
+}
+#: What a text must hold for a pattern to match at all: a cheap test before the search.
+NEEDS = {EMAIL: "@", KEY_BLOCK: "PRIVATE KEY-----"}
+#: What ends the last match: nothing after its last place can begin one, so the search stops there.
+LAST = {COMMENT: r"(?s)^.*-->", SCRIPT: r"(?is)^.*</script>", STYLE: r"(?is)^.*</style>"}
 
 #: Leading bytes of file types, in hex, by extension.
 SIGNATURES = {"png": "89504E470D0A1A0A", "jpg": "FFD8FF", "gif": "47494638", "pdf": "255044462D", "zip": "504B0304", "exe": "4D5A", "gz": "1F8B08", "elf": "7F454C46"}

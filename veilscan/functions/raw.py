@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilscan.functions.detectors import findings
+from veilscan.functions.detectors import none as no_hits
 from veilscan.functions.patterns import SIGNATURES
 
 # How each type ends. A zip's end record is 22 bytes and a comment whose length it states.
@@ -63,7 +64,7 @@ def byte_findings(path: Column, content: Column) -> Column:
     found = structure(content)
     kind = found["kind"]
     wrong = F.when(kind.isNotNull(), extension != kind).otherwise(extension.isin(*SIGNATURES))
-    none = F.array().cast("array<string>")
+    none = no_hits()
     mismatch = F.when(wrong, F.array(F.concat_ws(" ", extension, kind))).otherwise(none)
     trailing = F.when(found["trailing"] > 0, F.array(F.concat(found["trailing"].cast("string"), F.lit(" bytes")))).otherwise(none)
     inside = F.transform(found["embedded"], lambda at: F.concat(F.lit("at "), at.cast("string")))

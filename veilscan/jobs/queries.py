@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from veilscan.functions import detectors as D
 from veilscan.functions import patterns as P
 from veilscan.functions.raw import structure
-from veilscan.jobs.corpus import corpus_verdict
+from veilscan.jobs.corpus import corpus_report, corpus_verdict
 from veilscan.operators import match as M
 from veilscan.operators import plant
 from veilscan.operators import scan as S
-from veilscan.sources.tables import TEXT_TABLES, materialise, read_text_docs, table
+from veilscan.sources.tables import TEXT_TABLES, materialise, read_text_docs, scratch_path, spread, table, write_findings
 from veilscan.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,10 +36,31 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 PLANTED = """planted AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 10 = 0 THEN
   substring(text, 1, 20) || chr(8203) || chr(8238) || translate(substring(text, 21), 'a', chr(1072)) || ' ' || chr(9) || chr(10) || 'end'
   ELSE text END AS text FROM documents)"""
+PLANTED_PAYLOADS = """planted AS (SELECT doc_id, text || CASE doc_id % 10 WHEN 0 THEN ' ' || to_base64(encode('a plain payload of some length, ' || doc_id)) || ' '
+  WHEN 1 THEN ' ' || to_base64(encode('password: hidden-in-a-payload-' || doc_id)) WHEN 2 THEN ' ' || lower(hex(encode('hexed payload ' || doc_id || ' of text'))) WHEN 3 THEN ' ' || repeat('/+7_', 12) || repeat('ff', 20) ELSE '' END AS text FROM documents)"""
 PLANTED_PAGES = """planted AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN
   html || '<div style="display: none">x</div><p hidden>y</p>' ELSE html END AS html FROM pages)"""
 
 
+# The plant of raw files, in SQL.
+FILES = r"""planted AS (SELECT 'file_' || doc_id || '.' || CASE doc_id % 10 WHEN 1 THEN 'gif' WHEN 2 THEN 'pdf' ELSE 'txt' END AS path, doc_id % 10 AS kind,
+  CASE doc_id % 10 WHEN 0 THEN '%PDF-1.7' || chr(10) || text WHEN 1 THEN 'GIF89a' || text WHEN 2 THEN '%PDF-1.7' || chr(10) || text || chr(10) || '%%EOF' || chr(10) || 'hidden bytes'
+  WHEN 3 THEN text || 'PK' || chr(3) || chr(4) || 'inside' ELSE text END AS text FROM documents)"""
+
+
+def docs_of(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read_text_docs(spark, folder))
+
+
+def planted_docs(spark: SparkSession, folder: str) -> DataFrame:
+    return plant.plant_text(docs_of(spark, folder))
+
+
+def planted_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = plant.raw_files(spread(table(spark, folder, "documents").select("doc_id", "text")))
+    return files.withColumn("length", F.octet_length("content").cast("long"))
+
+
 def quoted(pattern: str) -> str:
     return "'" + pattern.replace("IsCyrillic", "Cyrillic").replace("IsLatin", "Latin").replace("'", "''") + "'"
 
@@ -48,23 +69,81 @@ def extract(pattern: str, group: int = 0, column: str = "text") -> str:
     return f"regexp_extract_all({column}, {quoted(pattern)}, {group})"
 
 
-LUHN = "(SELECT sum(CASE WHEN i % 2 = 1 THEN 2 * d - CASE WHEN d > 4 THEN 9 ELSE 0 END ELSE d END) % 10 = 0 FROM (SELECT i, CAST(substring(x, length(x) - i, 1) AS INT) d FROM (SELECT unnest(range(0, length(x))) i)))"
+# Each detector in SQL, for a text column t. T4 leaves out what others report.
+def luhn_sql(x: str) -> str:
+    digit = f"CAST(substring({x}, length({x}) - i, 1) AS INT)"
+    return f"list_sum([CASE WHEN i % 2 = 1 THEN 2 * {digit} - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END ELSE {digit} END FOR i IN range(0, length({x}))]) % 10 = 0"
+
+
+def text_sql(t: str) -> dict[str, str]:
+    found = {
+        "T1": extract(P.INVISIBLE, 0, t),
+        "T2": f"[x FOR x IN {extract(P.LETTERS, 0, t)} IF regexp_matches(x, {quoted(P.CYRILLIC)}) AND regexp_matches(x, {quoted(P.LATIN)})]",
+        "T3b": f"[x FOR x IN {extract(P.BASE64, 0, t)} IF NOT regexp_matches(x, {quoted(P.PURE_HEX)})]",
+        "T3h": extract(P.HEX, 0, t),
+        "T5": extract(P.TRAILING, 0, t),
+        "T6": extract(P.ASSIGNMENT, 1, t),
+        "T6k": extract(P.KEY_BLOCK, 0, t),
+        "T7e": extract(P.EMAIL, 0, t),
+        "T7i": extract(P.IPV4, 0, t),
+        "T7c": f"[x FOR x IN {extract(P.DIGITS, 0, t)} IF {luhn_sql('x')}]",
+    }
+    return found
+
+
+def entropic(x: str, bits: float = 4.0) -> str:
+    return f"list_aggregate(string_split({x}, ''), 'entropy') >= {bits - 1e-9!r}"
+
+
+def suspicious_sql(b: str) -> str:
+    parts = text_sql(b)
+    return "(" + " OR ".join(f"len({parts[d]}) > 0" for d in ("T1", "T2", "T3b", "T3h", "T6", "T6k", "T7c")) + ")"
+
+
+def stages_sql(base: str, keys: str, text: str = "text", blanks: bool = True) -> str:
+    """CTEs that end in `hits`: `keys` and a list of what each detector found, from the column `text` of `base`."""
+    found = text_sql(text)
+    if not blanks:
+        del found["T5"]
+    first = ", ".join(f"{e} AS {d}" for d, e in found.items())
+    decoded = "list_concat([TRY(decode(from_base64(x))) FOR x IN T3b], [TRY(decode(unhex(x))) FOR x IN T3h])"
+    named = "flatten([T3b, T3h, T6, T7e, T7c])"
+    return f"""h1 AS MATERIALIZED (SELECT *, {first} FROM {base}),
+  h2 AS (SELECT *, [x FOR x IN {decoded} IF x IS NOT NULL] AS T3d, {extract(P.TOKEN, 0, text)} AS tokens FROM h1),
+  hits AS MATERIALIZED (SELECT *, [x FOR x IN T3d IF {suspicious_sql('x')}] AS T3s, [t FOR t IN tokens IF {entropic('t')} AND NOT coalesce(list_bool_or([contains(x, t) OR contains(t, x) FOR x IN {named}]), false)] AS T4 FROM h2)"""
+
+
+def found_sql(keys: str, names: dict) -> str:
+    """CTE `found`: a row a finding."""
+    one = "SELECT {keys}, '{d}' AS detector, '{k}' AS kind, CAST(i - 1 AS INT) AS ordinal, sha256(x) AS evidence_sha256, {s} AS severity FROM (SELECT {keys}, {d} AS xs FROM hits), unnest(xs) WITH ORDINALITY AS u(x, i)"
+    return "found AS (" + " UNION ALL ".join(one.format(keys=keys, d=d, k=k, s=s) for d, (k, _, s) in names.items() if s is not None) + ")"
+
+
+def verdict_sql(keys: str, base: str) -> str:
+    """CTE `verdict`: a row a row of `base`, from `found`."""
+    using = keys.split(", ")
+    on = " AND ".join(f"p.{k} IS NOT DISTINCT FROM f.{k}" for k in using)
+    own = ", ".join(f"p.{k}" for k in using)
+    return f"verdict AS (SELECT {own}, coalesce(bool_or(f.severity > 0), false) AS hiding, count(f.detector) AS n_findings, coalesce(array_to_string(list_sort(list_distinct(list(f.detector) FILTER (f.severity > 0))), ','), '') AS detectors, CAST(coalesce(sum(f.severity), 0) AS BIGINT) AS score FROM {base} p LEFT JOIN found f ON {on} GROUP BY {own})"
+
+
 TEXT_HITS = {
-    "t1_invisible_chars": (D.invisible_chars, extract(P.INVISIBLE)),
-    "t2_mixed_script_words": (D.mixed_script_words, f"[x FOR x IN {extract(P.LETTERS)} IF regexp_matches(x, {quoted(P.CYRILLIC)}) AND regexp_matches(x, {quoted(P.LATIN)})]"),
-    "t3_base64_runs": (D.base64_runs, f"[x FOR x IN {extract(P.BASE64)} IF NOT regexp_matches(x, {quoted(P.PURE_HEX)})]"),
-    "t3_hex_runs": (D.hex_runs, extract(P.HEX)),
-    "t5_trailing_whitespace": (D.trailing_whitespace, extract(P.TRAILING)),
-    "t6_credentials": (D.credentials, extract(P.ASSIGNMENT, 1)),
-    "t6_key_blocks": (D.key_blocks, extract(P.KEY_BLOCK)),
-    "t7_emails": (D.emails, extract(P.EMAIL)),
-    "t7_ipv4s": (D.ipv4s, extract(P.IPV4)),
+    "t1_invisible_chars": (D.invisible_chars, "T1"),
+    "t2_mixed_script_words": (D.mixed_script_words, "T2"),
+    "t3_base64_runs": (D.base64_runs, "T3b"),
+    "t3_hex_runs": (D.hex_runs, "T3h"),
+    "t5_trailing_whitespace": (D.trailing_whitespace, "T5"),
+    "t6_credentials": (D.credentials, "T6"),
+    "t6_key_blocks": (D.key_blocks, "T6k"),
+    "t7_emails": (D.emails, "T7e"),
+    "t7_ipv4s": (D.ipv4s, "T7i"),
 }
-PAGE_HITS = {
-    "p1_html_comments": (D.html_comments, extract(P.COMMENT, 1, "html")),
-    "p2_html_hidden_elements": (D.html_hidden_elements, extract(P.HIDDEN_ELEMENT, 0, "html")),
-    "p3_html_nonvisible_blocks": (D.html_nonvisible_blocks, f"list_concat({extract(P.SCRIPT, 1, 'html')}, {extract(P.STYLE, 1, 'html')})"),
+PAGE_SQL = {
+    "P1": extract(P.COMMENT, 1, "html"),
+    "P2": extract(P.HIDDEN_ELEMENT, 0, "html"),
+    "P3": f"list_concat({extract(P.SCRIPT, 1, 'html')}, {extract(P.STYLE, 1, 'html')})",
 }
+PAGE_HITS = {"p1_html_comments": (D.html_comments, "P1"), "p2_html_hidden_elements": (D.html_hidden_elements, "P2"), "p3_html_nonvisible_blocks": (D.html_nonvisible_blocks, "P3")}
 
 
 def hits(rows: DataFrame, key: str, found: Column) -> DataFrame:
@@ -76,10 +155,10 @@ def hits_sql(key: str, found: str, planted: str) -> str:
     return f"WITH {planted}, f AS (SELECT {key}, {found} AS found FROM planted) SELECT {key}, CAST(len(found) AS BIGINT) AS n_hits, sha256(coalesce(array_to_string(found, '|'), '')) AS evidence_sha256 FROM f"
 
 
-for _name, (_expr, _sql) in TEXT_HITS.items():
-    query(_name, hits_sql("doc_id", _sql, PLANTED))(lambda spark, folder, e=_expr: hits(plant.plant_text(read_text_docs(spark, folder)), "doc_id", e(F.col("text"))))
-for _name, (_expr, _sql) in PAGE_HITS.items():
-    query(_name, hits_sql("page_id", _sql, PLANTED_PAGES))(lambda spark, folder, e=_expr: hits(plant.plant_pages(table(spark, folder, "pages").select("page_id", "html")), "page_id", e(F.col("html"))))
+for _name, (_expr, _d) in TEXT_HITS.items():
+    query(_name, hits_sql("doc_id", text_sql("text")[_d], PLANTED))(lambda spark, folder, e=_expr: hits(planted_docs(spark, folder), "doc_id", e(F.col("text"))))
+for _name, (_expr, _d) in PAGE_HITS.items():
+    query(_name, hits_sql("page_id", PAGE_SQL[_d], PLANTED_PAGES))(lambda spark, folder, e=_expr: hits(plant.plant_pages(spread(table(spark, folder, "pages").select("page_id", "html"))), "page_id", e(F.col("html"))))
 
 
 @query("s1_text_tables", " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({keys[0]} AS BIGINT) AS id, CAST(length({text}) AS BIGINT) AS n_chars FROM {name}" for name, (keys, text) in TEXT_TABLES.items()))
@@ -88,49 +167,51 @@ def s1_text_tables(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("t4_high_entropy_tokens", f"""WITH t AS (SELECT doc_id, i, tok FROM (SELECT doc_id, {extract(P.TOKEN)} AS toks FROM documents), unnest(toks) WITH ORDINALITY AS u(tok, i)),
-  c AS (SELECT doc_id, i, tok, count(*) AS n FROM (SELECT doc_id, i, tok, unnest(string_split(tok, '')) AS ch FROM t) GROUP BY doc_id, i, tok, ch),
-  e AS (SELECT doc_id, i, -sum(n / length(tok) * log2(n / length(tok))) AS bits FROM c GROUP BY doc_id, i)
-  SELECT d.doc_id, count(e.bits) AS n_hits FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id AND e.bits >= 3.9 GROUP BY d.doc_id""")
+@query("t3_readable_payloads", f"WITH {PLANTED_PAYLOADS}, {stages_sql('planted', 'doc_id')} SELECT doc_id, CAST(len(T3d) AS BIGINT) AS n_hits, sha256(coalesce(array_to_string(T3d, '|'), '')) AS evidence_sha256, CAST(len(T3s) AS BIGINT) AS n_secret FROM hits")
+def t3_readable_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """T3, decoded: payloads that are text, and how many of them trip a detector themselves."""
+    found = plant.payloads(docs_of(spark, folder)).select("doc_id", D.readable_payloads(F.col("text")).alias("found"))
+    return hits(found, "doc_id", F.col("found")).join(found.select("doc_id", F.size(F.filter("found", D.suspicious)).cast("long").alias("n_secret")), "doc_id")
+
+
+@query("t4_high_entropy_tokens", f"SELECT doc_id, CAST(coalesce(len([t FOR t IN {extract(P.TOKEN)} IF {entropic('t', 3.9)}]), 0) AS BIGINT) AS n_hits FROM documents")
 def t4_high_entropy_tokens(spark: SparkSession, folder: str) -> DataFrame:
     found = D.high_entropy_tokens(3.9)(F.col("text"))
-    return read_text_docs(spark, folder).select("doc_id", F.size(found).cast("long").alias("n_hits"))
+    return docs_of(spark, folder).select("doc_id", F.size(found).cast("long").alias("n_hits"))
 
 
-@query("t7_card_numbers", f"""WITH n AS (SELECT doc_id, unnest({extract(P.DIGITS)}) AS x FROM documents), k AS (SELECT doc_id, x FROM n WHERE {LUHN})
-  SELECT d.doc_id, count(k.x) AS n_hits FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""")
+@query("t7_card_numbers", f"SELECT doc_id, CAST(coalesce(len({text_sql('text')['T7c']}), 0) AS BIGINT) AS n_hits FROM documents")
 def t7_card_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    return read_text_docs(spark, folder).select("doc_id", F.size(D.card_numbers(F.col("text"))).cast("long").alias("n_hits"))
+    return docs_of(spark, folder).select("doc_id", F.size(D.card_numbers(F.col("text"))).cast("long").alias("n_hits"))
 
 
-# T1 to T6 as (detector, kind, severity, SQL); the rest of the scan is covered by the queries of the single detectors.
-SCAN_SQL = [(d, D.TEXT[d][0], D.TEXT[d][2], TEXT_HITS[q][1]) for d, q in (("T1", "t1_invisible_chars"), ("T2", "t2_mixed_script_words"), ("T3b", "t3_base64_runs"), ("T3h", "t3_hex_runs"), ("T5", "t5_trailing_whitespace"), ("T6", "t6_credentials"), ("T6k", "t6_key_blocks"), ("T7e", "t7_emails"), ("T7i", "t7_ipv4s"))]
-SCANNED = {d: D.TEXT[d] for d, *_ in SCAN_SQL}
-FOUND = "found AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, source, '{d}' AS detector, '{k}' AS kind, CAST(i - 1 AS INT) AS ordinal, sha256(x) AS evidence_sha256, {s} AS severity FROM (SELECT doc_id, lang, source, {e} AS xs FROM planted), unnest(xs) WITH ORDINALITY AS u(x, i)" for d, k, s, e in SCAN_SQL) + ")"
-VERDICT = "verdict AS (SELECT p.doc_id, p.lang, p.source, coalesce(bool_or(f.severity > 0), false) AS hiding, count(f.detector) AS n_findings, coalesce(array_to_string(list_sort(list_distinct(list(f.detector) FILTER (f.severity > 0))), ','), '') AS detectors, CAST(coalesce(sum(f.severity), 0) AS BIGINT) AS score FROM planted p LEFT JOIN found f USING (doc_id) GROUP BY p.doc_id, p.lang, p.source)"
+KEYS = "doc_id, lang, source"
+SCAN = f"{stages_sql('planted', KEYS)}, {found_sql(KEYS, D.TEXT)}"
+ASIS = "planted AS (SELECT doc_id, lang, source, text FROM documents)"
+VERDICT = verdict_sql(KEYS, "planted")
 
 
 def planted_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(S.scan(plant.plant_text(read_text_docs(spark, folder)), names=SCANNED))
+    return materialise(S.scan(planted_docs(spark, folder)))
 
 
-@query("v1_scan_findings", f"WITH {PLANTED}, {FOUND} SELECT doc_id, detector, kind, ordinal, evidence_sha256, CAST(severity AS INT) AS severity FROM found")
+@query("v1_scan_findings", f"WITH {PLANTED}, {SCAN} SELECT doc_id, detector, kind, ordinal, evidence_sha256, CAST(severity AS INT) AS severity FROM found")
 def v1_scan_findings(spark: SparkSession, folder: str) -> DataFrame:
     """V1 and V3."""
     return S.explode_findings(planted_scan(spark, folder)).select("doc_id", "detector", "kind", "ordinal", "evidence_sha256", "severity")
 
 
-@query("v2_verdict", f"WITH {PLANTED}, {FOUND}, {VERDICT} SELECT * FROM verdict")
+@query("v2_verdict", f"WITH {PLANTED}, {SCAN}, {VERDICT} SELECT * FROM verdict")
 def v2_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    return S.verdict(S.scan(plant.plant_text(read_text_docs(spark, folder)), names=SCANNED))
+    return S.verdict(S.scan(planted_docs(spark, folder)))
 
 
-@query("v4_summary", f"WITH {PLANTED}, {FOUND} SELECT lang, detector, CAST(grouping_id(lang, detector) AS BIGINT) AS level, count(*) AS n_findings FROM found GROUP BY ROLLUP (lang, detector)")
+@query("v4_summary", f"WITH {PLANTED}, {SCAN} SELECT lang, detector, CAST(grouping_id(lang, detector) AS BIGINT) AS level, count(*) AS n_findings FROM found GROUP BY ROLLUP (lang, detector)")
 def v4_summary(spark: SparkSession, folder: str) -> DataFrame:
     return S.summary(S.explode_findings(planted_scan(spark, folder)), "lang", "detector")
 
 
-@query("v5_top_k_per_source", f"WITH {PLANTED}, {FOUND}, {VERDICT}, r AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM verdict) SELECT source, doc_id, score, CAST(place AS INT) AS place FROM r WHERE place <= 10")
+@query("v5_top_k_per_source", f"WITH {PLANTED}, {SCAN}, {VERDICT}, r AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM verdict) SELECT source, doc_id, score, CAST(place AS INT) AS place FROM r WHERE place <= 10")
 def v5_top_k_per_source(spark: SparkSession, folder: str) -> DataFrame:
     return S.top_k_per_source(S.verdict(planted_scan(spark, folder)), 10).select("source", "doc_id", "score", "place")
 
@@ -139,20 +220,69 @@ def v5_top_k_per_source(spark: SparkSession, folder: str) -> DataFrame:
   n AS (SELECT lang, avg(ratio) AS mean, stddev_pop(ratio) AS spread FROM r GROUP BY lang)
   SELECT doc_id, lang, ratio FROM r JOIN n USING (lang) WHERE abs(ratio - mean) > 3 * spread""")
 def v6_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    return S.outliers(read_text_docs(spark, folder))
+    return S.outliers(docs_of(spark, folder))
 
 
-@query("verdict_documents")
+@query("verdict_documents", f"WITH {ASIS}, {SCAN}, {VERDICT} SELECT * FROM verdict")
 def verdict_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship with T1 to T7 on the table as it is; single detectors have their SQL above."""
+    """The flagship: all text detectors on the table as it is."""
     return corpus_verdict(spark, folder)
 
 
-@query("verdict_pages")
+@query("report_summary", f"WITH {ASIS}, {SCAN} SELECT lang, detector, CAST(grouping_id(lang, detector) AS BIGINT) AS level, count(*) AS n_findings FROM found GROUP BY ROLLUP (lang, detector)")
+def report_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus report, written to the shared folder; its summary."""
+    out = scratch_path(spark)
+    corpus_report(spark, folder, out)
+    return spark.read.parquet(f"{out}/summary")
+
+
+@query("s3_written_findings", f"WITH {ASIS}, {SCAN} SELECT detector, source, count(*) AS n FROM found GROUP BY ALL")
+def s3_written_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """S3: findings written by detector and read back."""
+    out = scratch_path(spark)
+    write_findings(S.explode_findings(S.scan(docs_of(spark, folder))), out)
+    return spark.read.parquet(out).groupBy(F.col("detector").cast("string").alias("detector"), "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+TALK = "conv_id, turn"
+
+
+@query("verdict_conversations", f"WITH planted AS (SELECT conv_id, turn, text FROM conversations), {stages_sql('planted', TALK)}, {found_sql(TALK, D.TEXT)}, {verdict_sql(TALK, 'planted')} SELECT * FROM verdict")
+def verdict_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn of every conversation."""
+    return S.verdict(S.scan(spread(read_text_docs(spark, folder, "conversations"))))
+
+
+BODY = f"(coalesce(list_bool_or([{entropic('y')} FOR y IN {extract(P.TOKEN, 0, 'b')}]), false) OR {suspicious_sql('b')})"
+PAGE_TEXT = "regexp_replace(" * 4 + "html" + "".join(f", {quoted(p)}, ' ', 'g')" for p in (P.COMMENT, P.SCRIPT, P.STYLE, P.TAG))
+PAGE_STAGES = f"""page AS (SELECT page_id, html, {PAGE_TEXT} AS text, {', '.join(f'{e} AS {d}' for d, e in PAGE_SQL.items())} FROM planted),
+  page2 AS (SELECT *, [b FOR b IN P1 IF {BODY}] AS P1s, [b FOR b IN P3 IF {BODY}] AS P3s FROM page), {stages_sql('page2', 'page_id', blanks=False)}"""
+
+
+@query("verdict_pages", f"WITH {PLANTED_PAGES}, {PAGE_STAGES}, {found_sql('page_id', D.PAGES)}, {verdict_sql('page_id', 'planted')} SELECT * FROM verdict")
 def verdict_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages and their own text, where comments and scripts count only if their body trips a text detector."""
-    pages = table(spark, folder, "pages").select("page_id", F.col("html").alias("text"))
-    return S.verdict(S.scan(pages, names=D.PAGES))
+    pages = plant.plant_pages(spread(table(spark, folder, "pages").select("page_id", "html")))
+    return S.verdict(S.scan(pages, "html", D.PAGES))
+
+
+BYTES = """bytes AS (SELECT path, 'B1' AS detector, 3 AS severity FROM planted WHERE kind = 0 UNION ALL SELECT path, 'B2', 2 FROM planted WHERE kind = 2 UNION ALL SELECT path, 'B3', 2 FROM planted WHERE kind = 3)"""
+FILE_VERDICT = f"WITH {FILES}, {stages_sql('planted', 'path')}, {found_sql('path', D.TEXT).replace('found AS', 'texts AS')}, {BYTES}, found AS (SELECT path, detector, severity FROM texts UNION ALL SELECT * FROM bytes), {verdict_sql('path', 'planted')}"
+
+
+@query("verdict_files", f"{FILE_VERDICT} SELECT * FROM verdict")
+def verdict_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a raw file: its bytes and its text in one scan."""
+    return S.verdict_files(planted_files(spark, folder)).drop("length")
+
+
+@query("w1_scan_stream", f"{FILE_VERDICT} SELECT * FROM verdict")
+def w1_scan_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files as they arrive on a stream."""
+    arriving = arrivals.read_arrivals(spark, folder, "documents").select("doc_id", "text")
+    files = plant.raw_files(arriving).withColumn("length", F.octet_length("content").cast("long"))
+    return arrivals.written(S.verdict_files(files)).drop("length")
 
 
 @query("j1_known_content", "SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d WHERE sha256(d.text) IN (SELECT sha256(text) FROM documents WHERE n_chars < 400)")
@@ -162,25 +292,25 @@ def j1_known_content(spark: SparkSession, folder: str) -> DataFrame:
     return M.known_content(docs.select("doc_id", "text"), docs.filter("n_chars < 400").select("text"))
 
 
-J2 = "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)"
+J2 = "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)"
 
 
 @query("j2_hidden_passage", J2)
 def j2_hidden_passage(spark: SparkSession, folder: str) -> DataFrame:
-    return M.hidden_passage(read_text_docs(spark, folder).select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return M.hidden_passage(docs_of(spark, folder), table(spark, folder, "benchmark"))
 
 
 @query("j2_hidden_passage_hashed", J2)
 def j2_hidden_passage_hashed(spark: SparkSession, folder: str) -> DataFrame:
-    """The way for lists too long to broadcast."""
-    return M.hidden_passage(read_text_docs(spark, folder).select("doc_id", "text"), table(spark, folder, "benchmark"), small=20)
+    """Joined by shuffles, as where the list is too long to broadcast."""
+    return M.hidden_passage(docs_of(spark, folder), table(spark, folder, "benchmark"), broadcast_rows=-1)
 
 
 @query("j3_camouflaged_copies", f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000000, chr(8203) || text || '  ' FROM documents WHERE doc_id % 10 = 0),
   v AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, {quoted(P.INVISIBLE)}, '', 'g'), '\\s+', ' ', 'g')) AS seen FROM d)
   SELECT sha256(seen) AS visible_hash, CAST(count(*) AS BIGINT) AS n_docs, count(DISTINCT text) AS n_forms, min(doc_id) AS first_doc_id FROM v WHERE seen <> '' GROUP BY seen HAVING count(DISTINCT text) > 1""")
 def j3_camouflaged_copies(spark: SparkSession, folder: str) -> DataFrame:
-    return M.camouflaged_copies(plant.camouflaged(table(spark, folder, "documents")))
+    return M.camouflaged_copies(plant.camouflaged(spread(table(spark, folder, "documents").select("doc_id", "text"))))
 
 
 @query("j4_rescan_only_new", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE NOT source IN ('src0', 'src1') OR n_chars % 7 = 0")
@@ -193,14 +323,13 @@ def j4_rescan_only_new(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("b1_type_mismatch", "SELECT 'file_' || doc_id || '.' || CASE doc_id % 10 WHEN 1 THEN 'gif' WHEN 2 THEN 'pdf' ELSE 'txt' END AS path, CASE doc_id % 10 WHEN 0 THEN 'pdf' WHEN 1 THEN 'gif' WHEN 2 THEN 'pdf' END AS actual, doc_id % 10 = 0 AS mismatch FROM documents")
 def b1_type_mismatch(spark: SparkSession, folder: str) -> DataFrame:
-    files = plant.raw_files(table(spark, folder, "documents").select("doc_id", "text"))
+    files = planted_files(spark, folder)
     return M.type_mismatch(files).select("path", "actual", "mismatch")
 
 
 @query("b2_b3_byte_structure", "SELECT 'file_' || doc_id || '.' || CASE doc_id % 10 WHEN 1 THEN 'gif' WHEN 2 THEN 'pdf' ELSE 'txt' END AS path, CASE doc_id % 10 WHEN 2 THEN 12 ELSE 0 END::BIGINT AS trailing, CASE doc_id % 10 WHEN 3 THEN strlen(text) END::BIGINT AS first_embedded FROM documents")
 def b2_b3_byte_structure(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")  # whole files in a batch
-    files = plant.raw_files(table(spark, folder, "documents").select("doc_id", "text"))
+    files = planted_files(spark, folder)
     found = files.withColumn("found", structure(F.col("content")))
     return found.select("path", "found.trailing", F.get("found.embedded", F.lit(0)).alias("first_embedded"))
 
@@ -210,3 +339,18 @@ def w2_finding_rate(spark: SparkSession, folder: str) -> DataFrame:
     """The batch form; tests hold the stream against it."""
     events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return arrivals.finding_rate(events).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("w2_rate_of_findings", f"WITH {ASIS}, {SCAN} SELECT time_bucket(INTERVAL 1 DAY, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 60), TIMESTAMP '1970-01-01') AS start, detector, count(*) AS n FROM found GROUP BY ALL")
+def w2_rate_of_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """W2 on the findings of W1: documents arrive a minute apart, and findings are counted by day and detector."""
+    arriving = arrivals.read_arrivals(spark, folder, "documents").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60))
+    found = arrivals.written(S.explode_findings(S.scan(arriving.select("doc_id", "ts", "text"))))
+    return arrivals.finding_rate(found, kind="detector").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("w3_drop_repeat_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
+def w3_drop_repeat_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """W3 on a stream, with a watermark longer than the table."""
+    first = arrivals.drop_repeat_arrivals(arrivals.read_arrivals(spark, folder), ["user_id", "event_type"], "4000 days")
+    return arrivals.written(first.select("user_id", "event_type"))

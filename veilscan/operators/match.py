@@ -1,11 +1,18 @@
-"""J1 to J4: concealment that shows only across documents, and B1 on raw files."""
+"""J1 to J4: concealment that shows only across documents, and B1 on raw files.
+
+Defined results: a null text is listed nowhere, holds nothing and looks like nothing; empty tables give no
+rows; extra columns are ignored, whatever their names.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions import patterns as P
+from veilscan.sources.tables import materialise
 
 WORDS = r"[^\s]+"
 
@@ -17,29 +24,33 @@ def known_content(docs: DataFrame, watchlist: DataFrame) -> DataFrame:
     return hashed.join(listed, "content_hash", "left_semi").select("doc_id", "content_hash")
 
 
-def hidden_passage(docs: DataFrame, passages: DataFrame, small: int = 2_000, n: int = 5) -> DataFrame:
-    """J2: (doc_id, item_id) where a passage sits inside a document.
+def hidden_passage(docs: DataFrame, passages: DataFrame, block: int = 2_000, broadcast_rows: int = 1_000_000, n: int = 5) -> DataFrame:
+    """J2: distinct (doc_id, item_id) where a passage sits inside a document; null and empty passages sit in none.
 
-    Few passages (counted) are broadcast. More are joined by the hash of each passage's first n words,
-    then verified; passages of fewer words go the first way, or fail if they are too many for it.
+    A passage's inner words are whole words of the text that holds it, so passages of n + 2 words or more
+    are met by the hash of n of them, then verified. Hashes of words are tested against the passages'
+    before anything is shuffled if those are counted to be few enough for a broadcast. Shorter passages
+    are searched for in every text, `block` of them at a time.
     """
-    listed = passages.filter("text IS NOT NULL AND text <> ''").select("item_id", F.col("text").alias("passage"))
-    count = listed.count()
-    contains = F.expr("contains(text, passage)")
-    if count <= small:
-        return docs.join(F.broadcast(listed), contains).select("doc_id", "item_id")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     words = F.regexp_extract_all("passage", F.lit(WORDS), F.lit(0))
-    listed = listed.withColumn("words", words)
-    # A passage may begin or end inside a word: its inner words are whole.
+    listed = passages.filter("text IS NOT NULL AND text <> ''").select("item_id", F.col("text").alias("passage")).withColumn("words", words)
+    listed = materialise(listed)
+    contains = F.expr("contains(text, passage)")
+    few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    # Words 2 to n + 1 of a passage: its first may begin inside a word.
     long = listed.filter(F.size("words") >= n + 2).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("words", 2, n), " ")).alias("key"))
+    grams = F.expr(f"array_distinct(transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> xxhash64(array_join(slice(words, i, {n}), ' '))))")
+    keyed = docs.select("doc_id", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words")).select("doc_id", F.explode(grams).alias("key"))
+    met = materialise(keyed.join(few(long.select("key").distinct()), "key", "left_semi").distinct())
+    pairs = materialise(met.join(long.select("key", "item_id", "passage"), "key").select(F.col("doc_id").alias("id"), "item_id", "passage"))
+    found = docs.join(few(pairs), docs["doc_id"].eqNullSafe(F.col("id"))).filter(contains).select("doc_id", "item_id")
     short = listed.filter(F.size("words") < n + 2).select("item_id", "passage")
-    if short.count() > small:
-        raise ValueError(f"more than {small} passages of fewer than {n + 2} words")
-    ids = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    grams = ids.select("doc_id", F.explode(F.expr(f"array_distinct(transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> xxhash64(array_join(slice(words, i, {n}), ' '))))")).alias("key"))
-    met = grams.join(long.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    checked = met.join(docs.select("doc_id", "text"), "doc_id").join(long.select("item_id", "passage"), "item_id").filter(contains)
-    return checked.select("doc_id", "item_id").distinct().unionByName(docs.join(F.broadcast(short), contains).select("doc_id", "item_id").distinct())
+    blocks = -(-short.count() // block)
+    for i in range(blocks):
+        part = short.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == i)
+        found = found.unionByName(docs.join(F.broadcast(part), contains).select("doc_id", "item_id"))  # about `block` rows
+    return found.distinct()
 
 
 def visible_text(text: Column) -> Column:
@@ -49,14 +60,16 @@ def visible_text(text: Column) -> Column:
 
 def camouflaged_copies(docs: DataFrame) -> DataFrame:
     """J3: groups of documents that look the same but differ in bytes. Hashes are shuffled, never texts; empty looks are dropped."""
-    hashed = docs.select("doc_id", F.sha2(visible_text(F.col("text")), 256).alias("visible_hash"), F.sha2("text", 256).alias("raw_hash"), visible_text(F.col("text")).alias("seen"))
-    seen = hashed.filter("seen <> ''").groupBy("visible_hash", "raw_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    shown = docs.select("doc_id", F.sha2("text", 256).alias("raw_hash"), F.sha2(visible_text(F.col("text")), 256).alias("visible_hash"))
+    empty = hashlib.sha256(b"").hexdigest()
+    seen = shown.filter(F.col("visible_hash") != empty).groupBy("visible_hash", "raw_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     return seen.groupBy("visible_hash").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_forms"), F.min("first").alias("first_doc_id")).filter("n_forms > 1")
 
 
 def rescan_only_new(docs: DataFrame, done: DataFrame) -> DataFrame:
     """J4: (doc_id, content_hash) of documents not in `done` (doc_id, content_hash) with this content."""
-    return docs.select("doc_id", F.sha2("text", 256).alias("content_hash")).join(done, ["doc_id", "content_hash"], "left_anti")
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return hashed.join(done.select("doc_id", "content_hash"), ["doc_id", "content_hash"], "left_anti")
 
 
 def type_mismatch(files: DataFrame) -> DataFrame:

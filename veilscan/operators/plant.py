@@ -16,6 +16,20 @@ def plant_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, marked).otherwise(t))
 
 
+def payloads(docs: DataFrame) -> DataFrame:
+    """In each tenth document a base64 payload, in others one that hides a password, a hex payload, and runs that decode to no text."""
+    kind, key = F.pmod("doc_id", F.lit(10)), F.col("doc_id").cast("string")
+    coded = lambda *parts: F.base64(F.encode(F.concat(*parts), "UTF-8"))
+    extra = (
+        F.when(kind == 0, F.concat(F.lit(" "), coded(F.lit("a plain payload of some length, "), key), F.lit(" ")))
+        .when(kind == 1, F.concat(F.lit(" "), coded(F.lit("password: hidden-in-a-payload-"), key)))
+        .when(kind == 2, F.concat(F.lit(" "), F.lower(F.hex(F.encode(F.concat(F.lit("hexed payload "), key, F.lit(" of text")), "UTF-8")))))
+        .when(kind == 3, F.concat(F.lit(" "), F.lit("/+7_" * 12), F.lit("ff" * 20)))
+        .otherwise(F.lit(""))
+    )
+    return docs.withColumn("text", F.concat("text", extra))
+
+
 def plant_pages(pages: DataFrame) -> DataFrame:
     """A hidden element at the end of each tenth page."""
     extra = F.concat("html", F.lit('<div style="display: none">x</div><p hidden>y</p>'))

@@ -1,4 +1,9 @@
-"""V1 to V6: scan, verdict, findings, summary, top documents, outliers."""
+"""V1 to V6: scan, verdict, findings, summary, top documents, outliers.
+
+Defined results: a null text has no findings; empty texts and empty tables give no findings; repeated
+rows give repeated results; whole texts are searched, however long. An input column that has the name
+of a column that an operator makes gives way to it; all others are kept.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions import detectors as D
+from veilscan.functions.raw import byte_findings
+from veilscan.sources.tables import materialise
+
+VERDICT = ("hiding", "n_findings", "detectors", "score")
+FINDING = ("detector", "kind", "ordinal", "preview", "evidence_sha256", "severity")
 
 
 def scan(docs: DataFrame, text: str = "text", names: dict | None = None) -> DataFrame:
-    """V1: `docs` without the text, with `findings`. One projection over one scan, no exchange.
+    """V1: `docs` without the text, with `findings`. Projections over one scan, no exchange.
 
+    Every detector's hits are a column first, so that those which build on others don't search again.
     Write the result before filtering or exploding it: Catalyst would run the expressions again.
     """
-    found = [D.findings(expr(F.col(text)), name, kind, severity) for name, (kind, expr, severity) in (names or D.TEXT).items()]
-    return docs.select(*(c for c in docs.columns if c != text), F.concat(*found).alias("findings"))
+    keep = [c for c in docs.columns if c not in (text, "findings")]
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
+    hits: dict[str, Column] = {}
+    found = []
+    for name, (kind, expr, severity) in (names or D.TEXT).items():
+        made = expr(F.col("text"), hits)
+        if severity is None:
+            rows = rows.withColumn("text", made)
+            continue
+        rows = rows.withColumn(name, made)
+        hits[name] = F.col(name)
+        found.append(D.findings(hits[name], name, kind, severity))
+    return rows.select("row.*", F.concat(*found).alias("findings"))
+
+
+def scan_files(files: DataFrame) -> DataFrame:
+    """V1 on raw files (path, content and others): findings of their bytes and of their content read as text; the content goes.
+
+    A null content has no findings.
+    """
+    keep = [c for c in files.columns if c not in ("content", "findings")]
+    none = F.array().cast(f"array<{D.FINDING}>")
+    own = F.when(F.col("content").isNotNull(), byte_findings(F.col("path"), F.col("content"))).otherwise(none)
+    rows = files.select(F.struct(*keep).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), own.alias("own"))
+    return scan(rows).select("file.*", F.concat("findings", "own").alias("findings"))
 
 
 def verdict(scanned: DataFrame) -> DataFrame:
@@ -22,17 +56,30 @@ def verdict(scanned: DataFrame) -> DataFrame:
     hits = F.filter("findings", lambda f: f["severity"] > 0)
     named = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda f: f["detector"]))), ",")
     score = F.aggregate("findings", F.lit(0).cast("long"), lambda a, f: a + f["severity"])
-    keep = [c for c in scanned.columns if c != "findings"]
+    keep = [c for c in scanned.columns if c not in ("findings", *VERDICT)]
     return scanned.select(*keep, (F.size(hits) > 0).alias("hiding"), F.size("findings").cast("long").alias("n_findings"), named.alias("detectors"), score.alias("score"))
 
 
+def verdict_files(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """V2 of raw files (path, length, content and others), batch or stream: the file's own columns and the verdict.
+
+    Files above `most_bytes` can't be held in a row: their content isn't read, their verdict is unknown
+    (hiding is null) and their detectors say "too large".
+    """
+    keep = [c for c in files.columns if c not in ("content", "findings", *VERDICT)]
+    small = verdict(scan_files(files.filter(F.col("length") <= most_bytes).select(*keep, "content")))
+    unknown = (F.lit(None).cast("boolean"), F.lit(1).cast("long"), F.lit("too large"), F.lit(0).cast("long"))
+    large = files.filter(F.col("length") > most_bytes).select(*keep, *(c.alias(n) for c, n in zip(unknown, VERDICT, strict=True)))
+    return small.unionByName(large)
+
+
 def explode_findings(scanned: DataFrame) -> DataFrame:
     """V3: one row per finding, from a written scan."""
-    return scanned.select(*(c for c in scanned.columns if c != "findings"), F.inline("findings"))
+    return scanned.select(*(c for c in scanned.columns if c not in ("findings", *FINDING)), F.inline("findings"))
 
 
 def summary(findings: DataFrame, *by: str) -> DataFrame:
-    """V4: findings and documents by the columns `by`, with subtotals; level tells them apart."""
+    """V4: number of findings by the columns `by`, with subtotals; level tells them apart."""
     grouped = findings.rollup(*by).agg(F.count(F.lit(1)).alias("n_findings"), F.grouping_id().cast("long").alias("level"))
     return grouped.select(*by, "level", "n_findings")
 
@@ -45,15 +92,17 @@ def top_k_per_source(verdicts: DataFrame, k: int) -> DataFrame:
 
 def symbol_ratio(text: Column) -> Column:
     """Share of characters that are neither letters, digits nor white space."""
-    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]", "")) / F.length(text)).otherwise(F.lit(0.0))
+    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s]")) / F.length(text)).otherwise(F.lit(0.0))
 
 
 def outliers(docs: DataFrame, sigmas: float = 3.0) -> DataFrame:
     """V6: documents whose symbol ratio is far from their language's norm.
 
     The norms are aggregated (a row a language) and joined back; a window would put a language in one task.
+    Ratios are written, so that texts are read once.
     """
     rated = docs.select("doc_id", "lang", F.round(symbol_ratio(F.col("text")), 9).alias("ratio"))
+    rated = materialise(rated)
     norms = rated.groupBy("lang").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("spread"))
     far = rated.join(norms, rated["lang"].eqNullSafe(norms["lang"])).drop(norms["lang"])
     return far.filter(F.abs(F.col("ratio") - F.col("mean")) > sigmas * F.col("spread")).select("doc_id", "lang", "ratio")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out evenly if its files give fewer tasks than there are cores, for work that costs more than the move; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_text_docs(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
     """(doc_id or the table's keys, text, and lang and source where the table has them); other columns are pruned."""
     keys, text = TEXT_TABLES[name]
@@ -58,6 +66,26 @@ def scratch_dir(spark: SparkSession) -> str:
 
 # Spark then drops an execution's shuffle files when it ends, not when the driver happens to collect garbage.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Bytes that Spark hands to a Python worker at once, which it holds as well meanwhile.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, own: dict[str, str]) -> Iterator[None]:
+    """The session's settings as in `own`, and as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared folder, which tells the application."""
+    return f"{scratch_dir(spark)}/{SCRATCH}{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -67,19 +95,15 @@ def materialise(df: DataFrame) -> DataFrame:
     files behind it go at once, since nothing reads them again.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{SCRATCH}{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
+    path = scratch_path(spark)
+    with settings(spark, {CLEAN: "true", BATCH: "4m"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> int:
-    """Deletes the written tables of this library in the shared folder; call it when no result that reads them is in use."""
+    """Deletes what this application wrote to the shared folder; call it when no result that reads it is in use."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{SCRATCH}*")) or []
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{SCRATCH}{spark.sparkContext.applicationId}-*")) or []
     return sum(bool(fs.delete(x.getPath(), True)) for x in found)

@@ -7,31 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.functions.raw import byte_findings
-from veilscan.operators.scan import scan, verdict
+from veilscan.operators.scan import verdict_files
+from veilscan.sources.tables import scratch_path
 
 RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
 def scan_stream(spark: SparkSession, folder: str, glob: str = "*", most_bytes: int = 64 << 20) -> DataFrame:
-    """W1: verdicts (T1 to T7, B1 to B3) of files as they arrive: path, modificationTime and the columns of verdict. The content is dropped at once.
-
-    Files above `most_bytes` can't be held in a row: their content isn't read, their verdict is unknown
-    (hiding is null) and their detectors say "too large".
-    """
+    """W1: verdicts (T1 to T7, B1 to B3) of files as they arrive: path, modificationTime, length and the columns of verdict."""
     files = spark.readStream.format("binaryFile").schema(RAW).option("pathGlobFilter", glob).load(folder)
-    docs = files.filter(F.col("length") <= most_bytes).select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), byte_findings(F.col("path"), F.col("content")).alias("bytes_"))
-    found = scan(docs)
-    verdicts = verdict(found.withColumn("findings", F.concat("findings", "bytes_")).drop("bytes_"))
-    large = files.filter(F.col("length") > most_bytes).select("path", "modificationTime", F.lit(None).cast("boolean").alias("hiding"), F.lit(1).cast("long").alias("n_findings"), F.lit("too large").alias("detectors"), F.lit(0).cast("long").alias("score"))
-    return verdicts.unionByName(large)
+    return verdict_files(files, most_bytes)
 
 
 def read_arrivals(spark: SparkSession, folder: str, name: str = "events", files_at_once: int = 8) -> DataFrame:
     """A table as a stream, its time as a timestamp (Parquet's is without a zone, which watermarks reject)."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(f"{folder}/{name}.parquet*")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream
 
 
 def finding_rate(events: DataFrame, width: str = "1 day", kind: str = "event_type", late: str | None = "1 day") -> DataFrame:
@@ -46,6 +38,15 @@ def drop_repeat_arrivals(stream: DataFrame, keys: list[str], late: str = "1 day"
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def written(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything that has arrived on `stream`, as a table in the shared folder."""
+    spark = stream.sparkSession
+    path = scratch_path(spark)
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # a table even where nothing arrives
+    run_once(stream, lambda df, _: df.write.mode("append").parquet(path), scratch_path(spark), mode)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Everything that has arrived, then stop; a rerun takes up where the checkpoint left."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
