@@ -61,6 +61,23 @@ def test_words_give_the_ids_of_the_text(texts):
     assert [x.tolist() for x in encoder.batch(texts)] == [whole(t) for t in texts]
 
 
+# Letters that fall apart or together when they are normalised, marks, and what stands beside words.
+MARKED = st.text(alphabet="İıK\u0958\ufb2aﬁǆǅß\u0301\u0307\u0345éE\u212b가\u1100\u1161ªʰЙй०१٣Σς'.,s t\u00a0\u1e9eA", max_size=12)
+
+
+@pytest.mark.parametrize("text", ["İ.", "Gİ, b", "\u0958.", "\ufb2a.", "İ,. İ x. \u0958", "'S 'Ll it's, don't."])
+def test_letters_that_normalise_to_marks(text):
+    encoder = packing.Encoder(open(queries.tokenizer_path(), encoding="utf-8").read())
+    assert [x.tolist() for x in encoder.batch([text])] == [whole(text)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(MARKED, max_size=6))
+def test_words_of_odd_letters_give_the_ids_of_the_text(texts):
+    encoder = test_words_of_odd_letters_give_the_ids_of_the_text.__dict__.setdefault("e", packing.Encoder(open(queries.tokenizer_path(), encoding="utf-8").read(), limit=50))
+    assert [x.tolist() for x in encoder.batch(texts)] == [whole(t) for t in texts]
+
+
 def test_triples_are_found():
     left = np.zeros(101, int)
     left[[60, 20, 15, 5]] = 1

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,15 +30,26 @@ from veilscan.llm._common import WordIds, map_batches, materialise, texts
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# The last letter of the scripts whose words may be encoded without what stands beside them: up to
+# Cyrillic, every Unicode version agrees on what a letter is.
+LAST_LETTER = "\u052f"
+
+
+def only_letters(word: str) -> bool:
+    """Whether the word is letters and stays so once the tokenizer has composed and lower-cased it."""
+    return word.isascii() and word.isalpha() or word.isalpha() and max(word) <= LAST_LETTER and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class Encoder:
     """Token ids of texts, word by word, with a bounded memory of words.
 
     No token of this kind of vocabulary spans white space, so a text's ids are its words' ids in turn.
     Letters and the full stops and commas after them are pieces of their own too, and ASCII letters are
-    lower-cased, so words that differ in these only are encoded once.
+    lower-cased, so words that differ in these only are encoded once. That holds for words which stay
+    letters when they are normalised (`only_letters`); any other word is encoded whole.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 1_000_000) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -69,7 +81,7 @@ class Encoder:
 
     def _learn_cores(self) -> None:
         fresh, self.cores.fresh = self.cores.fresh, []
-        letters = np.fromiter((w.isalpha() or w.decode().isalpha() for w in fresh), bool, len(fresh))
+        letters = np.fromiter((w.isalpha() or only_letters(w.decode()) for w in fresh), bool, len(fresh))
         start, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
         for kind in (True, False):
             which = np.flatnonzero(letters == kind)
@@ -87,7 +99,7 @@ class Encoder:
             core = w.rstrip(b".,")
             if core.isalpha():  # bytes: ASCII letters only
                 heads.append(core_of(core.lower()))
-            elif core and core.decode().isalpha():
+            elif core and only_letters(core.decode()):
                 heads.append(core_of(core))
             else:
                 core = w
@@ -109,7 +121,7 @@ class Encoder:
 
     def batch(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
-        if len(self.words) > self.limit:
+        if len(self.words) > self.limit or self.total > 8 * self.limit:
             self._reset()
         get = self.words.__getitem__
         parts = []
