@@ -6,7 +6,9 @@ host's texts, and by at least `least` of them, count as boilerplate and are remo
 too little left are rejected.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; a null
-source is a host of its own; repeated rows give repeated results; an empty table gives no rows.
+source is a host of its own; repeated rows give repeated results and count as one text of their host;
+whole texts are read, however long; an empty table gives no rows; extra columns are ignored, whatever
+their names. Hosts with fewer than `least` distinct texts never lose a line to the rule.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from veilscan.llm._common import WordIds, map_batches, materialise, texts
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
-DIGITS = re.compile("[0-9]+")
+DIGITS = re.compile(b"[0-9]+")
+SHORT = 12  # words; longer lines keep their digits, so that paragraphs that differ in numbers only stay apart
 
 MEASURED = "row_id long, doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<struct<hash:long,words:long>>"
 
@@ -52,9 +55,11 @@ def repeat_words(ids: np.ndarray, vocabulary: int) -> int:
     return int(covered.sum())
 
 
-def normal(line: str) -> str:
-    """Lower case, digits as 0, single spaces."""
-    return " ".join(DIGITS.sub("0", line.lower()).split())
+def normal(line: bytes) -> bytes:
+    """A-Z in lower case, single spaces for ASCII white space, and in a line of at most SHORT words 0 for every run of digits."""
+    words = line.lower().split()
+    joined = b" ".join(words)
+    return DIGITS.sub(b"0", joined) if len(words) <= SHORT else joined
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def measure(docs: DataFrame) -> DataFrame:
                     if line in seen:
                         dup += 1
                     seen.add(line)
-                    key = xxhash.xxh64_intdigest(normal(line.decode()))
+                    key = xxhash.xxh64_intdigest(normal(line))
                     held[key] = held.get(key, 0) + n
                 row = (row_id, doc_id, source, len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat_words(numbers, len(ids)), signed([xxhash.xxh64_intdigest(raw)])[0], [{"hash": h, "words": n} for h, n in zip(signed(list(held)), held.values(), strict=True)])
                 row_id += 1

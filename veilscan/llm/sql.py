@@ -21,7 +21,8 @@ t AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM x WHERE len(w) >=
 t2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM t),
 r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM t2, range(0, 3) AS s(j) WHERE n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM x),
-l2 AS (SELECT doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '\s+', ' ', 'g')) AS normal FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l1 AS (SELECT doc_id, source, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v FROM l),
+l2 AS (SELECT doc_id, source, text, line, len(v) AS words, CASE WHEN len(v) <= 12 THEN regexp_replace(array_to_string(v, ' '), '[0-9]+', '0', 'g') ELSE array_to_string(v, ' ') END AS normal FROM l1 WHERE len(v) > 0),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l2 GROUP BY doc_id),
 f AS (SELECT source, normal FROM l2 JOIN (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source) USING (source) GROUP BY source, normal HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > 0.05 * any_value(texts)),
 q AS (SELECT doc_id, sum(words) AS lost FROM l2 JOIN f USING (source, normal) GROUP BY doc_id),
