@@ -1,3 +1,6 @@
+import itertools
+import time
+
 from veilscan.llm import html_text, queries
 
 
@@ -47,6 +50,42 @@ def test_odd_rows(spark):
     got = html_text.extract(rows).collect()
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (2, 0), (3, 5)]
     assert html_text.extract(rows.limit(0)).count() == 0
+    long = "<article>" + "<p>Some words of a very long page.</p>" * 40_000 + "</article>"
+    clash = spark.createDataFrame([(7, "u", long, "x", 5)], "page_id long, url string, html string, text string, n_chars long")
+    [row] = html_text.extract(clash).collect()
+    assert row.text.count("\n") == 39_999 and row.n_chars == len(row.text)
+
+
+def test_article_text_stays_whatever_its_neighbours():
+    paragraph = "word " * 16 + "word"
+    assert html_text.main_text(f"<article><p><a href=x>Linked line</a></p><p>{paragraph}</p><p>The end.</p></article>") == f"Linked line\n{paragraph}\nThe end."
+    assert html_text.main_text('<article><h2 id="related-work">Related work</h2><p id="sharing">On it.</p></article>') == "Related work\nOn it."
+    assert html_text.main_text("<article><p>One.</p><p>See <a>the full report of the committee</a>.</p><p>Two.</p></article>") == "One.\nSee the full report of the committee.\nTwo."
+    assert html_text.main_text('<article><p class="notice">Go away<h2>Title</h2><p class="ad">Buy<div>Body</div></article>') == "Title\nBody"
+    assert html_text.main_text("<article><ul><li>One<li>Two<ul><li>Three</ul><li>Four</ul><table><tr><td>a<td>b<tr><td>c</table></article>") == "One\nTwo\nThree\nFour\na\nb\nc"
+    grid = itertools.product([1, 3, 8, 17, 40, 120], [0, 0.1, 0.3, 0.5, 0.7, 0.85], [0, 2, 8, 40], [0, 0.3, 0.7, 1], [0, 3, 5, 40], [0, 0.3, 0.7, 1])
+    assert all(html_text.verdict(html_text.tree(True), (*row, 0, 1)) for row in grid)
+    runs = itertools.product([1, 3, 8, 20], [1.0], [1, 8, 20], [1.0], [1, 8, 20], [1.0])
+    assert not any(html_text.verdict(html_text.tree(True), (*row, 0, 1)) for row in runs)
+
+
+def test_pages_without_an_article():
+    nav = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Sport</a></ul>"
+    text = [" ".join(["plain"] * n) for n in (3, 40, 12, 25)]
+    body = f"<h1>{text[0]}</h1><p>{text[1]}</p><h2><a href=s>A linked heading here</a></h2><p>{text[2]}</p><p>{text[3]} <a href=x>with a link</a></p>"
+    want = [text[0], text[1], "A linked heading here", text[2], text[3] + " with a link"]
+    for page in (f"{nav}{body}", f"<div>{nav}</div><div>{body}</div>{nav}", f"<table><tr><td>{nav}<td>{body}</table>", f"<header>Top of it</header>{nav}<div id=content>{body}</div><footer>Foot</footer>"):
+        assert html_text.main_text(page) == "\n".join(want)
+    assert html_text.main_text(f"{nav}<p>{text[3]}</p><p>Short end</p>") == f"{text[3]}\nShort end"
+
+
+def test_odd_markup_takes_time_in_proportion():
+    n = 20_000
+    pages = ["<div>" * n + "</p>" * n, "<b x>" * n + "<hr>" * n, "<p><div>" + "<b x>" * n + "<hr>" * n, "</i>" * n + "<i q>" * n + "</b>" * n, "<a>" * n, "&" * n, "<" * n, "<p " + "a='" * n, "<!--" * n, "<script>" * n, "<p>x" * n]
+    for page in pages:
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 3, page[:20]
 
 
 def test_the_labelled_table_is_learned():

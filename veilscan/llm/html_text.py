@@ -7,7 +7,8 @@ trees (one for blocks inside the article, one for others), trained on the small
 tell article blocks from the rest.
 
 Defined results: null or empty HTML gives an empty text; text outside any tag is a block; markup cut
-off in the middle ends the page; repeated rows give equal texts; extra columns are ignored.
+off in the middle ends the page; whole pages are read, in time that grows as their length; repeated
+rows give equal texts; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +37,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILER_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer footers "
-    "gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promos promoted promotion "
-    "reader readers recommend recommended recommendations related replies reply respond responses search share sharing shares sidebar sidebars signup skip social sponsor sponsored sponsors subscribe "
-    "subscription taboola toolbar topbar trending warning widget widgets".split()
+    "gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promos promoted promotion "
+    "recommend recommended recommendations related replies reply respond search share shares sidebar sidebars signup skip social sponsor sponsored sponsors subscribe "
+    "subscription taboola toolbar topbar trending widget widgets".split()
 )
 PAGE_NAMES = frozenset("header head".split())  # boilerplate only outside the article
 MAIN_NAMES = frozenset("article content entry story post main body".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+# Classes and roles name an element's purpose on these, ids on the containers among them; a heading's id is a slug of its words.
+NAMED = BLOCKS - frozenset("h1 h2 h3 h4 h5 h6 hgroup pre caption figcaption summary legend".split())
+CONTAINERS = frozenset("address article aside dialog div dl fieldset figure footer form header main menu nav ol section table tbody td tr ul".split())
+# Start tags before which an open element of the same list ends; any block ends an open p.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "place")
 # The labelled table: FEATURES, then 1 for a block of the article. place: 1 inside the article, 0 on
@@ -67,27 +73,40 @@ LABELLED = (
     (14, 0.0, 40, 0.0, 3, 1.0, 0, 0, 1), (4, 0.0, 40, 0.0, 40, 0.0, 0, 0, 1), (18, 0.1, 5, 0.0, 0, 0.0, 0, 0, 1), (150, 0.1, 1, 1.0, 2, 1.0, 0, 0, 1),
     (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (6, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1), (11, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1),
     (3, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1), (2, 0.0, 2, 1.0, 80, 0.0, 0, 0, 1), (5, 0.0, 3, 1.0, 35, 0.0, 0, 0, 1), (2, 0.0, 70, 0.0, 60, 0.0, 0, 0, 1),
+    (20, 0.0, 2, 1.0, 4, 0.0, 0, 0, 1), (40, 0.0, 3, 1.0, 3, 0.0, 0, 0, 1), (14, 0.0, 1, 1.0, 2, 0.0, 0, 0, 1), (4, 0.0, 2, 1.0, 3, 0.0, 0, 0, 1),
+    (25, 0.0, 2, 1.0, 1, 1.0, 0, 0, 1), (18, 0.1, 4, 1.0, 0, 0.0, 0, 0, 1), (60, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1), (3, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1),
+    # partly or wholly linked blocks among plain ones
+    (6, 0.83, 40, 0.0, 30, 0.0, 0, 0, 1), (30, 0.9, 25, 0.0, 40, 0.0, 0, 0, 1), (7, 1.0, 40, 0.0, 50, 0.0, 0, 0, 1), (12, 0.6, 60, 0.1, 20, 0.0, 0, 0, 1),
+    (4, 1.0, 20, 0.0, 12, 0.0, 0, 0, 1), (15, 0.7, 18, 0.0, 9, 0.3, 0, 0, 1),
     # a page without an article: links, and short lines among links
     (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0), (9, 0.8, 2, 1.0, 40, 0.0, 0, 0, 0), (30, 0.7, 4, 1.0, 5, 1.0, 0, 0, 0),
     (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (5, 0.6, 60, 0.0, 4, 1.0, 0, 0, 0), (3, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0),
 )
 
-# More rows inside the article, so that only runs of linked blocks go there.
+# More rows inside the article. A block goes there only if links make up nearly all of it and of the
+# blocks around it (a list of links): any other is kept, whatever its words and neighbours.
 LINKED = (
-    # inside the article: linked titles and headings, paragraphs that are one link, reference lists
+    # linked titles, headings and paragraphs beside plain blocks
     (8, 1.0, 1, 0.0, 60, 0.0, 0, 1, 1), (6, 1.0, 0, 0.0, 45, 0.0, 0, 1, 1), (3, 1.0, 70, 0.0, 50, 0.05, 0, 1, 1), (20, 1.0, 40, 0.0, 30, 0.0, 0, 1, 1),
     (9, 0.95, 2, 0.0, 0, 0.0, 0, 1, 1), (12, 1.0, 30, 0.1, 4, 0.0, 0, 1, 1), (2, 1.0, 8, 0.0, 15, 0.3, 0, 1, 1), (5, 0.9, 60, 0.3, 60, 0.0, 0, 1, 1),
+    (4, 1.0, 30, 0.0, 2, 0.0, 0, 1, 1), (8, 1.0, 60, 0.2, 9, 0.0, 0, 1, 1), (6, 1.0, 1, 0.0, 3, 0.0, 0, 1, 1), (15, 1.0, 9, 0.5, 20, 0.0, 0, 1, 1),
+    (7, 0.86, 12, 0.0, 30, 0.0, 0, 1, 1), (7, 0.86, 0, 0.0, 0, 0.0, 0, 1, 1), (30, 0.9, 25, 0.1, 25, 0.2, 0, 1, 1),
+    # partly linked blocks: references, sentences around a link
     (14, 0.6, 2, 0.0, 12, 0.7, 0, 1, 1), (12, 0.7, 14, 0.6, 16, 0.85, 0, 1, 1), (16, 0.85, 12, 0.7, 15, 0.8, 0, 1, 1), (15, 0.8, 16, 0.85, 3, 0.0, 0, 1, 1),
-    (10, 0.75, 10, 0.75, 0, 0.0, 0, 1, 1),
-    # inside the article: plain blocks beside linked ones
+    (10, 0.75, 10, 0.75, 0, 0.0, 0, 1, 1), (7, 0.86, 9, 0.8, 8, 0.85, 0, 1, 1), (5, 0.6, 6, 1.0, 7, 1.0, 0, 1, 1), (3, 0.67, 2, 1.0, 4, 0.75, 0, 1, 1),
+    (9, 0.78, 5, 1.0, 60, 0.0, 0, 1, 1), (25, 0.55, 3, 1.0, 3, 1.0, 0, 1, 1), (6, 0.83, 40, 0.0, 6, 1.0, 0, 1, 1),
+    # plain blocks beside linked ones, of any length
     (90, 0.0, 6, 1.0, 2, 0.0, 0, 1, 1), (15, 0.0, 5, 1.0, 3, 0.0, 0, 1, 1), (2, 0.0, 6, 1.0, 5, 0.0, 0, 1, 1), (3, 0.0, 70, 0.0, 12, 1.0, 0, 1, 1),
     (4, 0.3, 8, 1.0, 9, 1.0, 0, 1, 1), (1, 0.0, 9, 1.0, 0, 0.0, 0, 1, 1), (6, 0.0, 0, 0.0, 2, 1.0, 0, 1, 1), (18, 0.2, 4, 1.0, 4, 1.0, 0, 1, 1),
-    (4, 1.0, 30, 0.0, 2, 0.0, 0, 1, 1), (8, 1.0, 60, 0.2, 9, 0.0, 0, 1, 1), (6, 1.0, 1, 0.0, 3, 0.0, 0, 1, 1), (15, 1.0, 9, 0.5, 20, 0.0, 0, 1, 1),
-    # named boilerplate beside plain blocks
+    (17, 0.0, 4, 1.0, 3, 0.0, 0, 1, 1), (40, 0.1, 6, 0.9, 1, 0.0, 0, 1, 1), (70, 0.0, 12, 0.8, 5, 0.0, 0, 1, 1), (3, 0.0, 2, 1.0, 2, 1.0, 0, 1, 1),
+    (120, 0.0, 8, 1.0, 4, 1.0, 0, 1, 1), (10, 0.4, 3, 1.0, 80, 0.0, 0, 1, 1), (28, 0.0, 3, 0.7, 2, 0.5, 0, 1, 1), (7, 0.0, 7, 0.86, 7, 0.86, 0, 1, 1),
+    # named boilerplate beside plain blocks and links
     (2, 1.0, 60, 0.0, 40, 0.0, 1, 1, 0), (8, 1.0, 50, 0.0, 0, 0.0, 1, 1, 0), (20, 0.9, 30, 0.1, 60, 0.0, 1, 1, 0), (5, 1.0, 0, 0.0, 70, 0.0, 1, 1, 0),
-    # runs of linked blocks
+    (3, 0.0, 80, 0.0, 9, 1.0, 1, 1, 0), (25, 0.4, 3, 1.0, 3, 1.0, 1, 1, 0), (60, 0.0, 8, 0.8, 50, 0.0, 1, 1, 0), (14, 0.7, 12, 0.7, 15, 0.6, 1, 1, 0),
+    # runs of linked blocks: their first, inner and last ones
     (6, 1.0, 40, 0.0, 20, 1.0, 0, 1, 0), (20, 1.0, 15, 1.0, 60, 0.0, 0, 1, 0), (14, 1.0, 18, 1.0, 25, 1.0, 0, 1, 0), (3, 1.0, 4, 1.0, 80, 0.0, 0, 1, 0),
     (4, 1.0, 1, 0.0, 25, 1.0, 0, 1, 0), (9, 1.0, 12, 1.0, 3, 0.0, 0, 1, 0), (30, 1.0, 80, 0.1, 4, 0.95, 0, 1, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (5, 1.0, 2, 1.0, 7, 0.0, 0, 1, 0), (8, 0.95, 60, 0.0, 6, 1.0, 0, 1, 0), (11, 1.0, 3, 0.0, 9, 1.0, 0, 1, 0),
 )
 
 PAGES = "page_id long, url string, text string, n_chars long"
@@ -114,7 +133,7 @@ def _grow(x: np.ndarray, y: np.ndarray, depth: int) -> tuple | float:
 
 
 @functools.cache
-def tree(inside: bool = False, depth: int = 7) -> tuple | float:
+def tree(inside: bool = False, depth: int = 9) -> tuple | float:
     """The tree trained on LABELLED; for blocks inside an article that on its rows there and LINKED."""
     rows = np.array([r for r in LABELLED if r[7] == 1] + list(LINKED) if inside else LABELLED, float)
     return _grow(rows[:, :-1], rows[:, -1], depth)
@@ -129,15 +148,15 @@ def verdict(node: tuple | float, row: tuple) -> bool:
 def _marks(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
     """(boilerplate, article) as the tag and its attributes have it."""
     boiler, main = tag in BOILER_TAGS or (tag == "header" and not inside), tag in ("article", "main")
-    if not raw or tag in ("html", "body"):
+    if not raw or tag in ("html", "body", "article", "main"):
         return boiler, main
     for name, value in ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id"):
+        if (name == "class" and tag in NAMED) or (name == "id" and tag in CONTAINERS):
             parts = {x.lower() for x in NAME_PART.findall(value)}
             boiler |= bool(parts & BOILER_NAMES) or (not inside and not main and bool(parts & PAGE_NAMES))
             main |= name == "class" and bool(parts & MAIN_NAMES) and tag in ("div", "section", "td") and bool(parts & {"article", "entry", "story", "post"})
-        elif name == "role":
+        elif name == "role" and tag in NAMED:
             boiler |= value.lower() in ROLES
             main |= value.lower() in ("main", "article")
         elif name == "itemprop":
@@ -153,6 +172,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     pieces: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, boilerplate, article
+    held: Counter[str] = Counter()  # how many of each are open
+    tops: list[int] = []  # places of blocks in the stack
     boiler = main = anchors = 0
 
     def flush() -> None:
@@ -172,7 +193,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
 
     def pop() -> None:
         nonlocal boiler, main
-        _, b, m = stack.pop()
+        name, b, m = stack.pop()
+        held[name] -= 1
+        if name in BLOCKS:
+            tops.pop()
         boiler -= b
         main -= m
 
@@ -193,7 +217,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if tag == "a":
                 anchors = max(0, anchors - 1)
                 linked.append(" ")
-            elif any(x[0] == tag for x in stack):
+            elif held[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -205,11 +229,15 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag == "a":
             anchors = 1  # links do not nest
         elif tag not in VOID and not raw.endswith("/"):
-            for other in CLOSES.get(tag, ()):
-                if stack and stack[-1][0] == other:
+            while tag in BLOCKS and tops and (stack[tops[-1]][0] == "p" or stack[tops[-1]][0] in CLOSES.get(tag, ())):
+                end = tops[-1]
+                while len(stack) > end:
                     pop()
             if tag in BLOCKS or raw:
                 b, a = _marks(tag, raw, main > 0)
+                if tag in BLOCKS:
+                    tops.append(len(stack))
+                held[tag] += 1
                 stack.append((tag, b, a))
                 boiler += b
                 main += a
