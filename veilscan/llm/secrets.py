@@ -2,9 +2,13 @@
 
 Three base kinds are defined by expression alone (assign, access, hex). The method adds tokens whose
 last characters are a checksum of the others, signed web tokens, key blocks and card numbers; these
-are reported only if their own check holds. Work is per document: no shuffle.
+are reported only if their own check holds (checksum, JSON parts, stated length of the key, Luhn sum).
+Hex runs and card numbers have no keyword, so their expressions read the whole text. Work is per
+document, in time that grows as its length: no shuffle.
 
-Defined results: a null or empty text has no spans; repeated rows give repeated results.
+Defined results: a null or empty text has no spans; whole texts are read, however long; of equal spans
+of several kinds each is listed; repeated rows give repeated results; an empty table gives no rows;
+extra columns are ignored by `scan` and kept by `redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import map_batches, set_batches, texts
+from veilscan.llm._common import map_batches, texts
 
 # The base kinds' expressions.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # What the added kinds look like from their keyword on.
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-SIGNED = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 BLOCK = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 KINDS = ("assign", "access", "hex", "checked", "signed", "block", "card")
@@ -64,6 +68,21 @@ def _json_part(part: str) -> bool:
         return False
 
 
+def key_block(body: str) -> bool:
+    """Whether the body is a key by its own marks: a DER sequence that is as long as it says, or the OpenSSH form."""
+    try:
+        raw = base64.b64decode("".join(body.split()), validate=True)
+    except (ValueError, binascii.Error):
+        return False
+    if raw.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(raw) < 2 or raw[0] != 0x30:
+        return False
+    more = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    size = int.from_bytes(raw[2 : 2 + more], "big") if more else raw[1]
+    return len(raw) == 2 + more + size
+
+
 def automaton():
     import ahocorasick
 
@@ -101,7 +120,7 @@ def spans(text: str, words) -> list[tuple[int, int, str]]:
     out.extend((m.start(), m.end(), "hex") for m in HEX.finditer(text))
     anchored("checked", CHECKED, lambda m: checksum62(m[1]) == m[2])
     anchored("signed", SIGNED, lambda m: _json_part(m[1]) and _json_part(m[2]))
-    anchored("block", BLOCK, lambda m: True)
+    anchored("block", BLOCK, lambda m: key_block(m[2]))
     out.extend((m.start(), m.end(), "card") for m in CARD.finditer(text) if luhn(re.sub("[ -]", "", m[0])))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -144,6 +163,5 @@ def redact(docs: DataFrame) -> DataFrame:
         words = automaton()
         return text.map(lambda t: None if t is None else mask(t, spans(t, words)))
 
-    set_batches(docs.sparkSession)
     out = docs.withColumn("text", masked(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
