@@ -2,12 +2,15 @@
 
 A text is parsed into dictionary phrases (LZ78 over words: each phrase is the longest known phrase
 and one more word; words above 24 characters are cut where their characters say so, so that texts
-without spaces parse too and an inserted character moves only the cuts beside it). The phrases are hashed; the 128 smallest hashes are the signature, and the likeness of two signatures
-estimates the Jaccard likeness of the phrase sets.
+without spaces parse too and an inserted character moves only the cuts beside it). The phrases are
+hashed; the 128 smallest hashes are the signature, and the likeness of two signatures estimates the
+Jaccard likeness of the phrase sets.
 
 Defined results: a null text is empty; an empty text has an empty signature, which is like another
-empty one (1) and unlike all others (0); repeated ids follow in order of their texts; a single
-document follows itself; an empty table gives no rows.
+empty one (1) and unlike all others (0); whole texts are parsed, however long; repeated ids follow in
+order of their texts, rows without a doc_id come first in order of their texts' hashes; repeated rows
+give a row each; a single document follows itself; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,40 +140,51 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def firsts(keys: DataFrame, parts: int) -> np.ndarray:
+    """The smallest number of each of about `parts` even ranges of the one column of `keys`: a number a range comes to the driver."""
+    key = keys.columns[0]
+    ranges = keys.repartitionByRange(parts, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first"))
+    return np.unique(ranges.select("first").toPandas()["first"].to_numpy(np.int64))
+
+
+def fingerprint_neighbours(docs: DataFrame, parts: int | None = None, rows_per_part: int = 50_000) -> DataFrame:
     """Fingerprints of every text of `docs` (doc_id, text), of its edited form, and likeness to both and to the next.
 
-    Documents go to ranges of doc_id, sorted; the first of each range also goes to the range before,
-    so that every document meets its successor without a global order in one task.
+    Documents go to ranges of doc_id, sorted, a range to a partition; the first of each range also goes to
+    the range before, so that every document meets its successor without a global order in one task.
+    Rows without a doc_id come first, in ranges of their texts' hashes, so that they aren't one range.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("hash", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    nulls = docs.filter("doc_id IS NULL")
+    n, n_null = docs.count(), nulls.count()
     if parts is None:
-        parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 20_000)
-    ids = docs.select("doc_id").repartitionByRange(parts, "doc_id")
-    firsts = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first")).collect()  # one number a part
-    starts = sorted({r["first"] for r in firsts} - {None})
-    nulls = docs.filter("doc_id IS NULL").limit(1).count()  # null ids sort first
-    bounds = np.array(starts[1:] if not nulls else starts, np.int64)
-    parts = len(bounds) + 1
-    lead = None if nulls else (starts[0] if starts else None)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // rows_per_part)
+    own = -(-parts * n_null // n) if n_null else 0  # parts of rows without a doc_id
+    heads = firsts(nulls.select("hash"), own) if n_null else np.zeros(0, np.int64)
+    tails = firsts(docs.filter("doc_id IS NOT NULL").select("doc_id"), parts) if n_null < n else np.zeros(0, np.int64)
+    parts = max(1, len(heads) + len(tails))
+    shared = spark.sparkContext.broadcast((heads, tails))  # a number a part
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, tails = shared.value
+        names = ["doc_id", "text", "hash", "part", "edge"]
         for batch in batches:
-            ids = batch["doc_id"]
-            values = np.array(ids.fill_null(np.iinfo(np.int64).min))
-            part = np.searchsorted(bounds, values, "right")
-            first = np.isin(values, bounds)
-            is_lead = np.array(ids.is_null()) if lead is None else values == lead
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.zeros(len(part), np.int64))], names=["doc_id", "text", "part", "edge"])
-            for mask, to in ((first, part - 1), (is_lead, np.full(len(part), parts - 1))):
-                if mask.any():
-                    yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(mask)) for c in batch.columns), pa.array(to[mask]), pa.array(np.ones(mask.sum(), np.int64))], names=["doc_id", "text", "part", "edge"])
+            null = np.array(batch["doc_id"].is_null())
+            hashed, ids = np.array(batch["hash"].fill_null(0)), np.array(batch["doc_id"].fill_null(0))
+            part = np.where(null, np.searchsorted(heads, hashed, "right") - 1, np.searchsorted(tails, ids, "right") - 1 + len(heads))
+            first = np.where(null, np.isin(hashed, heads), np.isin(ids, tails))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(np.zeros(len(part)), pa.int32())], names=names)
+            if first.any():  # to the part before; the first of all to the last part
+                some = [c.filter(pa.array(first)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*some, pa.array((part[first] - 1) % parts, pa.int32()), pa.array(np.ones(first.sum()), pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
         held: list[tuple] = []  # (doc_id, text, next text)
         before = None  # (part, doc_id, text) that waits for its successor
+        chars = 0  # of held texts
 
         def out() -> pa.RecordBatch:
             parser.start()
@@ -207,11 +221,13 @@ def fingerprint_neighbours(docs: DataFrame, parts: int | None = None) -> DataFra
                     before = None
                 if not edge:
                     before = (part, doc_id, text)
-                if len(held) >= 500:
+                chars += len(text)
+                if len(held) >= 500 or (held and chars > 4_000_000):
+                    chars = 0
                     yield out()
         if held:
             yield out()
 
-    dealt = map_batches(docs, deal, "doc_id long, text string, part long, edge long")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "edge", "doc_id", "text")
+    dealt = map_batches(docs, deal, "doc_id long, text string, hash long, part int, edge int")
+    ordered = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "edge", "doc_id", "hash", "text")
     return map_batches(ordered, run, FINGERPRINTED)
