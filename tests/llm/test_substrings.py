@@ -79,3 +79,34 @@ def test_odd_rows(spark, odd, none):
     assert substrings.Repeats().run(none).count() == 0
     rows = [(None, "k " * 60), (5, "k " * 60), (6, "k " * 61), (None, "k " * 60)]
     assert got(substrings.Repeats().run(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def morse(n, letters="ab"):
+    text = letters[0]
+    while len(text) < n:
+        text += text.translate(str.maketrans(letters, letters[::-1]))
+    return text
+
+
+def test_words_whose_sums_cancel_are_told_apart(spark):
+    """Thue-Morse words and their mirrors: polynomial hashes modulo a power of two can't tell them apart."""
+    docs = []
+    for n in (64, 1024, 2048, 4096):
+        for other in (False, True):
+            odd = morse(n, "ba" if other else "ab")
+            docs.append((len(docs), " ".join([f"x{i}" for i in range(30)] + [odd] + [f"y{i}" for i in range(30)])))
+    assert got(substrings.Repeats().run(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+    from veilscan.llm._words import word_hashes
+
+    words = [morse(n, a).encode() for n in (8, 16, 32, 64, 128, 1024, 2048, 4096) for a in ("ab", "ba")] + [b"a", b"a\0", b"\0", b"a" * 8, b"a" * 9, b"a" * 64, b"a" * 65]
+    for seed in (0, 1):
+        assert len(set(word_hashes(words, seed)[0].tolist())) == len(words)
+        assert word_hashes([b" ".join(words)], seed)[0].tolist() == word_hashes(words, seed, at_once=10)[0].tolist()
+
+
+def test_a_passage_that_most_texts_share(spark):
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(55)]
+    docs = [(i, " ".join([rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(rng.randrange(5, 90))] + passage)) for i in range(300)]
+    docs += [(1000 + i, docs[0][1]) for i in range(200)]
+    assert got(substrings.Repeats().run(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == brute(docs)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 from veilscan.llm._common import mix64
 
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\r\x0b\x0c")] = True
-FACTOR = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
+ODD = np.uint64(0xD1342543DE82EF95)
+# What a load of eight bytes keeps of a word's last 0 to 8.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 64  # bytes; longer words are hashed one by one
 
 
 def splits(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -24,27 +25,36 @@ def splits(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return raw, begin, end, counts
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """FACTOR to the power 0, 1, ... and the inverses."""
-    out = []
-    for factor in (FACTOR, pow(FACTOR, -1, 1 << 64)):
-        row = np.full(1 << bits, np.uint64(factor))
-        row[0] = 1
-        out.append(np.cumprod(row))
-    return out[0], out[1]
-
+def hashed(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of raw[begin:end] of each word, eight bytes a step: every step multiplies and scrambles, so that no sum over a word's places can cancel."""
+    import xxhash
 
-@functools.cache
-def _letters(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed + 12345).integers(0, 1 << 64, 256, dtype=np.uint64)
+    data = raw.tobytes() + b"\0" * 8
+    eight = np.ndarray(len(raw) + 1, np.dtype("<u8"), data, strides=(1,))
+    size = end - begin
+    h = mix64(size.astype(np.uint64) * ODD + np.uint64(seed * 2 + 1))
+    todo, at, left = None, begin, size
+    for _ in range(LONG // 8):
+        h_now = h if todo is None else h[todo]
+        h_now = mix64((h_now ^ (eight[at] & KEEP[np.minimum(left, 8)])) * ODD)
+        if todo is None:
+            h = h_now
+        else:
+            h[todo] = h_now
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        todo = more if todo is None else todo[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]], seed)
+    return h
 
 
-def word_hashes(docs: list[bytes], seed: int = 0, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(docs: list[bytes], seed: int = 0, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of each word of all documents in turn, number of words of each document).
 
-    A word's hash is the sum of its bytes' random values times powers of an odd factor, modulo 2**64,
-    then scrambled. Documents go in runs of about `at_once` bytes, which bounds memory.
+    Hashes of different seeds are independent. Documents go in runs of about `at_once` bytes, which bounds memory.
     """
     values, counts, part, size = [], [], [], 0
     for i, doc in enumerate(docs):
@@ -52,10 +62,7 @@ def word_hashes(docs: list[bytes], seed: int = 0, at_once: int = 1 << 21) -> tup
         size += len(doc) + 1
         if size >= at_once or i + 1 == len(docs):
             raw, begin, end, n = splits(part)
-            power, inverse = _powers(max(16, int(len(raw)).bit_length()))
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(_letters(seed)[raw] * power[: len(raw)], out=total[1:])
-            values.append(mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64)))
+            values.append(hashed(raw, begin, end, seed))
             counts.append(n)
             part, size = [], 0
     if not values:

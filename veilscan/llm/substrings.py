@@ -7,13 +7,18 @@ equal symbols in their interior. Every symbol keeps the stretch of words that it
 
 Each window of `window` words picks, among the symbols whose stretch lies inside it, the first of the
 latest round: equal windows pick equal symbols. Only windows whose symbol occurs in different texts
-can repeat; these are hashed (96 bits) and matched against the smallest doc_id that holds them.
+can repeat; these are matched against the smallest doc_id that holds them, by two hashes that come
+from independent hashes of their words (64 and 32 bits).
 
 Texts with equal words are one class, kept by its smallest doc_id; other rows of a class are removed
-whole if they have a window at all.
-
-Defined results: null, empty and wordless texts have 0 words and keep the empty text; repeated rows
-of one doc_id are no copies of each other; a null doc_id is smaller than none and is kept whole.
+whole if they have a window at all. Only that document's symbols are dealt out, so a group of copies
+however large is one row there. A symbol or window that many texts share is met by partial sums and
+by joins whose large keys Spark may split.
+
+Defined results: null, empty and wordless texts have 0 words and keep the empty text; texts of fewer
+words than the window lose none; repeated rows of one doc_id are no copies of each other; a null
+doc_id is smaller than none and is kept whole; an empty table gives no rows; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -138,6 +143,22 @@ def window_hashes(words: np.ndarray, window: int, seed: int) -> np.ndarray:
     return out
 
 
+def both_hashes(raw: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of the window at each place, where each text starts, and its words."""
+    values, counts = word_hashes(raw)
+    words, _, begin = fenced(values, counts)
+    h = window_hashes(words, window, 1)
+    words = fenced(word_hashes(raw, 1)[0], counts)[0]
+    return h, window_hashes(words, window, 2).astype(np.uint32).view(np.int32), begin, counts
+
+
+def pairs(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Both hashes of each window as one value."""
+    both = np.empty((len(h), 2), np.uint64)
+    both[:, 0], both[:, 1] = h, check.view(np.uint32)
+    return both.view("V16").ravel()
+
+
 def joined(raw: bytes) -> bytes:
     """The words of a text with one space between them."""
     return b" ".join(raw.split())
@@ -179,20 +200,18 @@ class Repeats:
         return map_batches(docs, run, PARSED)
 
     def windows(self, candidates: DataFrame) -> DataFrame:
-        """(h, check, doc_id): 96-bit hashes of the windows in each candidate's ranges, each once a document."""
+        """(h, check, doc_id): hashes of the windows in each candidate's ranges, each once a document."""
         window = self.window
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                values, counts = word_hashes([t.encode() for t in texts(batch["text"])])
-                words, _, begin = fenced(values, counts)
-                h, check = window_hashes(words, window, 1), window_hashes(words, window, 2)
+                h, check, begin, counts = both_hashes([t.encode() for t in texts(batch["text"])], window)
                 for i, (doc_id, ranges) in enumerate(zip(batch["doc_id"].to_pylist(), batch["ranges"].to_pylist(), strict=True)):
                     at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
                     at = at[at <= counts[i] - window] + begin[i]  # another text of this doc_id may be longer
                     _, once = np.unique(h[at], return_index=True)
                     at = at[once]
-                    same = [pa.array(h[at].view(np.int64)), pa.array(check[at].astype(np.uint32).view(np.int32)), pa.array(np.full(len(at), doc_id, np.int64))]
+                    same = [pa.array(h[at].view(np.int64)), pa.array(check[at]), pa.array(np.full(len(at), doc_id, np.int64))]
                     yield pa.RecordBatch.from_arrays(same, names=["h", "check", "doc_id"])
 
         return map_batches(candidates, run, "h long, check int, doc_id long")
@@ -206,16 +225,14 @@ class Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw = [t.encode() for t in texts(batch["text"])]
-                values, counts = word_hashes(raw)
-                words, _, begin = fenced(values, counts)
-                h = window_hashes(words, window, 1)
+                h, check, begin, counts = both_hashes(raw, window)
                 cols: list[list] = [[], [], [], []]
                 for i, (doc_id, gone) in enumerate(zip(batch["doc_id"].to_pylist(), batch["gone"].to_pylist(), strict=True)):
-                    own = h[begin[i] : begin[i] + max(0, counts[i] - window + 1)]
-                    hit = np.isin(own, np.array(gone, np.int64).view(np.uint64))
+                    own = slice(begin[i], begin[i] + max(0, counts[i] - window + 1))
+                    hit = np.isin(pairs(h[own], check[own]), pairs(np.array([g["h"] for g in gone], np.int64).view(np.uint64), np.array([g["check"] for g in gone], np.int32)))
                     change = np.zeros(counts[i] + 1, np.int64)
-                    change[: len(own)] += hit
-                    change[window : window + len(own)] -= hit
+                    change[: len(hit)] += hit
+                    change[window : window + len(hit)] -= hit
                     stay = np.cumsum(change)[:-1] == 0
                     left = b" ".join([w for w, s in zip(raw[i].split(), stay.tolist(), strict=True) if s])
                     hi = int(np.frombuffer(xxhash.xxh128_digest(joined(raw[i])), np.int64)[0])
@@ -234,16 +251,19 @@ class Repeats:
         """
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         parsed = materialise(self.parsed(docs))
-        classes = parsed.filter("n_words > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+        # Written, so that the join stands on its own exchanges and a large class can be split.
+        classes = materialise(parsed.filter("n_words > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")))
         rows = materialise(parsed.select("doc_id", "n_words", "hi", "lo", "sha").join(classes, ["hi", "lo"], "left"))
-        picked = parsed.filter("doc_id IS NOT NULL")
-        shared = picked.select("hi", F.explode("anchors.symbol").alias("symbol")).groupBy("symbol").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("symbol")
-        hits = picked.select("doc_id", F.inline("anchors")).join(shared, "symbol").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-        hits = materialise(hits.join(rows.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"))
+        # Representatives alone can share a window with a smaller doc_id of another text.
+        heads = rows.filter("doc_id = rep").select("doc_id", "hi", "lo").distinct()
+        picked = materialise(parsed.select("doc_id", "hi", "lo", "anchors").join(heads, ["doc_id", "hi", "lo"], "left_semi").select("doc_id", "hi", F.inline("anchors")))
+        # Written, so that the join stands on its own exchanges and a symbol of many texts can be split.
+        shared = materialise(picked.groupBy("symbol").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("symbol"))
+        hits = materialise(picked.join(shared, "symbol").groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
         candidates = materialise(docs.join(hits, "doc_id"))
-        found = self.windows(candidates)
-        least = found.groupBy("h", "check").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        gone = materialise(found.join(least, ["h", "check"]).filter("least < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("gone")))
+        found = materialise(self.windows(candidates))
+        least = materialise(found.groupBy("h", "check").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+        gone = materialise(found.join(least, ["h", "check"]).filter("least < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("h", "check")).alias("gone")))
         cut = self.kept(candidates.drop("ranges").join(gone, "doc_id")).select("doc_id", "hi", "n_removed", F.sha2("kept", 256).alias("cut_sha")).distinct()
         out = rows.join(cut, ["doc_id", "hi"], "left")
         copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= self.window)
