@@ -2,29 +2,71 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
 from veilscan.sources.tables import materialise, scratch_dir, table  # noqa: F401
 
 # Words are maximal runs outside ASCII white space. bytes.split() has exactly these separators.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-# Rows that Spark hands to a Python worker at once: bounds a worker's memory when texts are long.
-BATCH_ROWS = 1000
+# What a function sees at once: bounds a Python worker's memory whatever batches Spark hands over.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows and about `size` bytes of text (or one row), without copies."""
+    for batch in batches:
+        long = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        total = np.cumsum(sum((np.array(pc.fill_null(pc.binary_length(c), 0), np.int64) for c in long), np.zeros(len(batch), np.int64)))
+        start = 0
+        while start < len(batch):
+            before = total[start - 1] if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(total, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
-def set_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session; texts of 100 KB then stay near 100 MB a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def release() -> None:
+    """Gives what a task has freed back to the system, so that a worker which serves many stages doesn't keep the most of each."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches."""
-    set_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow in small batches; what a task has freed goes back to the system when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(small(batches))
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of the whole-number columns `keys`, which must lie together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = np.stack([np.asarray(batch[k]) for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for a, b in itertools.pairwise(cuts):
+            key = values[a].tolist()
+            if held and key != last:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def texts(col: pa.Array) -> list[str]:

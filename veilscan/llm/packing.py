@@ -49,7 +49,7 @@ class Encoder:
     letters when they are normalised (`only_letters`); any other word is encoded whole.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 400_000) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
@@ -98,7 +98,7 @@ class Encoder:
         for w in fresh:
             core = w.rstrip(b".,")
             if core.isalpha():  # bytes: ASCII letters only
-                heads.append(core_of(core.lower()))
+                heads.append(core_of(core if core.islower() else core.lower()))
             elif core and only_letters(core.decode()):
                 heads.append(core_of(core))
             else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import fingerprints, html_text, jaccard, lines, mixing, packing, quality, secrets, sql, substrings, toxicity
 from veilscan.llm._common import table
+from veilscan.sources.tables import spread
 
 SEQUENCE_LENGTH = 2048
 
@@ -20,45 +21,45 @@ def tokenizer_path() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_LENGTH)
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path(), SEQUENCE_LENGTH)
 
 
 def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.Repeats(window=50).run(table(spark, sf_dir, "documents"))
+    return substrings.Repeats(window=50).run(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
-    return lines.line_rules(table(spark, sf_dir, "documents")).select(*names)
+    return lines.line_rules(spread(table(spark, sf_dir, "documents"))).select(*names)
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = mixing.draw(mixing.measured(table(spark, sf_dir, "documents")))
+    drawn = mixing.draw(mixing.measured(spread(table(spark, sf_dir, "documents"))))
     return drawn.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_neighbours(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.Join(k=4, num=85, den=100).run(table(spark, sf_dir, "documents"))
+    return jaccard.Join(k=4, num=85, den=100).run(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), with_text=False).drop("masked")
+    return secrets.scan(spread(table(spark, sf_dir, "documents")), with_text=False).drop("masked")
 
 
 def op9_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import map_batches, texts
+from veilscan.llm._common import map_batches, release, texts
 
 # The base kinds' expressions.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -161,7 +161,9 @@ def redact(docs: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def masked(text: pd.Series) -> pd.Series:
         words = automaton()
-        return text.map(lambda t: None if t is None else mask(t, spans(t, words)))
+        found = text.map(lambda t: None if t is None else mask(t, spans(t, words)))
+        release()
+        return found
 
     out = docs.withColumn("text", masked(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

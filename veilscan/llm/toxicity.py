@@ -11,7 +11,9 @@ The fit uses a sample of whole labelled texts, at most `most_rows` of them and a
 characters, bounds by design; scoring reads every word of every text.
 
 Defined results: a null text is empty and scores like padding alone; without labels of both kinds
-every score is 0; repeated rows give equal scores.
+every score is 0; repeated rows give equal scores; whole texts are read, however long; texts
+that score alike stay alike on either side of the threshold; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
