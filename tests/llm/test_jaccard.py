@@ -41,7 +41,7 @@ def test_op7_equals_brute_force(spark, sf):
     assert got == brute(docs, 4, 85, 100)
 
 
-@pytest.mark.parametrize("settings", [{}, {"group_tokens": 300, "query_tokens": 500, "broadcast_rows": 0, "heavy_most": 3}])
+@pytest.mark.parametrize("settings", [{}, {"group_tokens": 300, "query_tokens": 500, "broadcast_bytes": -1, "heavy_most": 3}, {"group_tokens": 2000, "pivots": 1}])
 def test_families_of_near_copies(spark, settings):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(4000)]
@@ -54,6 +54,7 @@ def test_families_of_near_copies(spark, settings):
         docs.append((i, " ".join(text)))
     docs += [(300 + i, " ".join([rng.choice(words) for _ in range(60)] + passage)) for i in range(60)]
     docs += [(400, ""), (401, None), (402, "one two"), (403, "ONE two"), (404, " ")]
+    docs += docs[5:8] * 3  # repeated rows
     rng.shuffle(docs)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.Join(4, 85, 100, **settings).run(frame).collect()}
@@ -62,11 +63,13 @@ def test_families_of_near_copies(spark, settings):
 
 
 def test_bound_is_never_below_the_overlap():
-    rng = np.random.default_rng(2)
+    rng, pairs = np.random.default_rng(2), []
     for _ in range(50):
         a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([rng.choice(a, len(a) // 2), rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64)]))
-        assert jaccard.overlap_bound(jaccard.sketch(a), jaccard.sketch(b)) >= len(np.intersect1d(a, b))
+        pairs.append((jaccard.sketch(a).tobytes(), jaccard.sketch(b).tobytes(), len(np.intersect1d(a, b))))
+    one, other, overlap = zip(*pairs, strict=True)
+    assert (jaccard.overlap_bounds(one, other, at_once=500) >= overlap).all()
 
 
 def test_components(spark):
@@ -79,3 +82,36 @@ def test_odd_rows(odd, none):
     got = [(r.doc_id, (r.n_shingles, r.component_id)) for r in jaccard.Join().run(odd).collect()]
     assert len(got) == odd.count() and dict(got) == brute([(r.doc_id, r.text) for r in odd.collect()], 5, 80, 100)
     assert jaccard.Join().run(none).count() == 0
+
+
+def test_sets_whose_sums_cancel_are_told_apart(spark):
+    from test_substrings import morse
+
+    docs = [(2 * j + k, " ".join([morse(n, "ba" if k else "ab")] * 3 + [f"x{j}"] * (j % 2))) for j, n in enumerate((64, 1024, 2048)) for k in (0, 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.Join(4, 85, 100).run(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs, 4, 85, 100)
+
+
+def test_near_copies_at_the_threshold_are_all_linked(spark):
+    """Copies with few words changed: every one that the definition links is linked, whichever the chunk."""
+    rng = random.Random(8)
+    docs, words = [], [f"w{i}" for i in range(3000)]
+    for f in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([40, 90, 200]))]
+        docs.append((f * 100, " ".join(base)))
+        for i in range(1, 25):
+            text = list(base)
+            for _ in range(rng.randrange(4)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            docs.append((f * 100 + i, " ".join(text)))
+    want = brute(docs, 4, 85, 100)
+    found = jaccard.Join(4, 85, 100, group_tokens=500).run(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == want
+    assert sum(d != c for d, (_, c) in want.items()) > 150
+
+
+def test_texts_of_one_doc_id_join_their_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(9, a), (8, a + " end"), (5, a), (5, b), (7, b + " end"), (3, c), (5, b)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.Join(4, 85, 100).run(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(3, 57, 3), (5, 57, 5), (5, 57, 5), (5, 57, 5), (7, 58, 5), (8, 58, 5), (9, 57, 5)]
