@@ -1,3 +1,5 @@
+import functools
+import os
 import zlib
 from collections import defaultdict
 
@@ -8,6 +10,8 @@ from hypothesis import strategies as st
 
 from veilscan.llm import packing, queries
 
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one text at a time: threads would only wait for one another
+
 
 def whole(text):
     from tokenizers import Tokenizer
@@ -16,6 +20,11 @@ def whole(text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+@functools.cache
+def encoder(limit):
+    return packing.Encoder(open(queries.tokenizer_path(), encoding="utf-8").read(), limit=limit)
+
+
 def check(rows, docs):
     want = sorted((d, p, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, t in docs for ids in [whole(t)] for p, s in enumerate(range(0, len(ids), 2048)) for x in [ids[s : s + 2048]])
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
@@ -57,8 +66,7 @@ def test_plan_uses_every_length_once(counts):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=8))
 def test_words_give_the_ids_of_the_text(texts):
-    encoder = packing.Encoder(open(queries.tokenizer_path(), encoding="utf-8").read(), limit=5)
-    assert [x.tolist() for x in encoder.batch(texts)] == [whole(t) for t in texts]
+    assert [x.tolist() for x in encoder(5).batch(texts)] == [whole(t) for t in texts]
 
 
 # Letters that fall apart or together when they are normalised, marks, and what stands beside words.
@@ -67,15 +75,13 @@ MARKED = st.text(alphabet="İıK\u0958\ufb2aﬁǆǅß\u0301\u0307\u0345éE\u212b
 
 @pytest.mark.parametrize("text", ["İ.", "Gİ, b", "\u0958.", "\ufb2a.", "İ,. İ x. \u0958", "'S 'Ll it's, don't."])
 def test_letters_that_normalise_to_marks(text):
-    encoder = packing.Encoder(open(queries.tokenizer_path(), encoding="utf-8").read())
-    assert [x.tolist() for x in encoder.batch([text])] == [whole(text)]
+    assert [x.tolist() for x in encoder(1000).batch([text])] == [whole(text)]
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(MARKED, max_size=6))
 def test_words_of_odd_letters_give_the_ids_of_the_text(texts):
-    encoder = test_words_of_odd_letters_give_the_ids_of_the_text.__dict__.setdefault("e", packing.Encoder(open(queries.tokenizer_path(), encoding="utf-8").read(), limit=50))
-    assert [x.tolist() for x in encoder.batch(texts)] == [whole(t) for t in texts]
+    assert [x.tolist() for x in encoder(50).batch(texts)] == [whole(t) for t in texts]
 
 
 def test_triples_are_found():
