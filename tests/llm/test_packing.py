@@ -13,11 +13,15 @@ from veilscan.llm import packing, queries
 os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one text at a time: threads would only wait for one another
 
 
-def whole(text):
+@functools.cache
+def reference():
     from tokenizers import Tokenizer
 
-    tokenizer = whole.__dict__.setdefault("t", Tokenizer.from_file(queries.tokenizer_path()))
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def whole(text):
+    return [*reference().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @functools.cache
