@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import fingerprints, html_text, jaccard, lines, mixing, packing, quality, secrets, sql, substrings, toxicity
+from veilscan.llm import audit, fingerprints, html_text, jaccard, lines, mixing, packing, quality, secrets, sql, substrings, toxicity
 from veilscan.llm._common import table
 from veilscan.sources.tables import spread
 
@@ -62,6 +62,10 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op13_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

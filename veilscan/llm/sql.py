@@ -42,4 +42,21 @@ c AS (SELECT doc_id AS id, doc_id AS reached FROM d UNION SELECT id, b FROM c JO
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id FROM d JOIN c ON id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE = {"op2_recompression_dedup": OP2, "op3_line_frequency": OP3, "op7_ngram_jaccard": OP7}
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+m AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+  100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text), regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > least, false)] AS fails FROM d JOIN m USING (text) LEFT JOIN l ON l.doc_id = d.doc_id),
+x AS (SELECT chr(CAST(65 + i AS INT)) AS c, i + 1 AS i FROM range(5) AS r(i)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS ids FROM x a JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c) JOIN x d ON d.c NOT IN (a.c, b.c, c.c) JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+r AS (SELECT part, filter_order, good, toxic, n, fails, ids, coalesce(list_position([fails[i] FOR i IN ids], true), 6) AS first FROM g, o),
+s AS (SELECT part, filter_order, step, ids[step] AS letter, first, fails[ids[step]] AS fails, len([y FOR y IN fails IF y]) AS n_fails, good, toxic, n FROM r, range(1, 6) AS t(step)),
+c AS (SELECT part, filter_order, CAST(step AS INT) AS step, letter, CAST(sum(n) FILTER (first > step) AS BIGINT) AS kept, CAST(sum(n) FILTER (first = step) AS BIGINT) AS removed, CAST(sum(n) FILTER (fails AND first < step) AS BIGINT) AS redundant,
+  CAST(sum(n) FILTER (fails AND n_fails = 1) AS BIGINT) AS unique_fails, CAST(sum(n) FILTER (first = step AND good) AS BIGINT) AS good_lost, CAST(sum(n) FILTER (first = step AND toxic) AS BIGINT) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM c
+"""
+
+ORACLE = {"op2_recompression_dedup": OP2, "op3_line_frequency": OP3, "op7_ngram_jaccard": OP7, "op13_filter_replay": OP13}
