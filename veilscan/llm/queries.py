@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import audit, fingerprints, html_text, infilling, jaccard, lines, mixing, packing, quality, secrets, sql, substrings, toxicity
+from veilscan.llm import audit, cutting, fingerprints, html_text, infilling, jaccard, lines, mixing, packing, quality, secrets, sql, substrings, toxicity
 from veilscan.llm._common import table
 from veilscan.sources.tables import spread
 
@@ -62,6 +62,10 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op11_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.pack_documents(spread(table(spark, sf_dir, "documents")), tokenizer_path(), SEQUENCE_LENGTH)
+
+
 def op12_infilling_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.Infilling().run(spread(table(spark, sf_dir, "documents")), with_text=False)
 
