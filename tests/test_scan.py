@@ -134,6 +134,29 @@ def test_odd_rows_and_clashing_columns(spark):
     assert S.explode_findings(S.scan(rows.limit(0))).count() == 0 and M.camouflaged_copies(rows.limit(0)).count() == 0
 
 
+def test_names_in_other_cases_and_with_dots(spark):
+    names = ["Findings", "Score", "Kind", "HIDING", "a.b", "odd`name", "Text_"]
+    rows = spark.createDataFrame([(1, "token = abcdefgh1234567890", "en", "s", *range(len(names)))], ["doc_id", "text", "lang", "source", *names])
+    scanned = S.scan(rows)
+    assert scanned.columns == ["doc_id", "lang", "source", *names[1:], "findings"]
+    verdicts = S.verdict(scanned)
+    assert verdicts.columns == ["doc_id", "lang", "source", "Kind", "a.b", "odd`name", "Text_", *S.VERDICT] and verdicts.first().score == 3
+    found = S.explode_findings(scanned)
+    assert [c.lower() for c in found.columns].count("kind") == 1 and found.first()["a.b"] == 4
+    files = rows.selectExpr("'a.txt' AS path", "CAST(text AS BINARY) AS content", "CAST(5 AS BIGINT) AS length", "Findings", "Score", "`a.b`")
+    assert S.verdict_files(files).columns == ["path", "length", "a.b", *S.VERDICT]
+
+
+def test_written_queries_scan_once(spark):
+    """Detectors stand in a plan once: what explodes or filters a scan reads it from a table."""
+    from veilscan.sources.tables import materialise
+
+    scanned = S.scan(docs(spark, ["token = abcdefgh1234567890"]))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert plan(S.explode_findings(scanned)) > 2 * plan(S.verdict(scanned))
+    assert plan(S.explode_findings(materialise(scanned))) == 0
+
+
 def test_linear_spellings_find_the_same(spark):
     import random
     import re

@@ -1,4 +1,7 @@
-"""B2, B3: byte structure of raw files, in one vectorised helper."""
+"""B1 to B3: byte structure of raw files, in one vectorised helper.
+
+A null or empty content has no kind, nothing behind its end and nothing inside.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,7 @@ ENDS = {"png": b"IEND\xaeB`\x82", "jpg": b"\xff\xd9", "pdf": b"%%EOF"}
 ZIP_END = b"PK\x05\x06"
 # Signatures of two bytes occur by chance: only longer ones are looked for inside.
 INSIDE = {k: bytes.fromhex(v) for k, v in SIGNATURES.items() if len(v) >= 8 and k != "gif"} | {"gif": b"GIF89a"}
+SEVERITY = {"B1": 3, "B2": 2, "B3": 2}
 ANY_INSIDE = re.compile(b"|".join(re.escape(v) for v in INSIDE.values()))
 
 
@@ -58,14 +62,21 @@ def structure(content: Column) -> Column:
     return look(content)
 
 
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def wrong_type(extension: Column, kind: Column) -> Column:
+    """B1: whether the leading bytes are those of another type than the extension says."""
+    return F.when(kind.isNotNull(), extension != kind).otherwise(extension.isin(*SIGNATURES))
+
+
 def byte_findings(path: Column, content: Column) -> Column:
     """B1 to B3 as an array of findings: another type than the extension says, bytes past the end, another file inside."""
-    extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     found = structure(content)
     kind = found["kind"]
-    wrong = F.when(kind.isNotNull(), extension != kind).otherwise(extension.isin(*SIGNATURES))
     none = no_hits()
-    mismatch = F.when(wrong, F.array(F.concat_ws(" ", extension, kind))).otherwise(none)
+    mismatch = F.when(wrong_type(extension(path), kind), F.array(F.concat_ws(" ", extension(path), kind))).otherwise(none)
     trailing = F.when(found["trailing"] > 0, F.array(F.concat(found["trailing"].cast("string"), F.lit(" bytes")))).otherwise(none)
     inside = F.transform(found["embedded"], lambda at: F.concat(F.lit("at "), at.cast("string")))
-    return F.concat(findings(mismatch, "B1", "type_mismatch", 3), findings(trailing, "B2", "trailing_bytes", 2), findings(inside, "B3", "embedded_file", 2))
+    return F.concat(findings(mismatch, "B1", "type_mismatch", SEVERITY["B1"]), findings(trailing, "B2", "trailing_bytes", SEVERITY["B2"]), findings(inside, "B3", "embedded_file", SEVERITY["B3"]))

@@ -14,7 +14,8 @@ from veilscan.jobs.corpus import corpus_report, corpus_verdict
 from veilscan.operators import match as M
 from veilscan.operators import plant
 from veilscan.operators import scan as S
-from veilscan.sources.tables import TEXT_TABLES, materialise, read_text_docs, scratch_path, spread, table, write_findings
+from veilscan.sources import ranges
+from veilscan.sources.tables import TEXT_TABLES, list_files, materialise, read_text_docs, scratch_path, spread, table, write_findings
 from veilscan.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,9 +147,9 @@ PAGE_SQL = {
 PAGE_HITS = {"p1_html_comments": (D.html_comments, "P1"), "p2_html_hidden_elements": (D.html_hidden_elements, "P2"), "p3_html_nonvisible_blocks": (D.html_nonvisible_blocks, "P3")}
 
 
-def hits(rows: DataFrame, key: str, found: Column) -> DataFrame:
+def hits(rows: DataFrame, key: str, found: Column, *more: Column) -> DataFrame:
     """Number and hash of what a detector found in each row."""
-    return rows.select(key, F.size(found).cast("long").alias("n_hits"), F.sha2(F.array_join(found, "|"), 256).alias("evidence_sha256"))
+    return rows.select(key, F.size(found).cast("long").alias("n_hits"), F.sha2(F.array_join(found, "|"), 256).alias("evidence_sha256"), *more)
 
 
 def hits_sql(key: str, found: str, planted: str) -> str:
@@ -161,9 +162,9 @@ for _name, (_expr, _d) in PAGE_HITS.items():
     query(_name, hits_sql("page_id", PAGE_SQL[_d], PLANTED_PAGES))(lambda spark, folder, e=_expr: hits(plant.plant_pages(spread(table(spark, folder, "pages").select("page_id", "html"))), "page_id", e(F.col("html"))))
 
 
-@query("s1_text_tables", " UNION ALL ".join(f"SELECT '{name}' AS name, CAST({keys[0]} AS BIGINT) AS id, CAST(length({text}) AS BIGINT) AS n_chars FROM {name}" for name, (keys, text) in TEXT_TABLES.items()))
+@query("s1_text_tables", " UNION ALL ".join(f"SELECT '{name}' AS name, concat_ws('/', {', '.join(keys)}) AS id, CAST(length({text}) AS BIGINT) AS n_chars FROM {name}" for name, (keys, text) in TEXT_TABLES.items()))
 def s1_text_tables(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [read_text_docs(spark, folder, name).select(F.lit(name).alias("name"), F.col(keys[0]).cast("long").alias("id"), F.length("text").cast("long").alias("n_chars")) for name, (keys, _) in TEXT_TABLES.items()]
+    parts = [read_text_docs(spark, folder, name).select(F.lit(name).alias("name"), F.concat_ws("/", *keys).alias("id"), F.length("text").cast("long").alias("n_chars")) for name, (keys, _) in TEXT_TABLES.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -171,7 +172,7 @@ def s1_text_tables(spark: SparkSession, folder: str) -> DataFrame:
 def t3_readable_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """T3, decoded: payloads that are text, and how many of them trip a detector themselves."""
     found = plant.payloads(docs_of(spark, folder)).select("doc_id", D.readable_payloads(F.col("text")).alias("found"))
-    return hits(found, "doc_id", F.col("found")).join(found.select("doc_id", F.size(F.filter("found", D.suspicious)).cast("long").alias("n_secret")), "doc_id")
+    return hits(found, "doc_id", F.col("found"), F.size(F.filter("found", D.suspicious)).cast("long").alias("n_secret"))
 
 
 @query("t4_high_entropy_tokens", f"SELECT doc_id, CAST(coalesce(len([t FOR t IN {extract(P.TOKEN)} IF {entropic('t', 3.9)}]), 0) AS BIGINT) AS n_hits FROM documents")
@@ -241,7 +242,7 @@ def report_summary(spark: SparkSession, folder: str) -> DataFrame:
 def s3_written_findings(spark: SparkSession, folder: str) -> DataFrame:
     """S3: findings written by detector and read back."""
     out = scratch_path(spark)
-    write_findings(S.explode_findings(S.scan(docs_of(spark, folder))), out)
+    write_findings(S.explode_findings(materialise(S.scan(docs_of(spark, folder)))), out)
     return spark.read.parquet(out).groupBy(F.col("detector").cast("string").alias("detector"), "source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -281,8 +282,44 @@ def verdict_files(spark: SparkSession, folder: str) -> DataFrame:
 def w1_scan_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same files as they arrive on a stream."""
     arriving = arrivals.read_arrivals(spark, folder, "documents").select("doc_id", "text")
-    files = plant.raw_files(arriving).withColumn("length", F.octet_length("content").cast("long"))
-    return arrivals.written(S.verdict_files(files)).drop("length")
+    files = lambda docs: plant.raw_files(spread(docs)).withColumn("length", F.octet_length("content").cast("long"))
+    return arrivals.written(arriving, lambda docs: S.verdict_files(files(docs))).drop("length")
+
+
+# Ten files of many documents each: one begins as a PDF and goes on after its end, one holds archives.
+BIG = r"""lines AS (SELECT doc_id, doc_id % 10 AS bucket, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY doc_id % 10) AND doc_id % 10 = 0 THEN '%PDF-1.7' || chr(10) ELSE '' END ||
+  text || CASE WHEN doc_id % 10 = 3 AND doc_id % 7 = 0 THEN 'PK' || chr(3) || chr(4) || 'inside' ELSE '' END ||
+  CASE WHEN doc_id % 10 = 0 AND doc_id % 500 = 0 THEN chr(10) || '%%EOF' || chr(10) || 'x' ELSE '' END || chr(10) AS text FROM documents),
+  planted AS (SELECT bucket, string_agg(text, '' ORDER BY doc_id) AS text FROM lines GROUP BY bucket)"""
+BIG_BYTES = """bytes AS (SELECT bucket, 'B1' AS detector, 3 AS severity FROM planted WHERE bucket = 0 UNION ALL SELECT bucket, 'B2', 2 FROM planted WHERE bucket = 0 AND contains(text, '%%EOF')
+  UNION ALL SELECT bucket, 'B3', 2 FROM (SELECT bucket, unnest(regexp_extract_all(text, 'PK' || chr(3) || chr(4))) FROM planted))"""
+BIG_VERDICT = f"WITH {BIG}, {stages_sql('planted', 'bucket')}, {found_sql('bucket', D.TEXT).replace('found AS', 'texts AS')}, {BIG_BYTES}, found AS (SELECT bucket, detector, severity FROM texts UNION ALL SELECT * FROM bytes), {verdict_sql('bucket', 'planted')}"
+
+
+def big_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten files of all documents, written to the shared folder; their listing with the bucket of each."""
+    path = scratch_path(spark)
+    plant.big_files(table(spark, folder, "documents").select("doc_id", "text"), path)
+    files = list_files(spark, path, "*.txt").select("path", "modificationTime", "length")
+    return files.withColumn("bucket", F.regexp_extract("path", r"bucket=(\d+)", 1).cast("long"))
+
+
+@query("verdict_ranges", f"{BIG_VERDICT} SELECT * FROM verdict")
+def verdict_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that aren't read whole: verdicts of their bytes and text by ranges of 64 KB."""
+    return S.verdict_ranges(big_files(spark, folder), 64 << 10).drop("path", "modificationTime", "length")
+
+
+@query("b2_b3_byte_ranges", f"""WITH {BIG}, p AS (SELECT bucket, text, regexp_extract_all(text, 'PK' || chr(3) || chr(4)) AS inside FROM planted)
+  SELECT bucket, CASE WHEN bucket = 0 THEN 'pdf' END AS kind, CAST(len(inside) AS BIGINT) AS n_inside, CASE WHEN len(inside) > 0 THEN strlen(split_part(text, inside[1], 1)) END AS first_inside,
+  CAST(CASE WHEN bucket = 0 AND contains(text, '%%EOF') THEN strlen(trim(string_split(text, '%%EOF')[-1], chr(10) || chr(13))) ELSE 0 END AS BIGINT) AS trailing FROM p""")
+def b2_b3_byte_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """B1 to B3 of the same files, by ranges of 4 KB."""
+    files = big_files(spark, folder)
+    facts = ranges.read_ranges(files.select("path", "length"), 4 << 10)
+    sums = facts.groupBy("path", "length").agg(F.max("kind").alias("kind"), F.sum(F.size("embedded")).alias("n_inside"), F.min(F.array_min("embedded")).alias("first_inside"), *ranges.ends())
+    found = ranges.with_trailing(sums)
+    return found.join(files.select("path", "bucket"), "path").select("bucket", "kind", "n_inside", "first_inside", "trailing")
 
 
 @query("j1_known_content", "SELECT d.doc_id, sha256(d.text) AS content_hash FROM documents d WHERE sha256(d.text) IN (SELECT sha256(text) FROM documents WHERE n_chars < 400)")
@@ -345,10 +382,63 @@ def w2_finding_rate(spark: SparkSession, folder: str) -> DataFrame:
 def w2_rate_of_findings(spark: SparkSession, folder: str) -> DataFrame:
     """W2 on the findings of W1: documents arrive a minute apart, and findings are counted by day and detector."""
     arriving = arrivals.read_arrivals(spark, folder, "documents").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60))
-    found = arrivals.written(S.explode_findings(S.scan(arriving.select("doc_id", "ts", "text"))))
+    found = arrivals.written(arriving.select("doc_id", "ts", "text"), lambda docs: S.explode_findings(materialise(S.scan(spread(docs)))))
     return arrivals.finding_rate(found, kind="detector").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+# Events arrive up to three days after they happen, five days' arrivals a trigger.
+ARRIVALS = "arrivals AS (SELECT *, CAST(floor((date_diff('day', TIMESTAMP '2024-01-01', ts) + event_id % 4) / 5) AS INT) AS step FROM events)"
+
+
+def arriving_in_steps(spark: SparkSession, events: DataFrame, path: str, steps: list[int]) -> None:
+    """Adds to the folder `path` what arrives in each step, in turn, as many files a step as there are cores."""
+    for k in steps:
+        events.filter(F.col("step") == k).drop("step").repartition(spark.sparkContext.defaultParallelism).write.mode("append").parquet(path)
+
+
+def steps_of(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
+    """The folder `path` as a stream, a step a trigger."""
+    stream = spark.readStream.schema(events.drop("step").schema).option("maxFilesPerTrigger", spark.sparkContext.defaultParallelism)
+    return stream.parquet(path)
+
+
+# In SQL, upto is the last step that the watermark of the trigger before has seen: Spark drops rows of windows that were closed then.
+# After a run's last step (2 and 6) another trigger closes what it can.
+@query("w2_closed_windows", f"""WITH {ARRIVALS}, m AS (SELECT step, max(ts) AS last FROM arrivals GROUP BY step),
+  late AS (SELECT step, (SELECT max(last) FROM m WHERE m.step <= upto) - INTERVAL 1 DAY AS mark FROM (VALUES (0, -1), (1, -1), (2, 0), (3, 2), (4, 2), (5, 3), (6, 4)) AS v(step, upto)),
+  w AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type, coalesce(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY <= mark, false) AS late FROM arrivals JOIN late USING (step))
+  SELECT start, event_type, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS n_late FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(last) FROM m) - INTERVAL 1 DAY GROUP BY ALL""")
+def w2_closed_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """W2 as a stream: several triggers, a restart from the checkpoint after the third, late rows counted apart."""
+    day = F.date_diff("ts", F.lit("2024-01-01"))
+    events = arrivals.timed(table(spark, folder, "events")).withColumn("step", F.floor((day + F.col("event_id") % 4) / 5).cast("int"))
+    path, state = scratch_path(spark), scratch_path(spark)
+    for steps in ([0, 1, 2], [3, 4, 5, 6]):
+        arriving_in_steps(spark, events, path, steps)
+        found = arrivals.closed_windows(steps_of(spark, events, path), state)
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# A key is forgotten when the watermark has passed its first arrival by two days (its delay), at the end of the trigger that notices.
+@query("w3_expiring_repeats", """WITH RECURSIVE a AS (SELECT user_id, event_type, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 5) AS INT) AS step, min(ts) AS ts FROM events GROUP BY ALL),
+  m AS (SELECT step, (SELECT max(ts) FROM a WHERE a.step <= upto) - INTERVAL 2 DAY AS mark FROM (VALUES (0, -1), (1, -1), (2, 0), (3, 2), (4, 2), (5, 3)) AS v(step, upto)),
+  s AS (SELECT a.*, mark, row_number() OVER (PARTITION BY user_id, event_type ORDER BY step) AS i FROM a JOIN m USING (step)),
+  r AS (SELECT user_id, event_type, i, step, ts, ts AS first, true AS kept FROM s WHERE i = 1 UNION ALL
+    SELECT s.user_id, s.event_type, s.i, s.step, s.ts, CASE WHEN mark >= first + INTERVAL 2 DAY THEN s.ts ELSE first END, coalesce(mark >= first + INTERVAL 2 DAY, false) FROM r JOIN s ON s.user_id = r.user_id AND s.event_type = r.event_type AND s.i = r.i + 1)
+  SELECT user_id, event_type, step, ts FROM r WHERE kept""")
+def w3_expiring_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """W3 where keys expire: the first event of each key in five days arrives, and is kept if the key isn't remembered."""
+    step = F.floor(F.date_diff("ts", F.lit("2024-01-01")) / 5).cast("int")
+    events = arrivals.timed(table(spark, folder, "events")).groupBy("user_id", "event_type", step.alias("step")).agg(F.min("ts").alias("ts"))
+    events = materialise(events.withColumn("step_", F.col("step")))
+    path, target, state = (scratch_path(spark) for _ in range(3))
+    for steps in ([0, 1, 2], [3, 4, 5]):
+        arriving_in_steps(spark, events, path, steps)
+        first = arrivals.drop_repeat_arrivals(steps_of(spark, events, path), ["user_id", "event_type"], "2 days")
+        kept = arrivals.landed(first, target, state)
+    return kept.select("user_id", "event_type", F.col("step_").alias("step"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query("w3_drop_repeat_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
 def w3_drop_repeat_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """W3 on a stream, with a watermark longer than the table."""

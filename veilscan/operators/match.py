@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions import patterns as P
+from veilscan.functions.raw import extension, wrong_type
 from veilscan.sources.tables import materialise
 
 WORDS = r"[^\s]+"
@@ -77,8 +78,6 @@ def type_mismatch(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     known = F.broadcast(spark.createDataFrame(list(P.SIGNATURES.items()), "actual string, magic string"))  # a fixed list
     head = F.hex(F.substring("content", 1, 8))
-    named = files.select("path", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"), head.alias("head"))
+    named = files.select("path", extension(F.col("path")).alias("extension"), head.alias("head"))
     typed = named.join(known, F.expr("startswith(head, magic)"), "left").drop("magic")
-    claims = F.col("extension").isin(*P.SIGNATURES)
-    wrong = F.when(F.col("actual").isNotNull(), F.col("extension") != F.col("actual")).otherwise(claims)
-    return typed.select("path", "extension", "actual", wrong.alias("mismatch"))
+    return typed.select("path", "extension", "actual", wrong_type(F.col("extension"), F.col("actual")).alias("mismatch"))

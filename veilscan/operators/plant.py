@@ -49,3 +49,16 @@ def raw_files(docs: DataFrame) -> DataFrame:
     text = F.when(kind == 0, F.concat(F.lit("%PDF-1.7\n"), body)).when(kind == 1, F.concat(F.lit("GIF89a"), body)).when(kind == 2, F.concat(F.lit("%PDF-1.7\n"), body, F.lit("\n%%EOF\nhidden bytes"))).when(kind == 3, F.concat(body, F.lit("PK\x03\x04inside"))).otherwise(body)
     end = F.when(kind == 1, "gif").when(kind == 2, "pdf").otherwise("txt")
     return docs.select(F.concat(F.lit("file_"), F.col("doc_id").cast("string"), F.lit("."), end).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def big_files(docs: DataFrame, path: str) -> None:
+    """Ten files of all documents in order of doc_id, a folder each: one begins as a PDF, ends inside and goes on, one holds archives."""
+    doc_id, bucket = F.col("doc_id"), F.pmod("doc_id", F.lit(10))
+    firsts = docs.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first"))  # ten rows
+    rows = docs.withColumn("bucket", bucket).join(F.broadcast(firsts), "bucket")
+    none = F.lit("")
+    head = F.when((bucket == 0) & (doc_id == F.col("first")), "%PDF-1.7\n").otherwise(none)
+    inside = F.when((bucket == 3) & (doc_id % 7 == 0), "PK\x03\x04inside").otherwise(none)
+    end = F.when((bucket == 0) & (doc_id % 500 == 0), "\n%%EOF\nx").otherwise(none)
+    texts = rows.select("bucket", "doc_id", F.concat(head, F.coalesce("text", none), inside, end).alias("value"))
+    texts.repartition(10, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)

@@ -2,7 +2,7 @@
 
 Defined results: a null text has no findings; empty texts and empty tables give no findings; repeated
 rows give repeated results; whole texts are searched, however long. An input column that has the name
-of a column that an operator makes gives way to it; all others are kept.
+of a column that an operator makes, in any case, gives way to it; all others are kept, dots in their names or not.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions import detectors as D
-from veilscan.functions.raw import byte_findings
-from veilscan.sources.tables import materialise
+from veilscan.functions.raw import SEVERITY, byte_findings, extension, wrong_type
+from veilscan.sources import ranges
+from veilscan.sources.tables import materialise, others, quoted
 
 VERDICT = ("hiding", "n_findings", "detectors", "score")
 FINDING = ("detector", "kind", "ordinal", "preview", "evidence_sha256", "severity")
@@ -24,8 +25,7 @@ def scan(docs: DataFrame, text: str = "text", names: dict | None = None) -> Data
     Every detector's hits are a column first, so that those which build on others don't search again.
     Write the result before filtering or exploding it: Catalyst would run the expressions again.
     """
-    keep = [c for c in docs.columns if c not in (text, "findings")]
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(*others(docs, text, "findings")).alias("row"), quoted(text).cast("string").alias("text"))
     hits: dict[str, Column] = {}
     found = []
     for name, (kind, expr, severity) in (names or D.TEXT).items():
@@ -44,10 +44,9 @@ def scan_files(files: DataFrame) -> DataFrame:
 
     A null content has no findings.
     """
-    keep = [c for c in files.columns if c not in ("content", "findings")]
     none = F.array().cast(f"array<{D.FINDING}>")
     own = F.when(F.col("content").isNotNull(), byte_findings(F.col("path"), F.col("content"))).otherwise(none)
-    rows = files.select(F.struct(*keep).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), own.alias("own"))
+    rows = files.select(F.struct(*others(files, "content", "findings")).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), own.alias("own"))
     return scan(rows).select("file.*", F.concat("findings", "own").alias("findings"))
 
 
@@ -56,26 +55,58 @@ def verdict(scanned: DataFrame) -> DataFrame:
     hits = F.filter("findings", lambda f: f["severity"] > 0)
     named = F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda f: f["detector"]))), ",")
     score = F.aggregate("findings", F.lit(0).cast("long"), lambda a, f: a + f["severity"])
-    keep = [c for c in scanned.columns if c not in ("findings", *VERDICT)]
-    return scanned.select(*keep, (F.size(hits) > 0).alias("hiding"), F.size("findings").cast("long").alias("n_findings"), named.alias("detectors"), score.alias("score"))
+    return scanned.select(*others(scanned, "findings", *VERDICT), (F.size(hits) > 0).alias("hiding"), F.size("findings").cast("long").alias("n_findings"), named.alias("detectors"), score.alias("score"))
 
 
-def verdict_files(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
-    """V2 of raw files (path, length, content and others), batch or stream: the file's own columns and the verdict.
+def verdict_files(files: DataFrame, most_bytes: int = 64 << 20, size: int = 16 << 20) -> DataFrame:
+    """V2 of raw files (path, length, content and others): the file's own columns and the verdict.
 
-    Files above `most_bytes` can't be held in a row: their content isn't read, their verdict is unknown
-    (hiding is null) and their detectors say "too large".
+    Files above `most_bytes` are read by byte ranges of `size` from their path, not from `content`, which isn't
+    read then. A null length is that of a file read whole.
     """
-    keep = [c for c in files.columns if c not in ("content", "findings", *VERDICT)]
-    small = verdict(scan_files(files.filter(F.col("length") <= most_bytes).select(*keep, "content")))
-    unknown = (F.lit(None).cast("boolean"), F.lit(1).cast("long"), F.lit("too large"), F.lit(0).cast("long"))
-    large = files.filter(F.col("length") > most_bytes).select(*keep, *(c.alias(n) for c, n in zip(unknown, VERDICT, strict=True)))
-    return small.unionByName(large)
+    large = F.coalesce(F.col("length") > most_bytes, F.lit(False))
+    keep = others(files, "content", "findings", *VERDICT)
+    small = verdict(scan_files(files.filter(~large).select(*keep, "content")))
+    return small.unionByName(verdict_ranges(files.filter(large).select(*keep), size))
+
+
+def verdict_ranges(files: DataFrame, size: int = 16 << 20) -> DataFrame:
+    """V2 of files of any size (path, length and others), by byte ranges: the file's own columns and the verdict.
+
+    Ranges are dealt to all tasks. Each has its text's findings and what its bytes say of the file; a file's
+    verdict is the sum of its ranges', combined before they are shuffled, so no row grows with the file. Text is cut between
+    lines (see `ranges.cut`), so a finding is lost only if it is a run or an assignment across such a cut. The
+    verdict of a file of unknown length is unknown (null).
+    """
+    keyed = files.select(F.struct(*others(files, *VERDICT)).alias("file"), "path", "length")
+    listed = keyed.select("path", "length").distinct()
+    facts = ranges.read_ranges(listed, size)
+    texts = facts.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
+    parts = verdict(scan(texts))
+    n_inside = F.size("embedded").cast("long")
+    total = parts.groupBy("path", "length").agg(
+        F.bool_or("hiding").alias("texts"),
+        F.sum("n_findings").alias("n"),
+        F.collect_set("detectors").alias("names"),
+        F.sum("score").alias("points"),
+        F.sum(n_inside).alias("inside"),
+        F.max("kind").alias("kind"),
+        *ranges.ends(),
+    )
+    total = ranges.with_trailing(total)
+    b1 = F.coalesce(wrong_type(extension(F.col("path")), F.col("kind")), F.lit(False))
+    hits = {"B1": b1.cast("long"), "B2": (F.col("trailing") > 0).cast("long"), "B3": F.col("inside")}
+    names = F.filter(F.flatten(F.transform("names", lambda x: F.split(x, ","))), lambda x: x != "")
+    names = F.array_sort(F.array_distinct(F.concat(names, *(F.when(n > 0, F.array(F.lit(d))).otherwise(F.array().cast("array<string>")) for d, n in hits.items()))))
+    score = F.col("points") + sum((n * SEVERITY[d] for d, n in hits.items()), F.lit(0))
+    made = ((F.size(names) > 0), F.col("n") + sum(hits.values(), F.lit(0)), F.array_join(names, ","), score)
+    verdicts = total.select("path", "length", *(c.alias(n) for c, n in zip(made, VERDICT, strict=True)))
+    return keyed.join(verdicts, ["path", "length"], "left").select("file.*", *VERDICT)
 
 
 def explode_findings(scanned: DataFrame) -> DataFrame:
     """V3: one row per finding, from a written scan."""
-    return scanned.select(*(c for c in scanned.columns if c not in ("findings", *FINDING)), F.inline("findings"))
+    return scanned.select(*others(scanned, "findings", *FINDING), F.inline("findings"))
 
 
 def summary(findings: DataFrame, *by: str) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text tables: key columns and the column that holds the text.
@@ -22,6 +22,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and backticks in it too."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *gone: str) -> list[Column]:
+    """The columns of `df` but those named in `gone`, whatever their case, as Spark compares names."""
+    lower = {g.lower() for g in gone}
+    return [quoted(c) for c in df.columns if c.lower() not in lower]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` dealt out evenly if its files give fewer tasks than there are cores, for work that costs more than the move; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -35,21 +46,30 @@ def read_text_docs(spark: SparkSession, folder: str, name: str = "documents") ->
     return df.select(*keys, F.col(text).alias("text"), *(c for c in ("lang", "source") if c in df.columns))
 
 
+def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, modificationTime, length, content) of every file below `path` that isn't empty (Spark lists no empty ones); content is read only where it is used."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+
+
 def read_raw_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 64 << 20) -> DataFrame:
-    """(path, modificationTime, length, content); larger files are in `read_large_files`, their content is never read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= most_bytes)
+    """(path, modificationTime, length, content) of files that are read whole; larger ones are in `read_large_files`."""
+    return list_files(spark, path, glob).filter(F.col("length") <= most_bytes)
 
 
 def read_large_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 64 << 20) -> DataFrame:
-    """(path, modificationTime, length) of the files that `read_raw_files` can't hold in a row, from the same listing."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") > most_bytes).select("path", "modificationTime", "length")
+    """(path, modificationTime, length) of the files above `most_bytes`, for `ranges.read_ranges`."""
+    return list_files(spark, path, glob).filter(F.col("length") > most_bytes).select("path", "modificationTime", "length")
 
 
 def write_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Exploded findings, a folder for each detector."""
-    findings.write.mode(mode).partitionBy("detector").parquet(path)
+    """Exploded findings, a folder for each detector.
+
+    A detector's rows are dealt to a few tasks by hash, so that not every task writes a file for each detector
+    and a detector that makes most findings isn't one task.
+    """
+    parts = max(1, int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    salt = F.pmod(F.xxhash64("evidence_sha256", "ordinal"), F.lit(parts))
+    findings.repartition("detector", salt).write.mode(mode).partitionBy("detector").parquet(path)
 
 
 def scratch_dir(spark: SparkSession) -> str:
