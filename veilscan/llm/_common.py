@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from veilscan.sources.tables import materialise, scratch_dir, table  # noqa: F401
 
@@ -69,6 +70,20 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordB
         yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
+def ranked(rows: DataFrame, key: str, buckets: Column) -> DataFrame:
+    """`rows` (row_id, key and others) with `rank`, 0 to n - 1 among those of its key, in order of hashed buckets.
+
+    `buckets` is the number of buckets of a row's key: a key that a third of all rows share is numbered in
+    many tasks, and only the sizes of its buckets are summed in one.
+    """
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("row_id"), buckets.cast("long")))
+    sizes = dealt.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(key, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("row_id")) - 1
+    return dealt.withColumn("number", number).join(sizes, [key, "bucket"]).withColumn("rank", F.col("number") + F.col("before")).drop("bucket", "number", "before")
+
+
 def texts(col: pa.Array) -> list[str]:
     """Python strings of a text column; null counts as the empty text."""
     return [x or "" for x in col.to_pylist()]

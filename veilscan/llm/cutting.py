@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import map_batches, materialise, texts
+from veilscan.llm._common import map_batches, materialise, ranked, texts
 from veilscan.llm.packing import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -235,9 +235,11 @@ def remainders(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int)
             out: list[tuple] = []
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.batch(texts(batch["text"])), strict=True):
                 ids = ids.astype("<u4", copy=False)
+                whole = len(ids) // capacity * capacity
+                rest = ids[whole:].astype("<u2") if own.last.size <= 1 << 16 else ids[whole:]  # half the bytes where ids allow
                 for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity].tobytes()
-                    out.append((doc_id, start, len(part) // 4, zlib.crc32(part), len(ids), part if len(part) < 4 * capacity else None))
+                    part = ids[start : start + capacity]
+                    out.append((doc_id, start, len(part), zlib.crc32(part), len(ids), rest.tobytes() if start == whole else None))
             kinds = (pa.int64(),) * 5 + (pa.binary(),)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
@@ -245,16 +247,10 @@ def remainders(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int)
     return map_batches(rows, run, PIECES + ", ids binary").withColumn("row_id", F.monotonically_increasing_id())
 
 
-def ranked(rows: DataFrame, counts: dict[int, int], rows_per_bucket: int = 20_000) -> DataFrame:
-    """`rows` (row_id, length and others) with `rank`, 0 to n - 1 among those of its length, numbered in buckets of bounded size."""
-    buckets = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, -(-n // rows_per_bucket)))), F.col("length").cast("int")) if counts else F.lit(1)
-    key = ["length", "bucket"]
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("row_id"), buckets.cast("long")))
-    sizes = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("row_id")) - 1
-    return dealt.withColumn("number", number).join(sizes, key).withColumn("rank", F.col("number") + F.col("before")).drop("bucket", "number", "before")
+def buckets_of(counts: dict[int, int], rows_per_bucket: int = 400, most_buckets: int = 100_000) -> Column:
+    """A length's number of buckets: one for every `rows_per_bucket` rows, but no more than `most_buckets`."""
+    of = {k: min(-(-n // rows_per_bucket), most_buckets) for k, n in counts.items()}
+    return F.element_at(F.create_map(*(F.lit(x) for kn in of.items() for x in kn)), F.col("length").cast("int")) if of else F.lit(1)
 
 
 class Places:
@@ -316,8 +312,9 @@ def cut_pieces(rows: DataFrame, places: Places) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
+                ids = np.frombuffer(r["ids"], f"<u{len(r['ids']) // r['length']}").astype("<u4")
                 for start, n, sequence, offset in places.cut(r["stream"], r["length"]):
-                    out.append((r["doc_id"], r["start"] + start, n, zlib.crc32(r["ids"][4 * start : 4 * (start + n)]), r["doc_tokens"], sequence, offset))
+                    out.append((r["doc_id"], r["start"] + start, n, zlib.crc32(ids[start : start + n]), r["doc_tokens"], sequence, offset))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 7], names=names)
 
     return map_batches(rows, run, ", ".join(f"{n} long" for n in names))
@@ -335,7 +332,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, broadcast_rows: int = 500_000)
     def look(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(dict(zip(("sequence_id", "offset", "stream"), places.of(length.to_numpy(), rank.to_numpy()), strict=True)))
 
-    placed = ranked(short.select(*own, "row_id"), counts).select(*own, "row_id", look("length", "rank").alias("place"))
+    placed = ranked(short.select(*own, "row_id"), "length", buckets_of(counts)).select(*own, "row_id", look("length", "rank").alias("place"))
     placed = materialise(placed.select(*own, "row_id", "place.*"))
     whole = pieces.filter(F.col("length") == capacity).select(*own, (-1 - F.col("row_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     stream = placed.filter("stream >= 0").select("row_id", "stream")
