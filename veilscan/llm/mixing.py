@@ -12,8 +12,8 @@ Nothing passes the driver but sums and a number a partition: targets are found b
 
 Defined results: a null or empty text has size 0 and is taken 0 words; whole texts are counted, however
 long; a null source is a source of its own, last in order; a null doc_id is a document like others;
-repeated rows count once each, and equal rows may be taken unequally often; an empty table gives no
-rows; extra columns are kept, whatever their names.
+repeated rows count once each, and equal rows may be taken unequally often (ties: which of them, depends on where
+they lie, how many doesn't); an empty table gives no rows; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import WORD_RE, materialise
+from veilscan.llm._common import WORD_RE, materialise, ranked
+from veilscan.sources.tables import others
 
 WEIGHTS = (5, 2, 1)
 
@@ -149,17 +150,20 @@ def measured(docs: DataFrame, row_id: Column | None = None, often: int = 1000) -
     """(row_id, doc_id, mark, salt, source, size) of `docs` (doc_id, text, source), written once.
 
     mark is a hash of the row's content, so that a draw doesn't depend on where rows lie. Equal rows
-    share it; where there are more than `often`, salt tells them apart, so that no block holds them all.
+    share it; where there are more than `often`, salt numbers them from 0, so that no block holds them all:
+    which of them has which number depends on where they lie, but they are equal.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
     mark = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     rows = docs.select((F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.col("source").cast("string").alias("source"), size.alias("size"))
     rows = materialise(rows)
-    many = rows.groupBy("mark").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > often).select("mark", F.lit(True).alias("many"))
-    many = materialise(many)
+    many = materialise(rows.groupBy("mark").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > often))
     if many.isEmpty():
         return rows.withColumn("salt", F.lit(0).cast("long"))
-    return materialise(rows.join(many, "mark", "left").select(*rows.columns, F.when(F.col("many"), F.col("row_id")).otherwise(F.lit(0)).cast("long").alias("salt")))
+    buckets = F.least(F.ceil(F.col("rows") / 1000), F.lit(100_000))
+    equal = ranked(rows.join(many, "mark"), "mark", buckets).select(*rows.columns, F.col("rank").cast("long").alias("salt"))
+    few = rows.join(many.select("mark"), "mark", "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("salt"))
+    return materialise(few.unionByName(equal))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, block: int = 4000, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -167,7 +171,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0,
 
     Rows are written with a number; the draw works on numbers, and the texts meet it in one join.
     """
-    numbered = materialise(docs.select(F.struct(*docs.columns).alias("row_"), F.monotonically_increasing_id().alias("id_")))
+    numbered = materialise(docs.select(F.struct(*others(docs)).alias("row_"), F.monotonically_increasing_id().alias("id_")))
     sized = measured(numbered.select("row_.doc_id", "row_.source", "row_.text", "id_"), F.col("id_"))
     copies = materialise(draw(sized, weights, cap, block).filter("copies > 0").select("row_id", "copies"))
     copies = F.broadcast(copies) if copies.count() <= broadcast_rows else copies
