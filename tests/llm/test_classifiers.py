@@ -157,3 +157,28 @@ def test_toxic_passages_late_in_a_text_are_learned(spark):
     assert [got[r[0]] for r in rows] == [r[3] for r in rows]
     model = toxicity.train(docs, labels.selectExpr("doc_id", "toxic AS y"), most_chars=400_000)  # whole rows go, words stay
     assert model.fitted and {r.z > 0 for r in toxicity.logits(docs, model).filter("doc_id % 4 = 0").collect()} == {True}
+
+
+def test_one_repeated_row_does_not_fill_the_fit(spark):
+    """50,000 rows of one labelled doc_id reach neither the driver nor the place of other labels."""
+    docs = [(i, ("good words in a line of plain text. " if i % 2 else "BUY!!! $$$ ### NOW ") * (5 + i)) for i in range(1, 41)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    many = spark.range(50_000).selectExpr("CAST(1 AS BIGINT) AS doc_id", "IF(id % 2 = 0, '', concat('text ', id)) AS text")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(1, 41)], "doc_id long, quality int, toxic int")
+    ranker = quality.train(quality.measure(frame.unionByName(many)), labels, most_rows=100)
+    assert ranker.edges is not None
+    good, bad = ranker.score(np.array([plain_figures(docs[i][1]) for i in (2, 3)]))
+    assert good > bad
+    collect, sizes = toxicity.TextCNN.fit, []
+
+    def counted(self, words, rows, y):
+        sizes.append(len(y))
+        return collect(self, words, rows, y)
+
+    toxicity.TextCNN.fit = counted
+    try:
+        toxicity.train(frame.unionByName(many), labels.selectExpr("doc_id", "toxic AS y"), most_rows=100)
+        toxicity.train(frame.unionByName(many), labels.selectExpr("doc_id", "toxic AS y"), most_rows=10)
+    finally:
+        toxicity.TextCNN.fit = collect
+    assert sizes == [40, 10]

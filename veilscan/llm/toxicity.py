@@ -270,17 +270,18 @@ def train(docs: DataFrame, rows: DataFrame, most_rows: int = 8_000, most_chars:
     """Fits on whole texts of labelled `rows` (doc_id, y): of each label those with the smallest hashes."""
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     rows = rows.filter("y = 1").orderBy(*by_hash).limit(most_rows // 2).unionByName(rows.filter("y = 0").orderBy(*by_hash).limit(most_rows // 2))
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(rows), "doc_id")  # bounded: most_rows
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    chosen = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(F.broadcast(rows.distinct()), "doc_id")  # bounded: most_rows
+    # Of rows that share a doc_id one is fitted on, the first in order of texts; and no text that is an eighth of all.
+    chosen = chosen.filter(F.length("text") <= most_chars // 8).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     # The driver's memory bounds rows, never a text's words: a label's rows end before the one that goes over its half.
-    sizes = chosen.groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"), F.xxhash64("doc_id").alias("hash"))
+    sizes = chosen.select("doc_id", "y", F.length("text").alias("chars"), F.xxhash64("doc_id").alias("hash"))
     sizes = sizes.toPandas().sort_values(["hash", "doc_id"], kind="stable")
-    total = sizes.groupby("y")["chars"].cumsum()
-    fits = (total <= most_chars // 2) | (sizes.groupby("y").cumcount() == 0)
+    fits = sizes.groupby("y")["chars"].cumsum() <= most_chars // 2
     if not fits.all():
         some = docs.sparkSession.createDataFrame(sizes.loc[fits, ["doc_id", "y"]], "doc_id long, y int")
         chosen = chosen.join(F.broadcast(some), ["doc_id", "y"])
-    found = chosen.toPandas().fillna({"text": ""})
-    found = found.sort_values(["doc_id", "text"], kind="stable").head(2 * most_rows)
+    found = chosen.toPandas().sort_values(["doc_id", "y"], kind="stable")
     if not len(found):
         return TextCNN()
     vocabulary = Vocabulary(limit=1 << 62)
