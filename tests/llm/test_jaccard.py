@@ -115,3 +115,16 @@ def test_texts_of_one_doc_id_join_their_groups(spark):
     docs = [(9, a), (8, a + " end"), (5, a), (5, b), (7, b + " end"), (3, c), (5, b)]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.Join(4, 85, 100).run(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert got == [(3, 57, 3), (5, 57, 5), (5, 57, 5), (5, 57, 5), (7, 58, 5), (8, 58, 5), (9, 57, 5)]
+
+
+def test_heavy_shingles_are_cut_by_their_counts(spark):
+    from veilscan.llm import jaccard
+
+    counts = [(i, 1 + i) for i in range(100)] + [(1000 + i, 500) for i in range(7)]
+    measured = spark.createDataFrame(counts, "token long, times long")
+    for most in (0, 5, 7, 20, 500):
+        got = jaccard.Join(k=4, num=85, den=100, heavy_most=most).heavy(measured).tolist()
+        times = dict(counts)
+        assert len(got) <= most and got == sorted(got)
+        assert not got or min(times[t] for t in got) >= max((n for t, n in counts if t not in got), default=0)
+    assert len(jaccard.Join(k=4, num=85, den=100).heavy(measured.limit(0))) == 0
