@@ -74,8 +74,18 @@ def op13_filter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can say: each document's size and its source's target."""
+    return op4_source_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can say: the base spans of each document, counted."""
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"mix_targets": mix_targets, "secret_counts": secret_counts}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,4 +69,18 @@ SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0)
   CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM c
 """
 
-ORACLE = {"op2_recompression_dedup": OP2, "op3_line_frequency": OP3, "op7_ngram_jaccard": OP7, "op12_infilling_scan": OP12, "op13_filter_replay": OP13}
+MIX_TARGETS = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS total FROM d GROUP BY source),
+w AS (SELECT source, total, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+l AS (SELECT 0 AS i, 0.0::DOUBLE AS level UNION ALL
+  SELECT i + 1, (SELECT (sum(total) - coalesce(sum(3 * total) FILTER (3 * total < level * weight), 0)) / sum(weight) FILTER (total > 0 AND 3 * total >= level * weight) FROM w) FROM l WHERE i < 40)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, round(least(3 * total, weight * (SELECT max(level) FROM l)), 3) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+"""
+
+SECRET_COUNTS = r"""
+SELECT doc_id, CAST(len([x FOR x IN regexp_extract_all(coalesce(text, ''), '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) IF length(x) >= 6]) AS BIGINT) AS n_assign,
+  CAST(len([x FOR x IN regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') IF length(x) >= 20]) AS BIGINT) AS n_access, CAST(len([x FOR x IN regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') IF length(x) >= 24]) AS BIGINT) AS n_hex FROM documents
+"""
+
+ORACLE = {"mix_targets": MIX_TARGETS, "secret_counts": SECRET_COUNTS, "op2_recompression_dedup": OP2, "op3_line_frequency": OP3, "op7_ngram_jaccard": OP7, "op12_infilling_scan": OP12, "op13_filter_replay": OP13}
