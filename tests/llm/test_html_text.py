@@ -81,7 +81,7 @@ def test_pages_without_an_article():
 
 def test_odd_markup_takes_time_in_proportion():
     n = 20_000
-    pages = ["<div>" * n + "</p>" * n, "<b x>" * n + "<hr>" * n, "<p><div>" + "<b x>" * n + "<hr>" * n, "</i>" * n + "<i q>" * n + "</b>" * n, "<a>" * n, "&" * n, "<" * n, "<p " + "a='" * n, "<!--" * n, "<script>" * n, "<p>x" * n]
+    pages = ["<button>" * n, "<svg>" * n + "</svg>" * n, "<script/>" * n, "<button><p>" * n, "<div>" * n + "</p>" * n, "<b x>" * n + "<hr>" * n, "<p><div>" + "<b x>" * n + "<hr>" * n, "</i>" * n + "<i q>" * n + "</b>" * n, "<a>" * n, "&" * n, "<" * n, "<p " + "a='" * n, "<!--" * n, "<script>" * n, "<p>x" * n]
     for page in pages:
         began = time.time()
         html_text.main_text(page)
@@ -104,3 +104,48 @@ def test_linked_blocks_of_the_article_stay_but_link_lists_go():
     want = ["The linked title of it", long, "A section", long, "One paragraph that is a single link from its first word to its last", long, long, long, "References"]
     want += ["Ann Smith, On the words of long texts and pages, 1999", "Bo Lee, Trees that tell blocks apart by their links, 2004", "Cy Roe, What a page holds besides its article, 2011"]
     assert html_text.main_text(page) == "\n".join(want)
+
+
+def article(body):
+    return html_text.main_text(f"<article><p>One first paragraph here.</p>{body}</article><footer>Foot</footer>").removeprefix("One first paragraph here.").strip()
+
+
+def test_elements_without_an_end_tag_end_at_the_next_block():
+    for tag in "button select object canvas audio video datalist svg noscript template".split():
+        assert article(f"<{tag}>x<p>Two words and more of them.</p>") == "Two words and more of them.", tag
+        assert article(f"<{tag}>x<p>Two words and more of them.</p><p>Then <{tag}>gone</{tag}> this.</p>") == "Two words and more of them.\nThen this." or tag in html_text.NESTING, tag
+        assert article(f"<p>Before <{tag}><div>gone</div></{tag}> after it.</p>") == "Before after it.", tag
+    for tag in ("script", "style", "textarea", "iframe"):
+        assert article(f"<{tag}>x<p>Two words.</p>") == ""
+    assert article("<svg><g><svg>a</svg></g>b</svg><p>Two words.</p>") == "Two words."
+
+
+def test_slashes_at_the_end_of_a_tag():
+    assert article("<script src=/js/>var x=1;</script><p>Two words.</p>") == "Two words."
+    assert article('<script src="/a.js"/><p>Two words.</p>') == "Two words."
+    assert article('<script src="/a.js" /><p>Two words.</p><script>var y=2;</script><p>Three.</p>') == "Two words.\nThree."
+    assert article("<div class=ad data-u=/x/>Buy this now</div><p>Two words.</p>") == "Two words."
+    assert article('<div class="ad"/><p>Two words.</p>') == "Two words."
+
+
+def test_names_of_parts_of_an_article():
+    for part in ('section id="related-work"', 'section class="comment-on-theory"', 'p class="social-life"', 'div id="main-search"', 'section id="share-of-the-market"', 'div class="notice-periods-in-law"'):
+        tag = part.split()[0]
+        assert article(f"<{part}>Some words of the text itself.</{tag}>") == "Some words of the text itself.", part
+    for part in ('div class="related-posts"', 'div class="comment-list"', 'p class="social"', 'div id="search-form"', 'div class="share-buttons"', 'section class="c-related"', 'div class="adBox"', 'div class="left sidebar-thing"'):
+        tag = part.split()[0]
+        assert article(f"<{part}>Some words of no text at all.</{tag}>") == "", part
+
+
+def test_lists_of_links_below_a_heading_of_sources_stay():
+    refs = "<li><a href=1>Ref one two</a></li><li><a href=2>Ref two three</a></li>"
+    assert article(f"<h2>References</h2><ul>{refs}</ul>") == "References\nRef one two\nRef two three"
+    assert article(f"<h2>Sources:</h2><p>Short.</p><ul>{refs}</ul><h2>More</h2><ul>{refs}</ul>") == "Sources:\nShort.\nRef one two\nRef two three\nMore"
+
+
+def test_lists_of_articles_are_not_the_article():
+    text = " ".join(["plain"] * 30)
+    page = f'<div class="latest post-list"><p>A teaser of {text}</p></div><article><p>{text}</p></article>'
+    assert html_text.main_text(page) == text
+    for name in ("post", "entry-content", "articleBody", "story full", "post-12 single-post"):
+        assert html_text.main_text(f'<div class="{name}"><p>{text}</p></div><div><p>Other {text}</p></div>') == text, name

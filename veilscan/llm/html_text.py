@@ -28,11 +28,16 @@ from veilscan.llm._common import map_batches, texts
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+EMPTY = re.compile(r"""(?:^|[\s"'])/$""")  # a slash that ends a tag, not an unquoted value
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # What elements and names mean.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-SKIPPED = frozenset("script style noscript template textarea select button iframe svg math object canvas title audio video datalist".split())
+# Elements without text of the page: in the first, markup is text and a missing end tag takes the rest of the page; the others end
+# where a block begins if their own end is missing, and those that can hold their like are matched as brackets.
+RAW = frozenset("script style textarea title iframe".split())
+SKIPPED = frozenset("noscript template select button svg math object canvas audio video datalist".split())
+NESTING = frozenset("template svg math object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILER_NAMES = frozenset(
@@ -41,8 +46,19 @@ BOILER_NAMES = frozenset(
     "recommend recommended recommendations related replies reply respond search share shares sidebar sidebars signup skip social sponsor sponsored sponsors subscribe "
     "subscription taboola toolbar topbar trending widget widgets".split()
 )
+# Names that can also tell what a part of an article is about: there they count only if the rest of the name is about layout.
+TOPICS = frozenset("ad ads banner comment comments consent copyright disclaimer login menu menus notice notices notification promo promos promotion recommend recommended recommendations related replies reply respond search share shares skip social sponsor sponsors subscribe subscription".split())
+LAYOUT = frozenset(
+    "area articles bar block body bottom box btn button buttons center col column container content feed fixed footer form form grid group head header icon icons inline inner item items js label left links list "
+    "message module news outer page panel post posts right row section site slot sticky stories story tag tags text thread title top unit user wrap wrapper".split()
+)
 PAGE_NAMES = frozenset("header head".split())  # boilerplate only outside the article
 MAIN_NAMES = frozenset("article content entry story post main body".split())
+ARTICLE_NAMES = frozenset("article entry story post".split())
+ARTICLE_PARTS = MAIN_NAMES | frozenset("text copy full single page".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Headings below which lists of links are the article's own.
+SOURCES = frozenset("references reference sources bibliography literature citations notes footnotes literatur quellen einzelnachweise références sources bibliographie referencias bibliografía fuentes notas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 # Classes and roles name an element's purpose on these, ids on the containers among them; a heading's id is a slug of its words.
 NAMED = BLOCKS - frozenset("h1 h2 h3 h4 h5 h6 hgroup pre caption figcaption summary legend".split())
@@ -145,6 +161,31 @@ def verdict(node: tuple | float, row: tuple) -> bool:
     return node >= 0.5
 
 
+# Names of lists of articles.
+LISTS = frozenset("archive card cards feed grid latest list lists more preview previews recent teaser teasers".split())
+
+
+def _boiler_name(parts: set[str], inside: bool) -> bool:
+    """Whether a class or id, by its parts, names boilerplate."""
+    named = parts & BOILER_NAMES
+    if not named or not inside or named - TOPICS:
+        return bool(named)
+    return all(p in named or p in LAYOUT or len(p) < 2 for p in parts)
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where the content of an element of SKIPPED ends, by where it begins; those without an end tag aren't in it."""
+    found, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}\b[^>]*>", page, re.IGNORECASE):
+        if not m[1]:
+            if tag not in NESTING:
+                opened.clear()  # the one before has no end
+            opened.append(m.end())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
 def _marks(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
     """(boilerplate, article) as the tag and its attributes have it."""
     boiler, main = tag in BOILER_TAGS or (tag == "header" and not inside), tag in ("article", "main")
@@ -153,9 +194,10 @@ def _marks(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
     for name, value in ATTRIBUTE.findall(raw):
         name, value = name.lower(), value.strip("\"'")
         if (name == "class" and tag in NAMED) or (name == "id" and tag in CONTAINERS):
-            parts = {x.lower() for x in NAME_PART.findall(value)}
-            boiler |= bool(parts & BOILER_NAMES) or (not inside and not main and bool(parts & PAGE_NAMES))
-            main |= name == "class" and bool(parts & MAIN_NAMES) and tag in ("div", "section", "td") and bool(parts & {"article", "entry", "story", "post"})
+            names = [{x.lower() for x in NAME_PART.findall(v)} for v in value.split()]
+            boiler |= any(_boiler_name(n, inside) for n in names) or (not inside and not main and any(n & PAGE_NAMES for n in names))
+            # All of the name is about an article's whole: not a list, teaser or title of articles.
+            main |= name == "class" and tag in ("div", "section", "td") and any(n & ARTICLE_NAMES and n <= ARTICLE_PARTS for n in names) and all(n <= ARTICLE_PARTS or not n & LISTS for n in names)
         elif name == "role" and tag in NAMED:
             boiler |= value.lower() in ROLES
             main |= value.lower() in ("main", "article")
@@ -166,9 +208,10 @@ def _marks(tag: str, raw: str, inside: bool) -> tuple[bool, bool]:
     return boiler, main
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, linked words, named boilerplate, inside the article) of every text block in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """(text, linked words, named boilerplate, inside the article, a heading) of every text block in page order."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
+    ends: dict[str, dict[int, int]] = {}  # by tag, made when first needed
     pieces: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, boilerplate, article
@@ -180,7 +223,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append((text, len("".join(linked).split()), boiler > 0, main > 0))
+                out.append((text, len("".join(linked).split()), boiler > 0, main > 0, any(held[h] for h in HEADINGS)))
             pieces.clear()
             linked.clear()
 
@@ -209,8 +252,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 add(m[0][9:].removesuffix("]]>"))
             continue
         tag, raw = m[2].lower(), m[3]
+        closed = EMPTY.search(raw) is not None
         if tag in BLOCKS:
             flush()
+            while stack and stack[-1][0] in SKIPPED:  # without an end tag
+                pop()
         elif tag == "br":
             pieces.append(" ")
         if m[1]:  # an end tag
@@ -222,13 +268,27 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                     pop()
                 pop()
             continue
-        if tag in SKIPPED and not raw.endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+        if tag in RAW:
+            end = re.compile(rf"<(/?){tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+            if closed and not (end and end[1]):
+                continue  # written as an empty element, and no end tag belongs to it
+            while end and not end[1]:
+                end = re.compile(rf"<(/?){tag}\b[^>]*>", re.IGNORECASE).search(page, end.end())
             at = end.end() if end else len(page)
             continue
+        if tag in SKIPPED:
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            if end_at := ends[tag].get(at):
+                at = end_at
+            elif not closed:
+                held[tag] += 1
+                stack.append((tag, True, False))
+                boiler += 1
+            continue
         if tag == "a":
             anchors = 1  # links do not nest
-        elif tag not in VOID and not raw.endswith("/"):
+        elif tag not in VOID and not closed:
             while tag in BLOCKS and tops and (stack[tops[-1]][0] == "p" or stack[tops[-1]][0] in CLOSES.get(tag, ())):
                 end = tops[-1]
                 while len(stack) > end:
@@ -254,15 +314,21 @@ def main_text(page: str) -> str:
     if not found:
         return ""
     words = [len(t.split()) for t, *_ in found]
-    links = [min(1.0, n / w) for (_, n, _, _), w in zip(found, words, strict=True)]
-    article = [m and not b for _, _, b, m in found]
+    links = [min(1.0, n / w) for (_, n, *_), w in zip(found, words, strict=True)]
+    article = [m and not b for _, _, b, m, _ in found]
+    listed = False  # below a heading of sources, where links are the text
+    for i, (text, _, _, _, heading) in enumerate(found):
+        if heading:
+            listed = text.strip(" :.").lower() in SOURCES
+        elif listed and article[i]:
+            links[i] = 0.0
     has_main = any(article)
 
     def beside(i: int, j: int) -> float:
         return 0.0 if article[i] and not article[j] else links[j]
 
     kept = []
-    for i, (text, _, boiler, inside) in enumerate(found):
+    for i, (text, _, boiler, inside, _) in enumerate(found):
         before = (words[i - 1], beside(i, i - 1)) if i else (0, 0.0)
         after = (words[i + 1], beside(i, i + 1)) if i + 1 < len(found) else (0, 0.0)
         row = (words[i], links[i], *before, *after, int(boiler), 1 if inside else -int(has_main))
