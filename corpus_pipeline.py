@@ -22,13 +22,13 @@ SQL can't express tokens, the ranking or the cube method, so ORACLE_SQL is None.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm import jaccard, mixing, packing, quality, secrets
 from veilscan.llm._common import materialise, table
 from veilscan.llm.queries import SEQUENCE_LENGTH, tokenizer_path
-from veilscan.sources.tables import BATCH
+from veilscan.sources.tables import BATCH, others
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if heads.count() <= BROADCAST_ROWS:
         alone, several = F.broadcast(alone), F.broadcast(several)
     kept = docs.join(alone, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
-    # Repeated rows: one stays.
-    order = Window.partitionBy("id").orderBy(F.col("row.text").asc_nulls_last())
-    rows = docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
-    first = rows.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row.*")
-    return kept.unionByName(first).select(*docs.columns)
+    # Repeated rows: one stays, by partial minima, so that no task holds all rows of an id.
+    rows = docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*others(docs)).alias("row"))
+    order = F.struct(F.col("row.text").isNull(), F.col("row.text"))
+    first = rows.groupBy("id").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return kept.unionByName(first).select(*others(docs))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
