@@ -48,7 +48,7 @@ def test_report_writes_all_tables(spark, sf, tmp_path):
     corpus_report(spark, sf, str(tmp_path))
     read = lambda t: spark.read.parquet(f"{tmp_path}/{t}")
     assert read("verdicts").count() == 200
-    assert read("findings").count() == read("summary").filter("level = 3").first().n_findings
+    assert read("findings").count() == read("summary").filter("level = 7").first().n_findings
     assert read("top").count() == read("verdicts").groupBy("source").count().selectExpr("sum(least(count, 20))").first()[0]
 
 
@@ -167,6 +167,8 @@ def test_linear_spellings_find_the_same(spark):
     alphabets = ["ab.@ ", "a@.-_ \n", "01 ", "0f /=+", " \t\nx", "<a hiden>:splay", "aZ9+/=- "]
     texts = ["".join(rng.choice(a) * rng.choice([1, 1, 1, 2, 20, 45]) for _ in range(rng.randrange(60))) for a in alphabets for _ in range(60)]
     texts += ["<a hidden><b style='display: none'><c  visibility:hidden <d hidden>", "a@b.com_x@y.org a@b@c.com", "1" * 40 + " " + "2" * 15, "x \t\ny\t \r\nz \u2028 "]
+    texts += ["".join(rng.choice(["{", "}", "display:none", "visibility : hidden", ".a", "#b,", "color:x;", " ", "@media"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    texts += ["".join(rng.choice(["<p", "<div", ">", " class=a", ' id="b"', " x=1", "text", "class =c", "<"]) for _ in range(rng.randrange(30))) for _ in range(60)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
     for plain in P.LINEAR:
         got = {r.doc_id: r.found for r in frame.select("doc_id", D.matches(F.col("text"), plain).alias("found")).collect()}
@@ -178,11 +180,58 @@ def test_long_runs_of_every_kind_are_searched_in_linear_time(spark):
     import time
 
     n = 1 << 20
-    runs = ["a" * n, "a." * (n // 2), "a@" * (n // 2), "@a." * (n // 3), " " * n + "x", " \t" * (n // 2) + "x", "1" * n, "0f" * (n // 2), "aB3/" * (n // 4), "token:" * (n // 6), "token " + " " * n, "-----BEGIN " * (n // 11), "-----BEGIN " + "A" * n, "\u0430b" * (n // 2), "1." * (n // 2)]
-    pages = ["<!--" * (n // 4), "<script>" * (n // 8), "<script" * (n // 7), "<a " * (n // 3), "<a " + " hidden" * (n // 7), "<a display:" + " " * n, "<style>" * (n // 7) + "</style", "<" * n, "<!--" * (n // 4) + "-->"]
+    runs = ["a" * n, "a." * (n // 2), "a@" * (n // 2), "@a." * (n // 3), " " * n + "x", " \t" * (n // 2) + "x", "1" * n, "0f" * (n // 2), "aB3/" * (n // 4), "token:" * (n // 6), "token " + " " * n, "-----BEGIN " * (n // 11), "-----BEGIN " + "A" * n, "\u0430b" * (n // 2), "1." * (n // 2), "\u200b\u200c" * (n // 40), "x \n" * (n // 40)]
+    pages = ["<!--" * (n // 4), "<script>" * (n // 8), "<script" * (n // 7), "<a " * (n // 3), "<a " + " hidden" * (n // 7), "<a display:" + " " * n, "<style>" * (n // 7) + "</style", "<" * n, "<!--" * (n // 4) + "-->", "<style>" + "{" * n + "</style>", "<style>" + "a{display:" * (n // 10) + "</style>", "<style>" + "a" * n + "</style>", "<style>" + ".a{display:none}" * 2000 + "</style>" + "<p class=b>" * 9000, "<a class" * (n // 8), "<a class=" + "x " * (n // 2), "&#" * (n // 2), "&#8203;" * (n // 70), "&amp" * (n // 4)]
     for texts, names in ((runs, D.TEXT), (pages, D.PAGES)):
         frame = docs(spark, texts).repartition(4).cache()
         frame.count()
         began = time.time()
         S.verdict(S.scan(frame, names=names)).write.format("noop").mode("overwrite").save()
         assert time.time() - began < 3 * len(texts)
+
+
+def test_lookalike_letters_are_seen_as_one(spark):
+    rows = docs(spark, ["paypal code", "p\u0430ypal c\u043ede", "\uff50aypal \u200bcode", "été", "ete", "Größe", "Grösse", "niño", "nino", "слово", "слова"])
+    [row] = M.camouflaged_copies(rows).collect()
+    assert (row.n_docs, row.n_forms, row.first_doc_id) == (3, 3, 0)
+
+
+def test_messages_in_invisible_bits(spark):
+    bits = lambda m: "".join(f"{b:08b}" for b in m.encode())
+    zero = lambda b: b.replace("0", "\u200b").replace("1", "\u200c")
+    ends = lambda b: "".join("x" + b[i : i + 5].replace("0", " ").replace("1", "\t") + "\n" for i in range(0, len(b), 5))
+    texts = ["ab" + zero(bits("attack at dawn é")) + "c", ends(bits("meet me")), zero("1" * 16), zero(bits("ab"))[:-1], zero(bits("a")), ends("0" * 16), None, "", zero(bits("on")) + ends(bits("two"))]
+    rows = docs(spark, texts).select("doc_id", D.invisible_payloads(F.col("text")).alias("zero"), D.blank_payloads(F.col("text")).alias("ends")).orderBy("doc_id").collect()
+    assert [(r.zero, r.ends) for r in rows] == [(["attack at dawn é"], []), ([], ["meet me"]), *[([], [])] * 6, (["on"], ["two"])]
+    got = S.verdict(S.scan(docs(spark, texts[:2]))).orderBy("doc_id").collect()
+    assert [r.detectors for r in got] == ["T1,T1p", "T5,T5p"]
+
+
+def test_references_are_read_where_they_stand(spark):
+    import html
+
+    texts = ["in&#8203;visible", "&lt;b&gt; &amp;amp; &quot;x&quot;", "&#x1F600;&#128512;", "a&shy;b&zwnj;c", "&bogus; & &#; &#x; &#99999999;", "p&#1072;ypal", "plain", ""]
+    got = [r.x for r in docs(spark, texts).select("doc_id", D.referenced(F.col("text")).alias("x")).orderBy("doc_id").collect()]
+    assert got == [t if "bogus" in t else html.unescape(t) for t in texts]
+    assert docs(spark, ["&#0;&#55296;&#1114112;", None]).select(D.referenced(F.col("text"))).collect() == [("\ufffd\ufffd\ufffd",), (None,)]
+    pages = ["<p>in&#8203;visible</p>", "<p>p&#1072;ypal</p>", "<p>&lt;script&gt;p\u0430y&lt;/script&gt;</p>", "<p>a &amp; b</p>"]
+    assert [r.detectors for r in S.verdict(S.scan(docs(spark, pages), names=D.PAGES)).orderBy("doc_id").collect()] == ["T1", "T2", "T2", ""]
+
+
+def test_elements_hidden_by_a_style_sheet(spark):
+    sheet = "<style>.x , p.y{color:red;display : none} @media print { #z{visibility:hidden} } .a .b{display:none} .shown{display:block} .c:hover{display:none}</style>"
+    tags = {'<p class="x">': 1, "<p class='k x'>": 1, "<p class=y>": 1, "<div class=y>": 0, "<b id=z>": 1, '<b id="zz">': 0, "<p class=b>": 0, "<p class=shown>": 0, "<p class=c>": 0, "<p title=x>": 0, "<p>": 0}
+    pages = [sheet + t + "h</p>" for t in tags] + ["<p class=x>", None, ""]
+    got = [r.n for r in docs(spark, pages).select("doc_id", F.size(D.style_hidden_elements(F.col("text"))).alias("n")).orderBy("doc_id").collect()]
+    assert got == [*tags.values(), 0, 0, 0]
+    assert S.verdict(S.scan(docs(spark, pages[:1]), names=D.PAGES)).first().detectors == "P2s"
+
+
+def test_robust_outliers_are_not_hidden_by_others(spark):
+    plain = [f"some plain words of text, number {i + 100}" for i in range(60)]
+    odd = ["#" * 50] * 20 + ["aaaaaaaaaa" * 9]
+    rows = docs(spark, plain + odd)
+    assert {r.doc_id for r in S.robust_outliers(rows).collect()} == set(range(60, 81))
+    assert len(S.outliers(rows).collect()) < 20
+    mixed = docs(spark, [None, "", "a b"], None).unionByName(rows)
+    assert S.robust_outliers(mixed).filter("lang IS NULL").count() <= 2 and S.robust_outliers(rows.limit(0)).count() == 0

@@ -83,6 +83,29 @@ def readable_payloads(text: Column) -> Column:
     return payloads(base64_runs(text), hex_runs(text))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once: a column that a lambda uses would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def carried(bits: Column) -> Column:
+    """The text that a string of 0 and 1 carries, eight to a byte, as an array of one or none: two bytes at least, and readable."""
+    byte = lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")
+    spelled = F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("[01]{8}"), F.lit(0)), byte), "")
+    text = F.try_validate_utf8(F.try_to_binary(F.when((F.length(bits) >= 16) & (F.length(bits) % 8 == 0), spelled), F.lit("hex")).cast("string"))
+    return F.filter(F.array(text), lambda x: x.isNotNull() & ~F.contains(x, F.lit("\0")))
+
+
+def invisible_payloads(text: Column) -> Column:
+    """T1p: what zero-width spaces and non-joiners spell."""
+    return carried(F.translate(F.array_join(matches(text, P.ZERO_WIDTH_BITS), ""), "\u200b\u200c", "01"))
+
+
+def blank_payloads(text: Column) -> Column:
+    """T5p: what blanks and tabs at line ends spell, from the first line to the last."""
+    return carried(F.translate(F.array_join(matches(text, P.LINE_END_BITS), ""), " \t", "01"))
+
+
 def entropy(token: str) -> float:
     """Bits a character."""
     n = len(token)
@@ -146,6 +169,43 @@ def html_nonvisible_blocks(html: Column) -> Column:
     return F.concat(matches(html, P.SCRIPT, 1), matches(html, P.STYLE, 1))
 
 
+def style_hidden_elements(html: Column) -> Column:
+    """P2s: start tags whose class or id a style sheet of the page hides; selectors of one class or id, with or without an element's name."""
+    sheets = F.array_join(matches(html, P.STYLE, 1), "\n")
+    selectors = F.flatten(F.transform(matches(sheets, P.HIDING_RULE, 1), lambda x: F.transform(F.split(x, ","), lambda y: F.trim(F.regexp_replace(y, r"[\s]+", " ")))))
+    single = F.array_distinct(F.filter(selectors, lambda x: x.rlike(P.ONE_NAME)))
+    value = lambda tag, pattern: F.concat_ws("", *(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
+    named = lambda tag: F.concat(F.transform(F.split(value(tag, P.CLASS_VALUE), r"[\s]+"), lambda x: F.concat(F.lit("."), x)), F.array(F.concat(F.lit("#"), value(tag, P.ID_VALUE))))
+    own = lambda tag: F.lower(F.regexp_extract(tag, "^<([a-zA-Z][a-zA-Z0-9]*)", 1))
+    holds = lambda hidden, tag: F.arrays_overlap(hidden, F.concat(named(tag), F.transform(named(tag), lambda x: F.concat(own(tag), x))))
+    return F.coalesce(once(single, lambda hidden: F.when(F.size(hidden) > 0, F.filter(matches(html, P.NAMED_TAG), lambda tag: holds(hidden, tag)))), none())
+
+
+def code_points(numbers: Column) -> Column:
+    """The characters of an array of numbers; a number that is none becomes U+FFFD."""
+
+    def one(n: Column) -> Column:
+        pair = n - 0x10000
+        high, low = F.lit(0xD800) + F.floor(pair / 1024), F.lit(0xDC00) + F.pmod(pair, F.lit(1024))
+        units = F.when(n < 0x10000, F.lpad(F.hex(n), 4, "0")).otherwise(F.concat(F.hex(high.cast("long")), F.hex(low.cast("long"))))
+        good = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(good, F.decode(F.unhex(units), "UTF-16BE")).otherwise(F.lit("\ufffd"))
+
+    return F.transform(numbers, one)
+
+
+def referenced(text: Column) -> Column:
+    """The text with its character references read, once, each where it stands."""
+    found = F.regexp_extract_all(text, F.lit(P.REFERENCE), F.lit(0))
+    parts = F.split(text, P.REFERENCE)
+    names = F.create_map(*(F.lit(x) for k, v in P.NAMED.items() for x in (f"&{k};", v)))
+    digits = lambda x: F.regexp_replace(x, "[&#xX;]", "")
+    number = lambda x: F.when(x.rlike("^&#[xX]"), F.conv(digits(x), 16, 10).cast("long")).when(x.rlike("^&#"), digits(x).cast("long")).otherwise(F.try_element_at(names, x).cast("long"))
+    chars = F.concat(code_points(F.transform(found, number)), F.array(F.lit("")))
+    read = F.array_join(F.zip_with(parts, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), read).otherwise(text)
+
+
 #: Named, switchable detectors of text: kind, what they find, severity. Severity 0 is reported but doesn't
 #: set the verdict. Each is given the text and what the detectors before it have found, by name.
 TEXT = {
@@ -161,10 +221,12 @@ TEXT = {
     "T7e": ("email", lambda t, _: emails(t), 0),
     "T7i": ("ipv4", lambda t, _: ipv4s(t), 0),
     "T7c": ("card_number", lambda t, _: card_numbers(t), 1),
+    "T1p": ("invisible_payload", lambda t, found: F.when(F.size(found["T1"]) >= 16, invisible_payloads(t)).otherwise(none()), 3),
+    "T5p": ("blank_payload", lambda t, _: blank_payloads(t), 3),
     "T4": ("high_entropy_token", lambda t, found: unnamed(high_entropy_tokens()(t), *(found[x] for x in ("T3b", "T3h", "T6", "T7e", "T7c") if x in found)), 1),
 }
-#: Text detectors of a page and of its parts. Blanks before a line's end are layout there (T5).
-IN_PAGES = {name: d for name, d in TEXT.items() if name != "T5"}
+#: Text detectors of a page and of its parts. Blanks before a line's end are layout there (T5, T5p).
+IN_PAGES = {name: d for name, d in TEXT.items() if name not in ("T5", "T5p")}
 
 
 def unnamed(tokens: Column, *named: Column) -> Column:
@@ -190,12 +252,12 @@ def suspicious_bodies(bodies: Column) -> Column:
 
 
 def page_text(html: Column) -> Column:
-    """What stands between the tags, without comments, scripts and styles."""
+    """What stands between the tags, without comments, scripts and styles, its character references read."""
     for pattern in (P.COMMENT, P.SCRIPT, P.STYLE):
         # The replacement stops where the last match ends, as the search does.
         end = F.length(F.regexp_extract(html, P.LAST[pattern], 0))
         html = F.concat(F.regexp_replace(F.substring(html, F.lit(1), end), pattern, " "), F.substring(html, end + 1, F.length(html)))
-    return F.regexp_replace(html, P.TAG, " ")
+    return referenced(F.regexp_replace(html, P.TAG, " "))
 
 
 #: Pages: comments and scripts are on every page, so they count only where their body trips a text
@@ -204,6 +266,7 @@ PAGES = {
     "P1": ("comment", lambda h, _: html_comments(h), 0),
     "P1s": ("comment_secret", lambda _, found: suspicious_bodies(found["P1"]), 3),
     "P2": ("hidden_element", lambda h, _: html_hidden_elements(h), 2),
+    "P2s": ("style_hidden_element", lambda h, _: style_hidden_elements(h), 2),
     "P3": ("nonvisible_block", lambda h, _: html_nonvisible_blocks(h), 0),
     "P3s": ("nonvisible_secret", lambda _, found: suspicious_bodies(found["P3"]), 3),
     "text": ("", lambda h, _: page_text(h), None),  # no detector: what the others are given from here on

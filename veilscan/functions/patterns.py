@@ -20,6 +20,24 @@ SCRIPT = r"(?is)<script[^<>]*>(.*?)</script>"
 STYLE = r"(?is)<style[^<>]*>(.*?)</style>"
 TAG = r"<[^<>]*>"
 
+#: Letters that look like Latin ones, and those: Cyrillic, Greek, and full-width forms by their distance.
+LOOKALIKES = str.maketrans(
+    "аеорсухіјѕһԁԛԝАВЕКМНОРСТУХЅІЈԌԚԜ" + "ανορΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "".join(chr(c) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))),
+    "aeopcyxijshdqwABEKMHOPCTYXSIJGQW" + "avopABEZHIKMNOPTYX" + "".join(chr(c - 0xFEE0) for c in (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B))),
+)
+#: Character references: numbers, and the names of what marks up or can't be seen.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos|nbsp|shy|zwnj|zwj|lrm|rlm);"
+NAMED = {"amp": 38, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 160, "shy": 173, "zwnj": 8204, "zwj": 8205, "lrm": 8206, "rlm": 8207}
+#: Style rules that hide, with their selectors; selectors of one class or id; start tags with a class or an id.
+HIDING_RULE = r"(?i)([^{}]*)\{[^{}]*(?:display\s*:\s*none|visibility\s*:\s*hidden)[^{}]*\}"
+ONE_NAME = r"^(?:[a-zA-Z][a-zA-Z0-9]*)?[.#]-?[_a-zA-Z][_a-zA-Z0-9-]*$"
+NAMED_TAG = r"""(?i)<[a-z][^<>]*\s(?:class|id)\s*=[^<>]*>"""
+CLASS_VALUE = r"""(?i)\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
+ID_VALUE = r"""(?i)\sid\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))"""
+#: Carriers of bits: the zero-width space and non-joiner for 0 and 1, a blank and a tab at a line's end.
+ZERO_WIDTH_BITS = r"[\x{200B}\x{200C}]"
+LINE_END_BITS = r"(?m)[ \t]+$"
+
 #: The same matches in a spelling that a backtracking engine finds in time that grows as the text: a run
 #: is tried from its start only (or from where the last match ended), and never given back in part.
 LINEAR = {
@@ -29,6 +47,8 @@ LINEAR = {
     TRAILING: r"(?md)(?<![ \t])[ \t]++$",
     EMAIL: r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
     DIGITS: r"(?:\G|(?<![0-9]))[0-9]{13,19}+",
+    HIDING_RULE: r"(?i)(?<![^{}])([^{}]*+)\{(?=[^{}]*+\})[^{}]*(?:display\s*+:\s*+none|visibility\s*+:\s*+hidden)[^{}]*\}",
+    NAMED_TAG: r"(?i)<[a-z](?=[^<>]*+>)[^<>]*\s(?:class|id)\s*+=[^<>]*>",
     HIDDEN_ELEMENT: r"(?i)<[a-z](?=[^<>]*+>)[^<>]*(?:\shidden|display:\s*+none|visibility:\s*+hidden)[^<>]*>",
 }
 #: What a text must hold for a pattern to match at all: a cheap test before the search.

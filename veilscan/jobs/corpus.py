@@ -20,5 +20,5 @@ def corpus_report(spark: SparkSession, folder: str, out: str, k: int = 20) -> No
     verdicts.write.mode("overwrite").parquet(f"{out}/verdicts")
     found = S.explode_findings(scanned)
     write_findings(found, f"{out}/findings")
-    S.summary(found, "lang", "detector").write.mode("overwrite").parquet(f"{out}/summary")
+    S.summary(found, "lang", "source", "detector").write.mode("overwrite").parquet(f"{out}/summary")
     S.top_k_per_source(verdicts, k).write.mode("overwrite").parquet(f"{out}/top")

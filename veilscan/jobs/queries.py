@@ -101,17 +101,25 @@ def suspicious_sql(b: str) -> str:
     return "(" + " OR ".join(f"len({parts[d]}) > 0" for d in ("T1", "T2", "T3b", "T3h", "T6", "T6k", "T7c")) + ")"
 
 
+def carried_sql(b: str) -> str:
+    """What a column of 0 and 1 spells, eight to a byte, as a list of one text or none."""
+    byte = f"list_sum([CASE WHEN substring({b}, 8 * i + j + 1, 1) = '1' THEN 1 << (7 - j) ELSE 0 END FOR j IN range(0, 8)])"
+    text = f"TRY(decode(unhex(array_to_string([format('{{:02x}}', CAST({byte} AS BIGINT)) FOR i IN range(0, length({b}) // 8)], ''))))"
+    return f"CASE WHEN length({b}) >= 16 AND length({b}) % 8 = 0 THEN [y FOR y IN [{text}] IF y IS NOT NULL AND NOT contains(y, chr(0))] ELSE [] END"
+
+
 def stages_sql(base: str, keys: str, text: str = "text", blanks: bool = True) -> str:
     """CTEs that end in `hits`: `keys` and a list of what each detector found, from the column `text` of `base`."""
     found = text_sql(text)
     if not blanks:
         del found["T5"]
     first = ", ".join(f"{e} AS {d}" for d, e in found.items())
+    bits = {"T1p": f"translate(array_to_string([x FOR x IN T1 IF x IN (chr(8203), chr(8204))], ''), chr(8203) || chr(8204), '01')"} | ({"T5p": "translate(array_to_string(T5, ''), ' ' || chr(9), '01')"} if blanks else {})
     decoded = "list_concat([TRY(decode(from_base64(x))) FOR x IN T3b], [TRY(decode(unhex(x))) FOR x IN T3h])"
     named = "flatten([T3b, T3h, T6, T7e, T7c])"
     return f"""h1 AS MATERIALIZED (SELECT *, {first} FROM {base}),
-  h2 AS (SELECT *, [x FOR x IN {decoded} IF x IS NOT NULL] AS T3d, {extract(P.TOKEN, 0, text)} AS tokens FROM h1),
-  hits AS MATERIALIZED (SELECT *, [x FOR x IN T3d IF {suspicious_sql('x')}] AS T3s, [t FOR t IN tokens IF {entropic('t')} AND NOT coalesce(list_bool_or([contains(x, t) OR contains(t, x) FOR x IN {named}]), false)] AS T4 FROM h2)"""
+  h2 AS (SELECT *, [x FOR x IN {decoded} IF x IS NOT NULL] AS T3d, {extract(P.TOKEN, 0, text)} AS tokens, {', '.join(f"{e} AS bits_{d}" for d, e in bits.items())} FROM h1),
+  hits AS MATERIALIZED (SELECT *, {', '.join(f"{carried_sql(f'bits_{d}')} AS {d}" for d in bits)}, [x FOR x IN T3d IF {suspicious_sql('x')}] AS T3s, [t FOR t IN tokens IF {entropic('t')} AND NOT coalesce(list_bool_or([contains(x, t) OR contains(t, x) FOR x IN {named}]), false)] AS T4 FROM h2)"""
 
 
 def found_sql(keys: str, names: dict) -> str:
@@ -144,6 +152,20 @@ PAGE_SQL = {
     "P2": extract(P.HIDDEN_ELEMENT, 0, "html"),
     "P3": f"list_concat({extract(P.SCRIPT, 1, 'html')}, {extract(P.STYLE, 1, 'html')})",
 }
+
+
+def style_hidden_sql() -> str:
+    """P2s of a column html."""
+    sheets = f"array_to_string({extract(P.STYLE, 1, 'html')}, chr(10))"
+    selectors = f"flatten([[trim(regexp_replace(y, '[\\s]+', ' ', 'g')) FOR y IN string_split(r, ',')] FOR r IN {extract(P.HIDING_RULE, 1, sheets)}])"
+    single = f"[y FOR y IN {selectors} IF regexp_matches(y, {quoted(P.ONE_NAME)})]"
+    value = lambda pattern: "concat(" + ", ".join(f"regexp_extract(t, {quoted(pattern)}, {i})" for i in (1, 2, 3)) + ")"
+    named = f"list_append(['.' || c FOR c IN string_split_regex({value(P.CLASS_VALUE)}, '[\\s]+')], '#' || {value(P.ID_VALUE)})"
+    own = "lower(regexp_extract(t, '^<([a-zA-Z][a-zA-Z0-9]*)', 1))"
+    return f"[t FOR t IN {extract(P.NAMED_TAG, 0, 'html')} IF list_has_any({single}, list_concat({named}, [{own} || c FOR c IN {named}]))]"
+
+
+PAGE_SQL["P2s"] = style_hidden_sql()
 PAGE_HITS = {"p1_html_comments": (D.html_comments, "P1"), "p2_html_hidden_elements": (D.html_hidden_elements, "P2"), "p3_html_nonvisible_blocks": (D.html_nonvisible_blocks, "P3")}
 
 
@@ -175,6 +197,18 @@ def t3_readable_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return hits(found, "doc_id", F.col("found"), F.size(F.filter("found", D.suspicious)).cast("long").alias("n_secret"))
 
 
+PLANTED_BITS = """planted AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN substring(text, 1, 9) || translate(b, '01', chr(8203) || chr(8204)) || substring(text, 10)
+  WHEN 1 THEN text || array_to_string([chr(10) || 'line' || translate(substring(b, 8 * i + 1, 8), '01', ' ' || chr(9)) FOR i IN range(0, length(b) // 8)], '') WHEN 2 THEN text || translate(repeat('1', 24), '1', chr(8204)) ELSE text END AS text
+  FROM (SELECT doc_id, text, array_to_string([format('{:08b}', CAST('0x' || substring(h, 2 * i + 1, 2) AS INT)) FOR i IN range(0, length(h) // 2)], '') AS b FROM (SELECT doc_id, text, hex(encode('hidden wörds ' || doc_id)) AS h FROM documents)))"""
+
+
+@query("t1_t5_payloads", f"WITH {PLANTED_BITS}, {stages_sql('planted', 'doc_id')} SELECT doc_id, T1p[1] AS zero_width, T5p[1] AS blanks FROM hits")
+def t1_t5_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages in zero-width characters and in blanks at line ends, word for word."""
+    text = F.col("text")
+    return plant.bit_payloads(docs_of(spark, folder)).select("doc_id", F.get(D.invisible_payloads(text), F.lit(0)).alias("zero_width"), F.get(D.blank_payloads(text), F.lit(0)).alias("blanks"))
+
+
 @query("t4_high_entropy_tokens", f"SELECT doc_id, CAST(coalesce(len([t FOR t IN {extract(P.TOKEN)} IF {entropic('t', 3.9)}]), 0) AS BIGINT) AS n_hits FROM documents")
 def t4_high_entropy_tokens(spark: SparkSession, folder: str) -> DataFrame:
     found = D.high_entropy_tokens(3.9)(F.col("text"))
@@ -207,9 +241,9 @@ def v2_verdict(spark: SparkSession, folder: str) -> DataFrame:
     return S.verdict(S.scan(planted_docs(spark, folder)))
 
 
-@query("v4_summary", f"WITH {PLANTED}, {SCAN} SELECT lang, detector, CAST(grouping_id(lang, detector) AS BIGINT) AS level, count(*) AS n_findings FROM found GROUP BY ROLLUP (lang, detector)")
+@query("v4_summary", f"WITH {PLANTED}, {SCAN} SELECT lang, source, detector, CAST(grouping_id(lang, source, detector) AS BIGINT) AS level, count(*) AS n_findings FROM found GROUP BY ROLLUP (lang, source, detector)")
 def v4_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return S.summary(S.explode_findings(planted_scan(spark, folder)), "lang", "detector")
+    return S.summary(S.explode_findings(planted_scan(spark, folder)), "lang", "source", "detector")
 
 
 @query("v5_top_k_per_source", f"WITH {PLANTED}, {SCAN}, {VERDICT}, r AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM verdict) SELECT source, doc_id, score, CAST(place AS INT) AS place FROM r WHERE place <= 10")
@@ -224,13 +258,31 @@ def v6_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return S.outliers(docs_of(spark, folder))
 
 
+def middle_sql(by: str, value: str, table: str, name: str) -> str:
+    """CTE `name`: by, and the least value that half of the rows don't exceed."""
+    return f"{name} AS (SELECT {by}, min({value}) AS mid FROM (SELECT {by}, {value}, 2 * row_number() OVER (PARTITION BY {by} ORDER BY {value}) >= count(*) OVER (PARTITION BY {by}) AS over FROM {table}) WHERE over GROUP BY {by})"
+
+
+ROBUST = f"""r AS (SELECT doc_id, lang, CAST(round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / length(text) ELSE 0 END * 10000) AS BIGINT) AS ratio,
+  CAST(round(CASE WHEN length(text) > 0 THEN list_aggregate(string_split(text, ''), 'entropy') ELSE 0 END * 100) AS BIGINT) AS bits FROM documents),
+  {middle_sql('lang', 'ratio', 'r', 'm1')}, {middle_sql('lang', 'bits', 'r', 'm2')},
+  a AS (SELECT r.*, abs(ratio - m1.mid) AS off1, abs(bits - m2.mid) AS off2 FROM r JOIN m1 ON r.lang IS NOT DISTINCT FROM m1.lang JOIN m2 ON r.lang IS NOT DISTINCT FROM m2.lang),
+  {middle_sql('lang', 'off1', 'a', 's1')}, {middle_sql('lang', 'off2', 'a', 's2')},
+  f AS (SELECT doc_id, a.lang, ratio, bits, off1 > 6 * greatest(s1.mid, 1) AS far_ratio, off2 > 6 * greatest(s2.mid, 1) AS far_bits FROM a JOIN s1 ON a.lang IS NOT DISTINCT FROM s1.lang JOIN s2 ON a.lang IS NOT DISTINCT FROM s2.lang)"""
+
+
+@query("v6_robust_outliers", f"WITH {ROBUST} SELECT * FROM f WHERE far_ratio OR far_bits")
+def v6_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return S.robust_outliers(docs_of(spark, folder))
+
+
 @query("verdict_documents", f"WITH {ASIS}, {SCAN}, {VERDICT} SELECT * FROM verdict")
 def verdict_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: all text detectors on the table as it is."""
     return corpus_verdict(spark, folder)
 
 
-@query("report_summary", f"WITH {ASIS}, {SCAN} SELECT lang, detector, CAST(grouping_id(lang, detector) AS BIGINT) AS level, count(*) AS n_findings FROM found GROUP BY ROLLUP (lang, detector)")
+@query("report_summary", f"WITH {ASIS}, {SCAN} SELECT lang, source, detector, CAST(grouping_id(lang, source, detector) AS BIGINT) AS level, count(*) AS n_findings FROM found GROUP BY ROLLUP (lang, source, detector)")
 def report_summary(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus report, written to the shared folder; its summary."""
     out = scratch_path(spark)
@@ -256,8 +308,20 @@ def verdict_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 BODY = f"(coalesce(list_bool_or([{entropic('y')} FOR y IN {extract(P.TOKEN, 0, 'b')}]), false) OR {suspicious_sql('b')})"
-PAGE_TEXT = "regexp_replace(" * 4 + "html" + "".join(f", {quoted(p)}, ' ', 'g')" for p in (P.COMMENT, P.SCRIPT, P.STYLE, P.TAG))
-PAGE_STAGES = f"""page AS (SELECT page_id, html, {PAGE_TEXT} AS text, {', '.join(f'{e} AS {d}' for d, e in PAGE_SQL.items())} FROM planted),
+STRIPPED = "regexp_replace(" * 4 + "html" + "".join(f", {quoted(p)}, ' ', 'g')" for p in (P.COMMENT, P.SCRIPT, P.STYLE, P.TAG))
+
+
+def referenced_sql(t: str) -> str:
+    """A column with its character references read."""
+    digits = "regexp_replace(x, '[&#xX;]', '', 'g')"
+    named = " ".join(f"WHEN '&{k};' THEN {v}" for k, v in P.NAMED.items())
+    numbers = f"[CASE WHEN regexp_matches(x, '^&#[xX]') THEN CAST('0x' || {digits} AS BIGINT) WHEN regexp_matches(x, '^&#') THEN CAST({digits} AS BIGINT) ELSE CASE x {named} END END FOR x IN {extract(P.REFERENCE, 0, t)}]"
+    chars = f"[CASE WHEN n > 0 AND n < 1114112 AND NOT n BETWEEN 55296 AND 57343 THEN chr(CAST(n AS INT)) ELSE chr(65533) END FOR n IN {numbers}]"
+    return f"array_to_string([z[1] || coalesce(z[2], '') FOR z IN list_zip(string_split_regex({t}, {quoted(P.REFERENCE)}), {chars})], '')"
+
+
+PAGE_STAGES = f"""page0 AS (SELECT page_id, html, {STRIPPED} AS stripped FROM planted),
+  page AS (SELECT page_id, html, {referenced_sql('stripped')} AS text, {', '.join(f'{e} AS {d}' for d, e in PAGE_SQL.items())} FROM page0),
   page2 AS (SELECT *, [b FOR b IN P1 IF {BODY}] AS P1s, [b FOR b IN P3 IF {BODY}] AS P3s FROM page), {stages_sql('page2', 'page_id', blanks=False)}"""
 
 
@@ -268,6 +332,27 @@ def verdict_pages(spark: SparkSession, folder: str) -> DataFrame:
     return S.verdict(S.scan(pages, "html", D.PAGES))
 
 
+def planted_pages(extra: str, k: int) -> str:
+    return f"planted AS (SELECT page_id, CASE WHEN page_id % 10 = {k} THEN html || {quoted(extra)} ELSE html END AS html FROM pages)"
+
+
+@query("p2_style_hidden", hits_sql("page_id", PAGE_SQL["P2s"], planted_pages(plant.STYLED, 1)))
+def p2_style_hidden(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements that a page's own style sheet hides."""
+    pages = plant.plant_styles(spread(table(spark, folder, "pages").select("page_id", "html")))
+    return hits(pages, "page_id", D.style_hidden_elements(F.col("html")))
+
+
+@query("t1_t2_references", f"""WITH {planted_pages(plant.REFERENCES, 2)}, page0 AS (SELECT page_id, {STRIPPED} AS stripped FROM planted), page AS (SELECT page_id, {referenced_sql('stripped')} AS text FROM page0)
+  SELECT page_id, sha256(text) AS text_sha256, CAST(len({text_sql('text')['T1']}) AS BIGINT) AS n_invisible, CAST(len({text_sql('text')['T2']}) AS BIGINT) AS n_mixed FROM page""")
+def t1_t2_references(spark: SparkSession, folder: str) -> DataFrame:
+    """T1 and T2 on the text of pages that write hidden characters as references."""
+    pages = plant.plant_references(spread(table(spark, folder, "pages").select("page_id", "html")))
+    read = pages.select("page_id", D.page_text(F.col("html")).alias("text"))
+    n = lambda found: F.size(found).cast("long")
+    return read.select("page_id", F.sha2("text", 256).alias("text_sha256"), n(D.invisible_chars(F.col("text"))).alias("n_invisible"), n(D.mixed_script_words(F.col("text"))).alias("n_mixed"))
+
+
 BYTES = """bytes AS (SELECT path, 'B1' AS detector, 3 AS severity FROM planted WHERE kind = 0 UNION ALL SELECT path, 'B2', 2 FROM planted WHERE kind = 2 UNION ALL SELECT path, 'B3', 2 FROM planted WHERE kind = 3)"""
 FILE_VERDICT = f"WITH {FILES}, {stages_sql('planted', 'path')}, {found_sql('path', D.TEXT).replace('found AS', 'texts AS')}, {BYTES}, found AS (SELECT path, detector, severity FROM texts UNION ALL SELECT * FROM bytes), {verdict_sql('path', 'planted')}"
 
@@ -343,13 +428,24 @@ def j2_hidden_passage_hashed(spark: SparkSession, folder: str) -> DataFrame:
     return M.hidden_passage(docs_of(spark, folder), table(spark, folder, "benchmark"), broadcast_rows=-1)
 
 
+SKELETON = f"translate(trim(regexp_replace(regexp_replace(text, {quoted(P.INVISIBLE)}, '', 'g'), '\\s+', ' ', 'g')), '{''.join(map(chr, P.LOOKALIKES))}', '{''.join(map(chr, P.LOOKALIKES.values()))}')"
+
+
 @query("j3_camouflaged_copies", f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000000, chr(8203) || text || '  ' FROM documents WHERE doc_id % 10 = 0),
-  v AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, {quoted(P.INVISIBLE)}, '', 'g'), '\\s+', ' ', 'g')) AS seen FROM d)
+  v AS (SELECT doc_id, text, {SKELETON} AS seen FROM d)
   SELECT sha256(seen) AS visible_hash, CAST(count(*) AS BIGINT) AS n_docs, count(DISTINCT text) AS n_forms, min(doc_id) AS first_doc_id FROM v WHERE seen <> '' GROUP BY seen HAVING count(DISTINCT text) > 1""")
 def j3_camouflaged_copies(spark: SparkSession, folder: str) -> DataFrame:
     return M.camouflaged_copies(plant.camouflaged(spread(table(spark, folder, "documents").select("doc_id", "text"))))
 
 
+@query("j3_lookalike_copies", f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000000, translate(text, 'aoe', 'аое') FROM documents WHERE doc_id % 10 = 0),
+  v AS (SELECT doc_id, text, {SKELETON} AS seen FROM d)
+  SELECT sha256(seen) AS visible_hash, CAST(count(*) AS BIGINT) AS n_docs, count(DISTINCT text) AS n_forms, min(doc_id) AS first_doc_id FROM v WHERE seen <> '' GROUP BY seen HAVING count(DISTINCT text) > 1""")
+def j3_lookalike_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """J3 on copies with letters of another script."""
+    return M.camouflaged_copies(plant.lookalikes(spread(table(spark, folder, "documents").select("doc_id", "text"))))
+
+
 @query("j4_rescan_only_new", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE NOT source IN ('src0', 'src1') OR n_chars % 7 = 0")
 def j4_rescan_only_new(spark: SparkSession, folder: str) -> DataFrame:
     """Done before: two sources, whose documents of some lengths have changed since."""

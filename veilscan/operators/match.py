@@ -59,9 +59,15 @@ def visible_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, P.INVISIBLE, ""), r"\s+", " "))
 
 
+def skeleton(text: Column) -> Column:
+    """The visible text with letters that look like Latin ones as those; accents stay, as they show."""
+    pairs = {chr(a): chr(b) for a, b in P.LOOKALIKES.items()}
+    return F.translate(visible_text(text), "".join(pairs), "".join(pairs.values()))
+
+
 def camouflaged_copies(docs: DataFrame) -> DataFrame:
-    """J3: groups of documents that look the same but differ in bytes. Hashes are shuffled, never texts; empty looks are dropped."""
-    shown = docs.select("doc_id", F.sha2("text", 256).alias("raw_hash"), F.sha2(visible_text(F.col("text")), 256).alias("visible_hash"))
+    """J3: groups of documents that look the same, letter by letter, but differ in bytes. Hashes are shuffled, never texts; empty looks are dropped."""
+    shown = docs.select("doc_id", F.sha2("text", 256).alias("raw_hash"), F.sha2(skeleton(F.col("text")), 256).alias("visible_hash"))
     empty = hashlib.sha256(b"").hexdigest()
     seen = shown.filter(F.col("visible_hash") != empty).groupBy("visible_hash", "raw_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     return seen.groupBy("visible_hash").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_forms"), F.min("first").alias("first_doc_id")).filter("n_forms > 1")

@@ -5,7 +5,7 @@ Every row is kept; each tenth row gets a mark, the rest are the negatives.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,42 @@ def big_files(docs: DataFrame, path: str) -> None:
     end = F.when((bucket == 0) & (doc_id % 500 == 0), "\n%%EOF\nx").otherwise(none)
     texts = rows.select("bucket", "doc_id", F.concat(head, F.coalesce("text", none), inside, end).alias("value"))
     texts.repartition(10, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)
+
+
+def bits(message: Column) -> Column:
+    """The bits of a text's bytes as 0 and 1."""
+    digits = F.hex(F.encode(message, "UTF-8"))
+    one = lambda i: F.lpad(F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 2), 8, "0")
+    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(digits) / 2 - 1).cast("int")), one), "")
+
+
+def bit_payloads(docs: DataFrame) -> DataFrame:
+    """A message in zero-width characters in each tenth document, in others in blanks and tabs at the ends of lines, or bits that are no text."""
+    kind = F.pmod("doc_id", F.lit(10))
+    spelled = bits(F.concat(F.lit("hidden wörds "), F.col("doc_id").cast("string")))
+    at_ends = F.array_join(F.transform(F.split(F.regexp_replace(spelled, "(.{8})(?=.)", "$1,"), ","), lambda x: F.concat(F.lit("\nline"), F.translate(x, "01", " \t"))), "")
+    zero_width = lambda x: F.translate(x, "01", "\u200b\u200c")
+    text = F.col("text")
+    inside = F.concat(F.substring(text, 1, 9), zero_width(spelled), F.expr("substring(text, 10)"))
+    planted = F.when(kind == 0, inside).when(kind == 1, F.concat(text, at_ends)).when(kind == 2, F.concat(text, zero_width(F.lit("1" * 24)))).otherwise(text)
+    return docs.withColumn("text", planted)
+
+
+def lookalikes(docs: DataFrame) -> DataFrame:
+    """All documents, and for each tenth a copy under a new id in which Cyrillic letters stand for Latin ones."""
+    copies = docs.filter(F.col("doc_id") % 10 == 0).select((F.col("doc_id") + 1_000_000_000_000).alias("doc_id"), F.translate("text", "aoe", "аое").alias("text"))
+    return docs.select("doc_id", "text").unionByName(copies)
+
+
+STYLED = '<style>.hid-x, p#gone { display : none }</style><p class="a hid-x">h</p><p id=gone>g</p><div id=gone>shown</div>'
+REFERENCES = "<p>in&#8203;visible p&#x430;ypal &amp;shy; &shy; &#128512; &#55296; &bogus;</p>"
+
+
+def plant_styles(pages: DataFrame) -> DataFrame:
+    """At the end of each tenth page elements that a style sheet hides, and one that it doesn't."""
+    return pages.withColumn("html", F.when(F.col("page_id") % 10 == 1, F.concat("html", F.lit(STYLED))).otherwise(F.col("html")))
+
+
+def plant_references(pages: DataFrame) -> DataFrame:
+    """At the end of each tenth page hidden characters written as references."""
+    return pages.withColumn("html", F.when(F.col("page_id") % 10 == 2, F.concat("html", F.lit(REFERENCES))).otherwise(F.col("html")))
