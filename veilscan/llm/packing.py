@@ -46,7 +46,8 @@ class Encoder:
     No token of this kind of vocabulary spans white space, so a text's ids are its words' ids in turn.
     Letters and the full stops and commas after them are pieces of their own too, and ASCII letters are
     lower-cased, so words that differ in these only are encoded once. That holds for words which stay
-    letters when they are normalised (`only_letters`); any other word is encoded whole.
+    letters when they are normalised (`only_letters`); any other word is encoded whole. When the memory is
+    full, the words used most stay.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 300_000) -> None:
@@ -66,8 +67,21 @@ class Encoder:
         self.ids = [np.array([self.end_id], np.uint32)]  # joined when read
         self.total = 1
         self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.uses = np.zeros(1, np.int64)
         self.core_start, self.core_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Half of the words stay, those used most, and no more than half of the ids."""
+        order = np.argsort(-self.uses, kind="stable")[: self.limit // 2]
+        order = order[np.cumsum(self.size[order]) <= 4 * self.limit]
+        keep = np.union1d(order, [0])
+        names, known, start, size, uses = list(self.words), np.concatenate(self.ids), self.start[keep], self.size[keep], self.uses[keep]
+        self._reset()
+        self.words.update(zip([names[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        after = np.cumsum(size)
+        self.ids = [known[np.repeat(start - after + size, size) + np.arange(after[-1])]]
+        self.total, self.start, self.size, self.uses = int(after[-1]), after - size, size, uses // 2
+
     def _encode(self, words: list[bytes], letters: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, ids of each). Words of letters go many to a call, told apart by the ids that end one."""
         if letters:
@@ -122,7 +136,7 @@ class Encoder:
     def batch(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
         if len(self.words) > self.limit or self.total > 8 * self.limit:
-            self._reset()
+            self._forget()
         get = self.words.__getitem__
         parts = []
         for text in batch:
@@ -134,6 +148,9 @@ class Encoder:
         if self.words.fresh:
             self._learn()
         at = np.concatenate(parts)
+        uses = np.bincount(at, minlength=len(self.words))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         size = self.size[at]
         after = np.cumsum(size)
         ids = self.ids[0][np.repeat(self.start[at] - after + size, size) + np.arange(after[-1])]
