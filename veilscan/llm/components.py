@@ -1,4 +1,9 @@
-"""Connected components of a table of links, by contraction in Spark."""
+"""Connected components of a table of links, by contraction in Spark.
+
+Defined results: links of an id with itself and links with a null end are left out, as are ids with no other
+link; repeated links and both directions of one count once; a component is named by its smallest id, so ties don't
+arise; an empty table gives no rows; extra columns are ignored, whatever their names. There are no texts.
+"""
 
 from __future__ import annotations
 

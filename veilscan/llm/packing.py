@@ -6,8 +6,10 @@ that many numbers, however many documents there are. The driver solves it on the
 rest goes best-fit), which gives a bounded list of patterns with multiplicities. Spark then numbers
 the pieces of every length and looks up each number's place; no piece passes through the driver.
 
-Defined results: a null text is empty (one piece that holds only the end id); an empty table gives
-no rows; repeated rows are packed once each; extra columns are ignored.
+Defined results: a null text is empty (one piece that holds only the end id); texts of any length are cut
+into pieces; ties (pieces of one length) are numbered by bucket, doc_id and piece, which decides where each goes but
+not how many sequences there are; an empty table gives no rows; repeated rows are packed once each; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ LAST_LETTER = "\u052f"
 
 
 def only_letters(word: str) -> bool:
-    """Whether the word is letters and stays so once the tokenizer has composed and lower-cased it."""
-    return word.isascii() and word.isalpha() or word.isalpha() and max(word) <= LAST_LETTER and unicodedata.normalize("NFC", word).lower().isalpha()
+    """Whether the word is letters and stays so once the tokenizer has composed and lower-cased it, as all of Latin-1 do."""
+    return word.isalpha() and (word.isascii() or (last := max(word)) <= "\xff" or last <= LAST_LETTER and unicodedata.normalize("NFC", word).lower().isalpha())
 
 
 class Encoder:
@@ -93,9 +95,9 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _learn_cores(self) -> None:
+    def _learn_cores(self, known_letters: set[bytes]) -> None:
         fresh, self.cores.fresh = self.cores.fresh, []
-        letters = np.fromiter((w.isalpha() or only_letters(w.decode()) for w in fresh), bool, len(fresh))
+        letters = np.fromiter((w.isalpha() or w in known_letters for w in fresh), bool, len(fresh))
         start, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
         for kind in (True, False):
             which = np.flatnonzero(letters == kind)
@@ -108,18 +110,19 @@ class Encoder:
 
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
-        heads, tails, core_of = [], [], self.cores.__getitem__
+        heads, tails, letters, core_of = [], [], set(), self.cores.__getitem__
         for w in fresh:
             core = w.rstrip(b".,")
             if core.isalpha():  # bytes: ASCII letters only
                 heads.append(core_of(core if core.islower() else core.lower()))
             elif core and only_letters(core.decode()):
+                letters.add(core)
                 heads.append(core_of(core))
             else:
                 core = w
                 heads.append(core_of(w))
             tails.append(core_of(w[len(core) :]))
-        self._learn_cores()
+        self._learn_cores(letters)
         head, tail = np.array(heads, np.int64), np.array(tails, np.int64)
         known = np.concatenate(self.ids)
         # A word's ids are its core's and its tail's, one after the other.

@@ -16,7 +16,9 @@ however large is one row there. A symbol or window that many texts share is met
 by joins whose large keys Spark may split.
 
 Defined results: null, empty and wordless texts have 0 words and keep the empty text; texts of fewer
-words than the window lose none; repeated rows of one doc_id are no copies of each other; a null
+words than the window lose none; whole texts are read, but a document's windows that may repeat are gathered in one
+row (24 bytes each), so one of over 80 million such words isn't for this operator; ties (one window in several
+documents) go to the smallest doc_id, which keeps it; repeated rows of one doc_id are no copies of each other; a null
 doc_id is smaller than none and is kept whole; an empty table gives no rows; extra columns are
 ignored, whatever their names.
 """
