@@ -59,7 +59,7 @@ def test_hidden_passage_ways_agree(spark):
     rows = docs(spark, texts + texts[:1]).withColumn("item_id", F.lit(9)).withColumn("key", F.lit(9))
     rows = rows.unionByName(rows.filter("doc_id = 0"))  # a repeated row
     want = sorted((i, j) for i, t in enumerate(texts + texts[:1]) for j, p in {(r.item_id, r.text) for r in passages.collect()} if t and p and p in t)
-    for more in ({}, {"block": 1}, {"broadcast_rows": -1}, {"broadcast_rows": -1, "block": 2, "n": 3}):
+    for more in ({}, {"block_bytes": 30}, {"broadcast_bytes": -1}, {"broadcast_bytes": -1, "block_bytes": 60, "n": 3}):
         assert sorted(tuple(r) for r in M.hidden_passage(rows, passages, **more).collect()) == want
     assert M.hidden_passage(rows, passages.limit(0)).count() == 0 and M.hidden_passage(rows.limit(0), passages).count() == 0
 
@@ -235,3 +235,16 @@ def test_robust_outliers_are_not_hidden_by_others(spark):
     assert len(S.outliers(rows).collect()) < 20
     mixed = docs(spark, [None, "", "a b"], None).unionByName(rows)
     assert S.robust_outliers(mixed).filter("lang IS NULL").count() <= 2 and S.robust_outliers(rows.limit(0)).count() == 0
+
+
+def test_many_short_and_long_passages_read_the_texts_once(spark):
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 3000, 60)]
+    short = [(i, " ".join(words[i % 3000 : i % 3000 + 1 + i % 6])) for i in range(20_000)]
+    alike = [(30_000 + i, f"begins with the very same many words {w} and so on") for i, w in enumerate(words[:50])]
+    rows = docs(spark, [*texts, alike[7][1] + " and more", "x" * 1_000_000 + " w1 w2"])
+    found = M.hidden_passage(rows, spark.createDataFrame(short + alike, "item_id long, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = found.collect()
+    want = {(i, j) for i, t in enumerate(r.text for r in rows.orderBy("doc_id").collect()) for j, p in short + alike if p in t}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -425,7 +425,17 @@ def j2_hidden_passage(spark: SparkSession, folder: str) -> DataFrame:
 @query("j2_hidden_passage_hashed", J2)
 def j2_hidden_passage_hashed(spark: SparkSession, folder: str) -> DataFrame:
     """Joined by shuffles, as where the list is too long to broadcast."""
-    return M.hidden_passage(docs_of(spark, folder), table(spark, folder, "benchmark"), broadcast_rows=-1)
+    return M.hidden_passage(docs_of(spark, folder), table(spark, folder, "benchmark"), broadcast_bytes=-1)
+
+
+@query("j2_short_passages", r"""WITH b AS (SELECT doc_id AS item_id, array_to_string(regexp_extract_all(text, '[^\s]+')[1:3], ' ') AS passage FROM documents)
+  SELECT d.doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS least FROM documents d JOIN b ON passage <> '' AND contains(d.text, passage) GROUP BY d.doc_id""")
+def j2_short_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The first three words of every document, looked for in all of them."""
+    docs = docs_of(spark, folder)
+    heads = docs.select(F.col("doc_id").alias("item_id"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(M.WORDS), F.lit(0)), 1, 3), " ").alias("text"))
+    found = M.hidden_passage(docs, heads)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("least"))
 
 
 SKELETON = f"translate(trim(regexp_replace(regexp_replace(text, {quoted(P.INVISIBLE)}, '', 'g'), '\\s+', ' ', 'g')), '{''.join(map(chr, P.LOOKALIKES))}', '{''.join(map(chr, P.LOOKALIKES.values()))}')"

@@ -7,7 +7,9 @@ rows; extra columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,33 +27,78 @@ def known_content(docs: DataFrame, watchlist: DataFrame) -> DataFrame:
     return hashed.join(listed, "content_hash", "left_semi").select("doc_id", "content_hash")
 
 
-def hidden_passage(docs: DataFrame, passages: DataFrame, block: int = 2_000, broadcast_rows: int = 1_000_000, n: int = 5) -> DataFrame:
+def hidden_passage(docs: DataFrame, passages: DataFrame, block_bytes: int = 16 << 20, broadcast_bytes: int = 64 << 20, n: int = 5) -> DataFrame:
     """J2: distinct (doc_id, item_id) where a passage sits inside a document; null and empty passages sit in none.
 
     A passage's inner words are whole words of the text that holds it, so passages of n + 2 words or more
-    are met by the hash of n of them, then verified. Hashes of words are tested against the passages'
-    before anything is shuffled if those are counted to be few enough for a broadcast. Shorter passages
-    are searched for in every text, `block` of them at a time.
+    are met by the hash of n of them, then verified: by the rarest of their runs, so passages that begin alike don't
+    all meet where one does. What is broadcast is weighed before; beyond `broadcast_bytes` it is shuffled. Shorter passages
+    are looked for by one automaton for each `block_bytes` of them, which reads every text once.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     words = F.regexp_extract_all("passage", F.lit(WORDS), F.lit(0))
-    listed = passages.filter("text IS NOT NULL AND text <> ''").select("item_id", F.col("text").alias("passage")).withColumn("words", words)
-    listed = materialise(listed)
-    contains = F.expr("contains(text, passage)")
-    few = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    # Words 2 to n + 1 of a passage: its first may begin inside a word.
-    long = listed.filter(F.size("words") >= n + 2).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("words", 2, n), " ")).alias("key"))
+    listed = passages.filter("text IS NOT NULL AND text <> ''").select("item_id", F.col("text").cast("string").alias("passage"))
+    listed = materialise(listed.withColumn("words", words).withColumn("pid", F.monotonically_increasing_id()))
+    n_words = F.size("words")
+    found = found_long(docs, listed.filter(n_words >= n + 2), n, broadcast_bytes)
+    return found.unionByName(found_short(docs, listed.filter(n_words < n + 2), block_bytes)).distinct()
+
+
+def light(df: DataFrame, most_bytes: int, size: Column) -> DataFrame:
+    """`df`, a written table, to be broadcast if its rows' sizes sum up to `most_bytes` or less."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most_bytes else df
+
+
+def found_long(docs: DataFrame, listed: DataFrame, n: int, broadcast_bytes: int) -> DataFrame:
+    """(doc_id, item_id) of passages of n + 2 words or more (item_id, passage, words, pid)."""
+    joined = lambda i: F.xxhash64(F.array_join(F.slice("words", i, n), " "))
+    # Without the first and the last word, which may stand inside words of a text.
+    inner = F.array_distinct(F.transform(F.sequence(F.lit(2), F.size("words") - n), joined))
+    keys = materialise(listed.select("pid", F.explode(inner).alias("key")))
+    wanted = light(materialise(keys.select("key").distinct()), broadcast_bytes, F.lit(8))
     grams = F.expr(f"array_distinct(transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> xxhash64(array_join(slice(words, i, {n}), ' '))))")
     keyed = docs.select("doc_id", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words")).select("doc_id", F.explode(grams).alias("key"))
-    met = materialise(keyed.join(few(long.select("key").distinct()), "key", "left_semi").distinct())
-    pairs = materialise(met.join(long.select("key", "item_id", "passage"), "key").select(F.col("doc_id").alias("id"), "item_id", "passage"))
-    found = docs.join(few(pairs), docs["doc_id"].eqNullSafe(F.col("id"))).filter(contains).select("doc_id", "item_id")
-    short = listed.filter(F.size("words") < n + 2).select("item_id", "passage")
-    blocks = -(-short.count() // block)
+    met = materialise(keyed.join(wanted, "key", "left_semi").distinct())
+    times = met.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    rarest = keys.join(times, "key", "left").groupBy("pid").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "key")).alias("least"))
+    chosen = rarest.filter("least.times > 0").select("pid", F.col("least.key").alias("key"))  # else no text has all of its words
+    pairs = met.join(chosen, "key").select(F.col("doc_id").alias("id"), "pid")
+    pairs = materialise(pairs.join(listed.select("pid", "item_id", "passage"), "pid"))
+    pairs = light(pairs, broadcast_bytes, F.octet_length("passage") + 24)
+    return docs.join(pairs, docs["doc_id"].eqNullSafe(F.col("id"))).filter(F.expr("contains(text, passage)")).select("doc_id", "item_id")
+
+
+def found_short(docs: DataFrame, listed: DataFrame, block_bytes: int) -> DataFrame:
+    """(doc_id, item_id) of passages of few words (item_id, passage, pid), by an Aho-Corasick automaton of each block of them."""
+    spark = docs.sparkSession
+    total = listed.agg(F.sum(F.octet_length("passage") + 24)).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    types = (docs.schema["doc_id"].dataType.simpleString(), "long")
+    met = spark.createDataFrame([], f"doc_id {types[0]}, pid {types[1]}")
     for i in range(blocks):
-        part = short.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == i)
-        found = found.unionByName(docs.join(F.broadcast(part), contains).select("doc_id", "item_id"))  # about `block` rows
-    return found.distinct()
+        block = listed.filter(F.pmod(F.xxhash64("pid"), F.lit(blocks)) == i).select("pid", "passage").collect()  # about `block_bytes`
+        shared = spark.sparkContext.broadcast([(r["passage"], r["pid"]) for r in block])
+        met = met.unionByName(docs.mapInArrow(lambda batches, shared=shared: search(batches, shared.value), f"doc_id {types[0]}, pid {types[1]}"))
+    return met.join(listed.select("pid", "item_id"), "pid").select("doc_id", "item_id")
+
+
+def search(batches: Iterator[pa.RecordBatch], passages: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, pid) of each passage in each text (doc_id, text), once a text."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for passage, pid in passages:
+        automaton.get(passage, None) or automaton.add_word(passage, [])
+        automaton.get(passage).append(pid)
+    automaton.make_automaton()
+    for batch in batches:
+        rows, pids = [], []
+        for i, text in enumerate(batch["text"].to_pylist()):
+            held = {id(x): x for _, x in automaton.iter(text)} if text and passages else {}
+            own = [p for x in held.values() for p in x]
+            rows += [i] * len(own)
+            pids += own
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array(pids, pa.int64())], names=["doc_id", "pid"])
 
 
 def visible_text(text: Column) -> Column:
