@@ -77,3 +77,14 @@ def test_near_copies_without_spaces_share_their_phrases(spark):
     assert near[0] > 0.9 and near[1] < 0.2 and near[3] > 0.9
     assert all("".join(fp.tokens(t)) == t for t in texts)
     assert max(len(x) for t in texts for x in fp.tokens(t)) <= fp.LONGEST
+
+
+def test_rows_of_one_id_are_dealt_to_many_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(7 if i % 3 else i, f"words of text {i} and {i * i}") for i in range(600)] + [(None, f"none {i}") for i in range(200)], "doc_id long, text string")
+    heads = []
+    found = fp.firsts
+    monkeypatch.setattr(fp, "firsts", lambda *a: heads.append(found(*a)) or heads[-1])
+    many = sorted(fp.fingerprint_neighbours(docs, 16).collect(), key=str)
+    assert len(heads[0]) >= 12 and sum(h["known"] and h["doc_id"] == 7 for h in heads[0]) >= 4 and sum(not h["known"] for h in heads[0]) >= 2
+    assert many == sorted(fp.fingerprint_neighbours(docs.repartition(3), 1).collect(), key=str)
+    assert len(many) == 800

@@ -8,8 +8,8 @@ Jaccard likeness of the phrase sets.
 
 Defined results: a null text is empty; an empty text has an empty signature, which is like another
 empty one (1) and unlike all others (0); whole texts are parsed, however long; repeated ids follow in
-order of their texts, rows without a doc_id come first in order of their texts' hashes; repeated rows
-give a row each; a single document follows itself; an empty table gives no rows; extra columns are
+order of their texts' hashes, rows without a doc_id come first in that order; repeated rows
+give a row each, and those equal in doc_id and text lie in one partition; a single document follows itself; an empty table gives no rows; extra columns are
 ignored, whatever their names.
 """
 
@@ -140,11 +140,13 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+KEY = np.dtype([("known", "?"), ("doc_id", "i8"), ("key", "i8")])
+
+
 def firsts(keys: DataFrame, parts: int) -> np.ndarray:
-    """The smallest number of each of about `parts` even ranges of the one column of `keys`: a number a range comes to the driver."""
-    key = keys.columns[0]
-    ranges = keys.repartitionByRange(parts, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first"))
-    return np.unique(ranges.select("first").toPandas()["first"].to_numpy(np.int64))
+    """The smallest row of each of about `parts` even ranges of `keys` (the columns of KEY): a row a range comes to the driver."""
+    ranges = keys.repartitionByRange(parts, *keys.columns).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*keys.columns)).alias("first"))
+    return np.unique(np.array([tuple(r.first) for r in ranges.select("first").collect()], KEY))
 
 
 def fingerprint_neighbours(docs: DataFrame, parts: int | None = None, rows_per_part: int = 50_000) -> DataFrame:
@@ -152,32 +154,36 @@ def fingerprint_neighbours(docs: DataFrame, parts: int | None = None, rows_per_p
 
     Documents go to ranges of doc_id, sorted, a range to a partition; the first of each range also goes to
     the range before, so that every document meets its successor without a global order in one task.
-    Rows without a doc_id come first, in ranges of their texts' hashes, so that they aren't one range.
+    Rows without a doc_id, and those of a doc_id that would fill a range, are dealt by their texts' hashes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("hash", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    nulls = docs.filter("doc_id IS NULL")
-    n, n_null = docs.count(), nulls.count()
+    n = docs.count()
     if parts is None:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // rows_per_part)
-    own = -(-parts * n_null // n) if n_null else 0  # parts of rows without a doc_id
-    heads = firsts(nulls.select("hash"), own) if n_null else np.zeros(0, np.int64)
-    tails = firsts(docs.filter("doc_id IS NOT NULL").select("doc_id"), parts) if n_null < n else np.zeros(0, np.int64)
-    parts = max(1, len(heads) + len(tails))
-    shared = spark.sparkContext.broadcast((heads, tails))  # a number a part
+    # Fewer than `parts` ids, and null.
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    often = [r.doc_id for r in counts.filter(F.col("doc_id").isNull() | (F.col("n") > max(1, n // parts))).select("doc_id").collect()]
+    hash_, key = F.xxhash64("text"), F.lit(0).cast("long")
+    if often:  # only then are texts read for the ranges
+        key = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin([d for d in often if d is not None]), hash_).otherwise(key)
+    keys = docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), key.alias("key"))
+    heads = firsts(keys, parts)
+    parts = max(1, len(heads))
+    shared = spark.sparkContext.broadcast(heads)  # a row a part
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, tails = shared.value
+        heads = shared.value
         names = ["doc_id", "text", "hash", "part", "edge"]
         for batch in batches:
-            null = np.array(batch["doc_id"].is_null())
-            hashed, ids = np.array(batch["hash"].fill_null(0)), np.array(batch["doc_id"].fill_null(0))
-            part = np.where(null, np.searchsorted(heads, hashed, "right") - 1, np.searchsorted(tails, ids, "right") - 1 + len(heads))
-            first = np.where(null, np.isin(hashed, heads), np.isin(ids, tails))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array(np.zeros(len(part)), pa.int32())], names=names)
+            own = np.empty(len(batch), KEY)
+            own["known"], own["doc_id"], own["key"] = np.array(batch["doc_id"].is_valid()), np.array(batch["doc_id"].fill_null(0)), np.array(batch["key"])
+            part = np.searchsorted(heads, own, "right") - 1
+            first = heads[part] == own
+            columns = [batch[c] for c in names[:3]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(part, pa.int32()), pa.array(np.zeros(len(part)), pa.int32())], names=names)
             if first.any():  # to the part before; the first of all to the last part
-                some = [c.filter(pa.array(first)) for c in batch.columns]
+                some = [c.filter(pa.array(first)) for c in columns]
                 yield pa.RecordBatch.from_arrays([*some, pa.array((part[first] - 1) % parts, pa.int32()), pa.array(np.ones(first.sum()), pa.int32())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +234,6 @@ def fingerprint_neighbours(docs: DataFrame, parts: int | None = None, rows_per_p
         if held:
             yield out()
 
-    dealt = map_batches(docs, deal, "doc_id long, text string, hash long, part int, edge int")
+    dealt = map_batches(docs.select("doc_id", "text", hash_.alias("hash"), key.alias("key")), deal, "doc_id long, text string, hash long, part int, edge int")
     ordered = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "edge", "doc_id", "hash", "text")
     return map_batches(ordered, run, FINGERPRINTED)
