@@ -248,3 +248,20 @@ def test_many_short_and_long_passages_read_the_texts_once(spark):
     got = found.collect()
     want = {(i, j) for i, t in enumerate(r.text for r in rows.orderBy("doc_id").collect()) for j, p in short + alike if p in t}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_copies_of_passages_are_counted_without_a_row_each(spark, monkeypatch):
+    texts = ["one two three and more", "say one two", "one two three and then four", "nothing", None] + ["one two three"] * 400
+    passages = [(i, "one two three") for i in range(1000)] + [(5, "two th"), (7, "four"), (7, "four"), (8, "and"), (2000, "say"), (2000, "one two"), (None, "nothing"), (3000, None)]
+    rows = docs(spark, texts)
+    rows = rows.unionByName(rows.filter("doc_id < 3")).unionByName(rows.filter("doc_id = 2").withColumn("text", F.lit("say nothing")))
+    met, held = [], M.held
+    monkeypatch.setattr(M, "held", lambda *a: met.append(held(*a)) or met[-1])
+    got = {r.doc_id: (r.n_items, r.least) for r in M.counted_passages(rows, spark.createDataFrame(passages, "item_id long, text string")).collect()}
+    want = {}
+    for r in rows.collect():
+        for item, p in passages:
+            if p and r.text and p in r.text:
+                want.setdefault(r.doc_id, set()).add(item)
+    assert got == {d: (len(x - {None}), min(x - {None}, default=None)) for d, x in want.items()}
+    assert met[0].count() < 3 * len(texts)  # not a row for each of 1000 items in each of 400 texts
