@@ -265,3 +265,10 @@ def test_copies_of_passages_are_counted_without_a_row_each(spark, monkeypatch):
                 want.setdefault(r.doc_id, set()).add(item)
     assert got == {d: (len(x - {None}), min(x - {None}, default=None)) for d, x in want.items()}
     assert met[0].count() < 3 * len(texts)  # not a row for each of 1000 items in each of 400 texts
+
+
+def test_each_step_of_a_pages_text_is_computed_once(spark):
+    read = docs(spark, ["<p>a</p><!-- b --><script>c</script>&amp;&#8203;d", None]).select(D.page_text(F.col("text")).alias("x"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--(.*?)-->") == 1 and plan.count("<[^<>]*>") == 1
+    assert [r.x for r in read.collect()] == [" a   &\u200bd", None]

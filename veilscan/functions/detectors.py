@@ -196,14 +196,16 @@ def code_points(numbers: Column) -> Column:
 
 def referenced(text: Column) -> Column:
     """The text with its character references read, once, each where it stands."""
-    found = F.regexp_extract_all(text, F.lit(P.REFERENCE), F.lit(0))
-    parts = F.split(text, P.REFERENCE)
     names = F.create_map(*(F.lit(x) for k, v in P.NAMED.items() for x in (f"&{k};", v)))
     digits = lambda x: F.regexp_replace(x, "[&#xX;]", "")
     number = lambda x: F.when(x.rlike("^&#[xX]"), F.conv(digits(x), 16, 10).cast("long")).when(x.rlike("^&#"), digits(x).cast("long")).otherwise(F.try_element_at(names, x).cast("long"))
-    chars = F.concat(code_points(F.transform(found, number)), F.array(F.lit("")))
-    read = F.array_join(F.zip_with(parts, chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), read).otherwise(text)
+
+    def read(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(P.REFERENCE), F.lit(0))
+        chars = F.concat(code_points(F.transform(found, number)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(t, P.REFERENCE), chars, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+
+    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), read(t)).otherwise(t))
 
 
 #: Named, switchable detectors of text: kind, what they find, severity. Severity 0 is reported but doesn't
@@ -251,12 +253,16 @@ def suspicious_bodies(bodies: Column) -> Column:
     return F.transform(F.filter(marked(bodies), lambda x: x["entropic"] | suspicious(x["body"])), lambda x: x["body"])
 
 
+def without(html: Column, pattern: str) -> Column:
+    """A blank for each match, up to where the last one ends, as the search does."""
+    shown = lambda t, end: F.concat(F.regexp_replace(F.substring(t, F.lit(1), end), pattern, " "), F.substring(t, end + 1, F.length(t)))
+    return once(html, lambda t: once(F.length(F.regexp_extract(t, P.LAST[pattern], 0)), lambda end: shown(t, end)))
+
+
 def page_text(html: Column) -> Column:
-    """What stands between the tags, without comments, scripts and styles, its character references read."""
+    """What stands between the tags, without comments, scripts and styles, its character references read. Each step is computed once."""
     for pattern in (P.COMMENT, P.SCRIPT, P.STYLE):
-        # The replacement stops where the last match ends, as the search does.
-        end = F.length(F.regexp_extract(html, P.LAST[pattern], 0))
-        html = F.concat(F.regexp_replace(F.substring(html, F.lit(1), end), pattern, " "), F.substring(html, end + 1, F.length(html)))
+        html = without(html, pattern)
     return referenced(F.regexp_replace(html, P.TAG, " "))
 
 
