@@ -272,3 +272,9 @@ def test_each_step_of_a_pages_text_is_computed_once(spark):
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<!--(.*?)-->") == 1 and plan.count("<[^<>]*>") == 1
     assert [r.x for r in read.collect()] == [" a   &\u200bd", None]
+
+
+def test_references_are_looked_for_once_in_a_computed_text(spark):
+    read = docs(spark, ["A&AMP;&amp;b", None]).select(D.referenced(F.lower("text")).alias("x"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
+    assert [r.x for r in read.collect()] == ["a&&b", None]
