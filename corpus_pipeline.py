@@ -3,8 +3,7 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written and read again as the next one's docs. All but the last return the columns of docs.
 
-1. quality: rows that the pairwise ranking puts below its threshold go; it is fitted on labelled rows,
-   at most 20,000 of them.
+1. quality: rows that the pairwise ranking puts below its threshold go; it is fitted on all labelled rows.
 2. near_duplicates: of each group of five-word shingle sets linked at 0.8 or more, the row of
    smallest doc_id stays. Rows that share a doc_id are one document, whose texts join their groups, and
    one of them stays (the first in order of texts). Rows without a doc_id or words stay.

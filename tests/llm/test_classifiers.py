@@ -182,3 +182,20 @@ def test_one_repeated_row_does_not_fill_the_fit(spark):
     finally:
         toxicity.TextCNN.fit = collect
     assert sizes == [40, 10]
+
+
+def test_quality_fits_on_every_labelled_row_in_parts(spark):
+    """12 bad rows of 1200, parts of 50: each part has them, edges and threshold are those of all rows."""
+    rng = np.random.default_rng(3)
+    bad = {int(i) for i in rng.choice(1200, 12, replace=False)}
+    rows = [(i, " ".join(f"word{n}" for n in rng.integers(0, 400, int(rng.integers(20, 90)))) + " !!" * (3 * (i in bad))) for i in range(1200)]
+    measured = quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i in range(1200)], "doc_id long, quality int, toxic int")
+    small, whole = (quality.train(measured, labels, folds=1, held=-1, most_rows=n) for n in (50, 20_000))
+    got = {r.doc_id: r.score >= quality.CUT for r in quality.scored(measured, small).collect()}
+    assert {i for i, good in got.items() if not good} == bad
+    x = np.array([r.figures for r in measured.collect()])
+    y = np.array([r.doc_id not in bad for r in measured.collect()]).astype(int)
+    local = quality.Ranker().fit(x, y)
+    for a, b, c in zip(small.edges, whole.edges, local.edges, strict=True):
+        assert np.array_equal(a, b) and len(b) <= 11 and np.allclose(np.unique([float(f"{e:.4g}") for e in c]), b, rtol=1e-9)

@@ -6,8 +6,10 @@ preferred is the logistic function of the difference of their scores, and scores
 binned figures. Logistic loss on feature differences gives the weights. The verdict's threshold is a
 quantile of the training scores; scores are then mapped to 0..1 so that the threshold sits at 0.3.
 
-The fit uses at most `most_rows` labelled rows (those with the smallest hashes of their ids), a bound
-by design; figures and scores cover every document.
+The fit uses every labelled row. Spark counts the figures' values (four digits) for the bins' edges, deals the
+rows out to parts of about `most_rows`, each of which fits weights on pairs that all its rows are in, and the weights'
+mean is the ranker's. Rows of the rarer label go to several parts where a part had too few of them. Spark counts the
+scores of all rows for the threshold. The driver holds edges, the parts' weights and counts of scores.
 
 Defined results: a null text is empty and gets the score of an empty text; without labels of both
 kinds every score is 0.5; repeated rows give equal scores; labels of no document are ignored; whole texts are read, however long; texts
@@ -23,13 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.llm._common import map_batches, materialise, release, texts
 
 FIGURES = ("log_words", "upper", "digit", "symbol", "exclaim", "pipe", "punct", "space", "unique", "adjacent", "same_lines", "word_length", "line_words", "top_word", "repeat3")
 CUT = 0.3
+# The step in which scores are counted for the threshold.
+STEP = 1e-3
+# Labels that may be broadcast (12 bytes each), counted before.
+BROADCAST_ROWS = 1_000_000
 
 # Byte classes: 0 other, 1 lower, 2 upper, 3 digit, 4 symbol, 5 exclamation mark, 6 bar, 7 stop or comma, 8 white space, 9 continuation byte.
 CLASS = np.zeros(256, np.uint8)
@@ -106,20 +112,34 @@ class Ranker:
         return np.stack(places, 1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Ranker:
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        good, bad = x[y == 1], x[y == 0]
         if not len(good) or not len(bad):
             return self
-        rng = np.random.default_rng(self.seed)
         # Quantiles of both kinds alike, so that rare bad documents shape the bins too.
-        both = np.concatenate([rng.choice(good, 4000), rng.choice(bad, 4000)])
-        self.edges = [np.unique(np.quantile(x[both, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
+        weights = np.where(y == 1, len(bad), len(good))
+        edges = []
+        for j in range(x.shape[1]):
+            order = np.argsort(x[:, j], kind="stable")
+            upto = np.cumsum(weights[order])
+            edges.append(np.unique(x[order, j][np.searchsorted(upto * self.bins, np.arange(1, self.bins) * upto[-1])]))
+        self.edges = edges
+        self.weights = self.learned(x, y)
+        found = pd.DataFrame({"cell": self.cells(x), "y": y}).value_counts().reset_index(name="n")
+        return self.settle(found)
+
+    def learned(self, x: np.ndarray, y: np.ndarray, part: int = 0) -> np.ndarray:
+        """Weights of the bins from pairs of these rows, each of which is in some."""
+        rng = np.random.default_rng(self.seed + part)
+        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         places = self._binned(x)
         size = sum(len(e) + 1 for e in self.edges)
-        i, k = rng.choice(good, self.pairs), rng.choice(bad, self.pairs)
+        pairs, batch = max(self.pairs, len(good), len(bad)), 4000
+        in_turn = lambda rows: np.concatenate([rng.permutation(rows) for _ in range(-(-pairs // len(rows)))])[:pairs]
+        i, k = in_turn(good), in_turn(bad)
         w = np.zeros(size)
         first, second = np.zeros(size), np.zeros(size)
-        for step in range(1, 301):  # Adam on the logistic loss of score differences
-            take = rng.integers(0, self.pairs, 4000)
+        for step in range(1, 1 + max(300, -(-pairs // batch))):  # Adam on the logistic loss of score differences
+            take = np.arange((step - 1) * batch, step * batch) % pairs
             a, b = places[i[take]], places[k[take]]
             pull = 1 / (1 + np.exp(np.clip(w[a].sum(1) - w[b].sum(1), -30, 30))) / len(take)
             grad = self.l2 * w
@@ -128,16 +148,26 @@ class Ranker:
             first = 0.9 * first + 0.1 * grad
             second = 0.99 * second + 0.01 * grad**2
             w -= 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        self.weights = w
-        score = self.raw(x)
+        return w
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Scores in whole steps."""
+        return np.floor(self.raw(x) / STEP).astype(np.int64)
+
+    def settle(self, counts: pd.DataFrame) -> Ranker:
+        """Sets threshold and scale from the number n of rows of each score and label (cell, y)."""
+        n = counts.pivot_table(index="cell", columns="y", values="n", aggfunc="sum", fill_value=0).reindex(columns=[0, 1], fill_value=0).sort_index()
+        cells, bad, good = n.index.to_numpy(), n[0].to_numpy(), n[1].to_numpy()
+        upto = np.cumsum(bad + good)
+        at = lambda levels: np.minimum(np.searchsorted(upto, levels * upto[-1], "right"), len(cells) - 1)
         # Threshold: the quantile of the training scores with the fewest wrong verdicts.
         levels = np.linspace(0, 1, 401)[1:-1]
-        cuts = np.quantile(score, levels)
-        right = [(score[good] >= c).sum() + (score[bad] < c).sum() for c in cuts]
-        best = np.flatnonzero(np.array(right) >= max(right))
-        self.level = float(levels[best].mean())
-        self.cut = float(np.quantile(score, self.level))
-        self.scale = max(1e-6, float(np.std(score)) / 2)
+        below = np.cumsum(bad) - bad, np.cumsum(good) - good
+        right = (below[0] + good.sum() - below[1])[at(levels)]
+        self.level = float(levels[right >= right.max()].mean())
+        self.cut = float(cells[at(self.level)] * STEP)
+        mean = np.average(cells, weights=bad + good)
+        self.scale = max(1e-6, float(np.sqrt(np.average((cells - mean) ** 2, weights=bad + good))) * STEP / 2)
         return self
 
     def raw(self, x: np.ndarray) -> np.ndarray:
@@ -151,28 +181,75 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def training_rows(labels: DataFrame, label: str, folds: int, held: int, most_rows: int) -> DataFrame:
-    """(doc_id, y) of at most `most_rows` labelled rows outside the held fold (none is held if `held` is negative)."""
+def labelled_rows(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, y) of the labelled rows outside the held fold (none is held if `held` is negative)."""
     rows = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y"))
-    rows = rows.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != held)
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
+    return rows.filter(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != held)
+
+
+def edges_of(rows: DataFrame, n: dict[int, int], bins: int) -> list[np.ndarray]:
+    """The bins' edges of each figure of `rows` (y, figures): quantiles in which both labels weigh alike, from counts of values of four digits."""
+    ten = F.pow(F.lit(10.0), 3 - F.floor(F.log10(F.abs("value"))))
+    value = F.when(F.col("value") == 0, 0.0).otherwise(F.round(F.col("value") * ten) / ten)
+    counts = rows.select("y", F.posexplode("figures").alias("j", "value")).groupBy("j", value.alias("value"), "y").agg(F.count(F.lit(1)).alias("n"))
+    weighed = counts.groupBy("j", "value").agg(F.sum(F.when(F.col("y") == 1, F.col("n") * n[0]).otherwise(F.col("n") * n[1])).alias("weight"))
+    before = Window.partitionBy("j").orderBy("value")  # a figure has 9000 values for each power of ten, at most
+    met = weighed.withColumn("upto", F.sum("weight").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    total = 2 * n[0] * n[1]
+    met = met.filter(F.expr(f"least({bins - 1}, upto * {bins} div {total}) > (upto - weight) * {bins} div {total}"))
+    found: list[list[float]] = [[] for _ in FIGURES]
+    for r in met.select("j", "value").collect():  # some for each figure
+        found[r["j"]].append(r["value"])
+    return [np.sort(np.array(x)) for x in found]
 
 
 def train(measured: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, most_rows: int = 20_000) -> Ranker:
-    """Fits on labelled rows whose crc32(doc_id as text) mod `folds` isn't `held`; of rows that share a doc_id on one, that of the least figures."""
-    rows = training_rows(labels, label, folds, held, most_rows)
-    found = measured.join(F.broadcast(rows.distinct()), "doc_id").groupBy("doc_id", "y").agg(F.min("figures").alias("figures"))
-    found = sorted(found.collect(), key=lambda r: (r["doc_id"], r["y"]))  # bounded: most_rows
-    if not found:
+    """Fits on all labelled rows whose crc32(doc_id as text) mod `folds` isn't `held`, in parts of about `most_rows`; of rows that share a doc_id on one, that of the least figures."""
+    rows = labelled_rows(labels, label, folds, held).distinct()
+    first = F.min("figures").alias("figures")
+    if rows.count() <= BROADCAST_ROWS:
+        found = measured.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(first)
+    else:  # partial minima first, so that no task holds all rows of an id
+        found = measured.groupBy("doc_id").agg(first).join(rows, "doc_id")
+    found = materialise(found.select("doc_id", "y", "figures"))
+    n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    ranker = Ranker()
+    if not n[0] or not n[1]:
+        return ranker
+    ranker.edges = edges_of(found, n, ranker.bins)
+    parts = -(-sum(n.values()) // most_rows)
+    few = min(n, key=n.get)
+    copies = min(parts, max(1, -(-parts * most_rows // (4 * n[few]))))  # so that a part has a quarter of its rows of it, or all there are
+    own = F.sequence(F.lit(0), F.when(F.col("y") == few, copies - 1).otherwise(0))
+    dealt = found.withColumn("copy", F.explode(own)).withColumn("part", (F.pmod(F.xxhash64("doc_id", "y"), F.lit(parts)) + F.col("copy")) % parts)
+
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["doc_id", "y"])
+        x, y = np.stack(part["figures"].to_numpy()), part["y"].to_numpy()
+        weights = ranker.learned(x, y, int(part["part"].iloc[0])) if 0 < y.sum() < len(y) else None
+        return pd.DataFrame({"part": part["part"].iloc[:1], "n": len(part), "weights": [weights]})
+
+    learned = dealt.select("part", "doc_id", "y", "figures").groupBy("part").applyInPandas(learn, "part long, n long, weights array<double>")
+    learned = sorted((r for r in learned.collect() if r["weights"]), key=lambda r: r["part"])  # a row for `most_rows` labelled ones
+    if not learned:
         return Ranker()
-    return Ranker().fit(np.array([r["figures"] for r in found]), np.array([r["y"] for r in found]))
+    ranker.weights = np.average([r["weights"] for r in learned], axis=0, weights=[r["n"] for r in learned])
+
+    @F.pandas_udf("long")
+    def cell(x: pd.Series) -> pd.Series:
+        return pd.Series(ranker.cells(np.stack(x.to_numpy())) if len(x) else [], dtype="int64")
+
+    counts = found.select(cell("figures").alias("cell"), "y").groupBy("cell", "y").agg(F.count(F.lit(1)).alias("n"))
+    return ranker.settle(pd.DataFrame([r.asDict() for r in counts.collect()]))  # at most a row for each step of scores and label
 
 
 def train_on(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = 20_000) -> Ranker:
-    """Fits on all labels; only the rows chosen for the fit are measured."""
-    rows = training_rows(labels, label, 1, -1, most_rows)
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(rows.select("doc_id").distinct()), "doc_id")  # bounded: most_rows
-    return train(materialise(measure(chosen)), labels, label, 1, -1, most_rows)
+    """Fits on all labels; only labelled rows are measured, while their ids may be broadcast."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    ids = labelled_rows(labels, label, 1, -1).select("doc_id").distinct()
+    if ids.count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return train(materialise(measure(docs)), labels, label, 1, -1, most_rows)
 
 
 def keep(docs: DataFrame, ranker: Ranker) -> DataFrame:
