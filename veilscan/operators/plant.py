@@ -51,17 +51,22 @@ def raw_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("file_"), F.col("doc_id").cast("string"), F.lit("."), end).alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
-def big_files(docs: DataFrame, path: str) -> None:
-    """Ten files of all documents in order of doc_id, a folder each: one begins as a PDF, ends inside and goes on, one holds archives."""
+def big_files(docs: DataFrame, path: str, part_bytes: int = 32 << 20) -> None:
+    """Ten files of all documents in order of doc_id, a folder each: one begins as a PDF, ends inside and goes on, one holds archives.
+
+    A file lies in parts of about `part_bytes`, so that no task writes a tenth of the table; their names are in order.
+    """
     doc_id, bucket = F.col("doc_id"), F.pmod("doc_id", F.lit(10))
-    firsts = docs.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first"))  # ten rows
-    rows = docs.withColumn("bucket", bucket).join(F.broadcast(firsts), "bucket")
+    firsts = docs.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # ten rows
+    heads = [r["first"] for r in firsts if r["bucket"] == 0]
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(r["bytes"] or 0 for r in firsts) // part_bytes))
     none = F.lit("")
-    head = F.when((bucket == 0) & (doc_id == F.col("first")), "%PDF-1.7\n").otherwise(none)
+    head = F.when((bucket == 0) & doc_id.isin(heads), "%PDF-1.7\n").otherwise(none)
     inside = F.when((bucket == 3) & (doc_id % 7 == 0), "PK\x03\x04inside").otherwise(none)
     end = F.when((bucket == 0) & (doc_id % 500 == 0), "\n%%EOF\nx").otherwise(none)
-    texts = rows.select("bucket", "doc_id", F.concat(head, F.coalesce("text", none), inside, end).alias("value"))
-    texts.repartition(10, "bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.partitionBy("bucket").text(path)
+    texts = docs.select(bucket.alias("bucket"), "doc_id", F.concat(head, F.coalesce("text", none), inside, end).alias("value"))
+    order = ("bucket", "doc_id", F.xxhash64("value"))
+    texts.repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("doc_id").write.partitionBy("bucket").text(path)
 
 
 def bits(message: Column) -> Column:

@@ -61,6 +61,16 @@ def read_large_files(spark: SparkSession, path: str, glob: str = "*", most_bytes
     return list_files(spark, path, glob).filter(F.col("length") > most_bytes).select("path", "modificationTime", "length")
 
 
+def list_parts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, length, parts) of every folder below `path` as one file, whose parts (path, start, length) are its files in order of their names."""
+    folder, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), "struct<path:string,length:bigint>"
+    files = list_files(spark, path, glob).select(folder.alias("folder"), F.struct("path", "length").cast(name).alias("part"))
+    start = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1))["start"] + F.try_element_at(done, F.lit(-1))["length"], F.lit(0).cast("long"))
+    placed = lambda done, x: F.concat(done, F.array(F.struct(x["path"].alias("path"), start(done).alias("start"), x["length"].alias("length"))))
+    parts = F.aggregate(F.array_sort(F.collect_list("part")), F.array().cast("array<struct<path:string,start:bigint,length:bigint>>"), placed)
+    return files.groupBy("folder").agg(parts.alias("parts"), F.sum("part.length").alias("length")).select(F.col("folder").alias("path"), "length", "parts")
+
+
 def write_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Exploded findings, a folder for each detector.
 
