@@ -90,9 +90,13 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def carried(bits: Column) -> Column:
     """The text that a string of 0 and 1 carries, eight to a byte, as an array of one or none: two bytes at least, and readable."""
+    return once(bits, spelled)
+
+
+def spelled(bits: Column) -> Column:
     byte = lambda x: F.lpad(F.conv(x, 2, 16), 2, "0")
-    spelled = F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("[01]{8}"), F.lit(0)), byte), "")
-    text = F.try_validate_utf8(F.try_to_binary(F.when((F.length(bits) >= 16) & (F.length(bits) % 8 == 0), spelled), F.lit("hex")).cast("string"))
+    digits = F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("[01]{8}"), F.lit(0)), byte), "")
+    text = F.try_validate_utf8(F.try_to_binary(F.when((F.length(bits) >= 16) & (F.length(bits) % 8 == 0), digits), F.lit("hex")).cast("string"))
     return F.filter(F.array(text), lambda x: x.isNotNull() & ~F.contains(x, F.lit("\0")))
 
 
@@ -103,7 +107,12 @@ def invisible_payloads(text: Column) -> Column:
 
 def blank_payloads(text: Column) -> Column:
     """T5p: what blanks and tabs at line ends spell, from the first line to the last."""
-    return carried(F.translate(F.array_join(matches(text, P.LINE_END_BITS), ""), " \t", "01"))
+    return blanks_carry(matches(text, P.LINE_END_BITS))
+
+
+def blanks_carry(trailing: Column) -> Column:
+    """T5p from what T5 has found: its pattern is that of the bits."""
+    return carried(F.translate(F.array_join(trailing, ""), " \t", "01"))
 
 
 def entropy(token: str) -> float:
@@ -224,7 +233,7 @@ TEXT = {
     "T7i": ("ipv4", lambda t, _: ipv4s(t), 0),
     "T7c": ("card_number", lambda t, _: card_numbers(t), 1),
     "T1p": ("invisible_payload", lambda t, found: F.when(F.size(found["T1"]) >= 16, invisible_payloads(t)).otherwise(none()), 3),
-    "T5p": ("blank_payload", lambda t, _: blank_payloads(t), 3),
+    "T5p": ("blank_payload", lambda t, found: blanks_carry(found["T5"]) if "T5" in found else blank_payloads(t), 3),
     "T4": ("high_entropy_token", lambda t, found: unnamed(high_entropy_tokens()(t), *(found[x] for x in ("T3b", "T3h", "T6", "T7e", "T7c") if x in found)), 1),
 }
 #: Text detectors of a page and of its parts. Blanks before a line's end are layout there (T5, T5p).
