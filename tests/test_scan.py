@@ -278,3 +278,18 @@ def test_references_are_looked_for_once_in_a_computed_text(spark):
     read = docs(spark, ["A&AMP;&amp;b", None]).select(D.referenced(F.lower("text")).alias("x"))
     assert read._jdf.queryExecution().optimizedPlan().toString().count("lower(text") == 1
     assert [r.x for r in read.collect()] == ["a&&b", None]
+
+
+def test_pages_of_one_row_group_are_dealt_to_all_cores(spark, sf):
+    from veilscan.jobs.queries import QUERIES
+    from veilscan.sources.tables import settings, spread
+
+    want = QUERIES["t1_t2_references"](spark, sf).collect()
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "8k"}):  # more splits than cores, one of which has all rows
+        assert spark.read.parquet(f"{sf}/pages.parquet").rdd.getNumPartitions() > 4
+        got = QUERIES["t1_t2_references"](spark, sf)
+        rows = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(rows) == len(want) and max(rows) <= len(want) / 4
+        assert sorted(got.collect()) == sorted(want)
+    none = spark.createDataFrame(spark.sparkContext.emptyRDD(), "a int")
+    assert none.rdd.getNumPartitions() == 0 and spread(none).count() == 0

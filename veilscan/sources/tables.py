@@ -34,9 +34,17 @@ def others(df: DataFrame, *gone: str) -> list[Column]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` dealt out evenly if its files give fewer tasks than there are cores, for work that costs more than the move; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """`df` dealt out evenly if its files give fewer tasks than there are cores, for work that costs more than the move; else as it is.
+
+    Spark cuts a file into splits, but a row group isn't cut: of the splits of a few files, those that have rows are
+    counted (from footers, no column is read). All splits tell how much there is: as many tasks, in whole rounds of
+    the cores, get the rows.
+    """
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    full = splits
+    if 0 < len(df.inputFiles()) < cores <= splits:  # a stream's batch names no files
+        full = df.select(F.spark_partition_id().alias("split")).distinct().count()
+    return df.repartition(cores * max(1, -(-splits // cores))) if full < cores else df
 
 
 def read_text_docs(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
