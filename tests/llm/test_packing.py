@@ -88,6 +88,33 @@ def test_words_of_odd_letters_give_the_ids_of_the_text(texts):
     assert [x.tolist() for x in encoder(50).batch(texts)] == [whole(t) for t in texts]
 
 
+def test_every_letter_in_either_case_and_with_marks_gives_the_ids_of_the_text():
+    letters = [c for c in map(chr, range(0x600)) if c.isalpha()]
+    texts = [f"{c} a{c}b {c.upper()}{c}... {c}a!?* ({c}) {c}'s {c}' {c}_$^`" for c in letters]
+    assert [x.tolist() for x in encoder(5_000).batch(texts)] == [whole(t) for t in texts]
+
+
+def test_letters_are_encoded_once_whatever_their_case_and_marks(monkeypatch):
+    given_, encode = [], packing.Encoder._encode
+    monkeypatch.setattr(packing.Encoder, "_encode", lambda self, words, *kind: given_.extend(words) or encode(self, words, *kind))
+    own = packing.Encoder(open(queries.tokenizer_path(), encoding="utf-8").read())
+    marks = ["", ".", "!!", "###", "&&&", "%%%", ".***", ",$$$"]
+    forms = [f(w) for w in ("thenation", "étionché", "größe") for f in (str.lower, str.capitalize, lambda w: w[:2] + w[2:].replace("ß", "s").upper())]
+    texts = [" ".join(f + m for f in forms) for m in marks]
+    assert [x.tolist() for x in own.batch(texts)] == [whole(t) for t in texts]
+    assert len(given_) <= 4 + len(marks)  # the words (one loses its ß) and the marks
+
+
+def test_nulls_white_space_and_slices():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "a", "\x1c\x1d a\x85b ", "\n\t\x0b\x0c\r", "x" * 70_000, None]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["left out", *texts, "left out"], kind).slice(1, len(texts))
+        assert [x.tolist() for x in encoder(1000).batch(column)] == [whole(t) for t in texts]
+    assert encoder(1000).batch([]) == []
+
+
 def test_triples_are_found():
     left = np.zeros(101, int)
     left[[60, 20, 15, 5]] = 1

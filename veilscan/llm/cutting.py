@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import map_batches, materialise, ranked, texts
+from veilscan.llm._common import map_batches, materialise, ranked
 from veilscan.llm.packing import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -233,7 +233,7 @@ def remainders(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int)
         own = encoder(tokenizer_json, end_id)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.batch(texts(batch["text"])), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.batch(batch["text"]), strict=True):
                 ids = ids.astype("<u4", copy=False)
                 whole = len(ids) // capacity * capacity
                 rest = ids[whole:].astype("<u2") if own.last.size <= 1 << 16 else ids[whole:]  # half the bytes where ids allow

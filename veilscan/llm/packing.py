@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import string
 import unicodedata
 import zlib
 from collections import Counter
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import WordIds, map_batches, materialise, texts
+from veilscan.llm._common import WordIds, map_batches, materialise
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,20 +44,36 @@ def only_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or (last := max(word)) <= "\xff" or last <= LAST_LETTER and unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+def kind_of(word: bytes) -> int:
+    """2: lower-case letters of Latin-1, 1: other letters, 0: other words."""
+    if word.isalpha() and word.islower():  # bytes: ASCII letters only
+        return 2
+    text = word.decode()
+    return 0 if not only_letters(text) else 2 if max(text) <= "\xff" and text == text.lower() else 1
+
+
+# Words of such letters, for Arrow; ASCII marks after them are a piece of their own.
+LETTERS = "^[" + "".join(c for c in map(chr, range(ord(LAST_LETTER) + 1)) if only_letters(c)) + "]+$"
+MARKS = string.punctuation
+
+
 class Encoder:
     """Token ids of texts, word by word, with a bounded memory of words.
 
     No token of this kind of vocabulary spans white space, so a text's ids are its words' ids in turn.
-    Letters and the full stops and commas after them are pieces of their own too, and ASCII letters are
-    lower-cased, so words that differ in these only are encoded once. That holds for words which stay
-    letters when they are normalised (`only_letters`); any other word is encoded whole. When the memory is
-    full, the words used most stay.
+    Letters and the ASCII marks after them are pieces of their own too, and letters are lower-cased, so
+    words that differ in these only are encoded once. That holds for words which stay letters when they are
+    normalised (`only_letters`); any other word is encoded whole. Arrow tells a batch's words apart, so each
+    is looked up once a batch. When the memory is full, the words used most stay.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int = 0, limit: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # The same model for lower-case letters of Latin-1, on which the normalizer and the expression of pieces do nothing.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that only end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -63,101 +81,99 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.words, self.cores = WordIds(), WordIds()
+        self.words = WordIds()
         self.words[b" end"] = 0  # no word has a space: this one stands for the end id
-        self.cores[b""] = 0  # a word without stops at its end
-        self.ids = [np.array([self.end_id], np.uint32)]  # joined when read
-        self.total = 1
-        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.uses = np.zeros(1, np.int64)
-        self.core_start, self.core_size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.words[b""] = 1  # no marks after a word
+        self.ids, self.total = np.array([self.end_id], np.uint32), 1
+        self.start, self.size, self.uses = np.zeros(2, np.int64), np.array([1, 0], np.int64), np.zeros(2, np.int64)
 
     def _forget(self) -> None:
         """Half of the words stay, those used most, and no more than half of the ids."""
         order = np.argsort(-self.uses, kind="stable")[: self.limit // 2]
         order = order[np.cumsum(self.size[order]) <= 4 * self.limit]
-        keep = np.union1d(order, [0])
-        names, known, start, size, uses = list(self.words), np.concatenate(self.ids), self.start[keep], self.size[keep], self.uses[keep]
+        keep = np.union1d(order, [0, 1])
+        names, known, start, size, uses = list(self.words), self.ids, self.start[keep], self.size[keep], self.uses[keep]
         self._reset()
         self.words.update(zip([names[i] for i in keep.tolist()], range(len(keep)), strict=True))
         after = np.cumsum(size)
-        self.ids = [known[np.repeat(start - after + size, size) + np.arange(after[-1])]]
-        self.total, self.start, self.size, self.uses = int(after[-1]), after - size, size, uses // 2
+        self.ids, self.total = spans(known, start, size), int(after[-1])
+        self.start, self.size, self.uses = after - size, size, uses // 2
 
-    def _encode(self, words: list[bytes], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: list[bytes], kind: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, ids of each). Words of letters go many to a call, told apart by the ids that end one."""
-        if letters:
-            text = b" ".join(words).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        if kind:
+            tokenizer = self.plain if kind == 2 else self.tokenizer
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(words) and ends[-1] == len(ids):
                 return ids, np.diff(ends, prepend=0)
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         return np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _learn_cores(self, known_letters: set[bytes]) -> None:
-        fresh, self.cores.fresh = self.cores.fresh, []
-        letters = np.fromiter((w.isalpha() or w in known_letters for w in fresh), bool, len(fresh))
-        start, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
-        for kind in (True, False):
-            which = np.flatnonzero(letters == kind)
+    def _learn(self) -> None:
+        """Ids of words met for the first time."""
+        fresh, self.words.fresh = self.words.fresh, []
+        kinds = np.fromiter(map(kind_of, fresh), np.int8, len(fresh))
+        start, size, parts = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), [self.ids[: self.total]]
+        for kind in range(3):
+            which = np.flatnonzero(kinds == kind)
             for some in np.array_split(which, -(-len(which) // 4000)) if len(which) else ():
                 ids, n = self._encode([fresh[i] for i in some.tolist()], kind)
                 start[some], size[some] = self.total + np.cumsum(n) - n, n
-                self.ids.append(ids)
+                parts.append(ids)
                 self.total += len(ids)
-        self.core_start, self.core_size = np.concatenate([self.core_start, start]), np.concatenate([self.core_size, size])
-
-    def _learn(self) -> None:
-        fresh, self.words.fresh = self.words.fresh, []
-        heads, tails, letters, core_of = [], [], set(), self.cores.__getitem__
-        for w in fresh:
-            core = w.rstrip(b".,")
-            if core.isalpha():  # bytes: ASCII letters only
-                heads.append(core_of(core if core.islower() else core.lower()))
-            elif core and only_letters(core.decode()):
-                letters.add(core)
-                heads.append(core_of(core))
-            else:
-                core = w
-                heads.append(core_of(w))
-            tails.append(core_of(w[len(core) :]))
-        self._learn_cores(letters)
-        head, tail = np.array(heads, np.int64), np.array(tails, np.int64)
-        known = np.concatenate(self.ids)
-        # A word's ids are its core's and its tail's, one after the other.
-        pieces = np.stack([head, tail], 1).ravel()
-        n = self.core_size[pieces]
-        after = np.cumsum(n)
-        ids = known[np.repeat(self.core_start[pieces] - after + n, n) + np.arange(after[-1])]
-        size = n.reshape(-1, 2).sum(1)
-        self.start = np.concatenate([self.start, self.total + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = [np.concatenate([known, ids])]
-        self.total += len(ids)
-
-    def batch(self, batch: list[str]) -> list[np.ndarray]:
+        self.ids = np.concatenate(parts)
+        self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+
+    def _known(self, words: pa.Array, uses: np.ndarray) -> np.ndarray:
+        """Each word's number in the memory, which notes how often it is used."""
+        own = words.dictionary_encode()
+        names = own.dictionary.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_numpy(False)
+        known = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))
+        if self.words.fresh:
+            self._learn()
+        at = own.indices.to_numpy()
+        self.uses[known] += np.bincount(at, uses, len(known)).astype(np.int64)
+        return known[at]
+
+    def _pieces(self, words: pa.Array, uses: np.ndarray) -> np.ndarray:
+        """(letters, marks after them) of each word, or (the word, nothing), by their numbers in the memory."""
+        bare = pc.ascii_rtrim(words, characters=MARKS)
+        letters = pc.match_substring_regex(bare, LETTERS)
+        heads = pc.if_else(letters, pc.utf8_lower(bare), words)
+        pieces = np.ones((len(words), 2), np.int64)
+        marked = np.flatnonzero(letters.to_numpy(False) & (pc.binary_length(bare).to_numpy() < pc.binary_length(words).to_numpy()))
+        pieces[:, 0] = self._known(heads, uses)
+        if len(marked):
+            some = pa.array(marked)
+            tails = [w[n:] for w, n in zip(words.take(some).to_numpy(False), pc.utf8_length(bare.take(some)).to_numpy(), strict=True)]
+            pieces[marked, 1] = self._known(pa.array(tails, words.type), uses[marked])
+        return pieces
+
+    def batch(self, batch: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
         if len(self.words) > self.limit or self.total > 8 * self.limit:
             self._forget()
-        get = self.words.__getitem__
-        parts = []
-        for text in batch:
-            words = text.encode().split()
-            words.append(b" end")
-            parts.append(np.fromiter(map(get, words), np.int64, len(words)))
-        if not parts:
+        if not len(batch):
             return []
-        if self.words.fresh:
-            self._learn()
-        at = np.concatenate(parts)
-        uses = np.bincount(at, minlength=len(self.words))
-        uses[: len(self.uses)] += self.uses
-        self.uses = uses
-        size = self.size[at]
-        after = np.cumsum(size)
-        ids = self.ids[0][np.repeat(self.start[at] - after + size, size) + np.arange(after[-1])]
-        return np.split(ids, after[np.cumsum([len(p) for p in parts]) - 1])[:-1]
+        split = pc.ascii_split_whitespace(batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string()))
+        words = split.flatten().dictionary_encode()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        at = np.insert(words.indices.to_numpy(), ends, len(words.dictionary))
+        pieces = np.concatenate([self._pieces(words.dictionary, np.bincount(at)[:-1]), [[0, 1]]])  # the end id stands last
+        # The ids of every word of the batch, a word's one piece after the other; then those of the texts.
+        n = self.size[pieces]
+        ids = spans(self.ids, self.start[pieces].ravel(), n.ravel())
+        n = n.sum(1)
+        found = spans(ids, (np.cumsum(n) - n)[at], n[at])
+        return np.split(found, np.cumsum(n[at])[ends + np.arange(len(ends))])[:-1]
+
+
+def spans(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each span, one after the other."""
+    after = np.cumsum(size)
+    return values[np.repeat(start - after + size, size) + np.arange(after[-1])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -176,7 +192,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, sequence_length: int = 20
         own = encoder(tokenizer_json, end_id)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.batch(texts(batch["text"])), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.batch(batch["text"]), strict=True):
                 for piece, start in enumerate(range(0, len(ids), sequence_length)):
                     part = ids[start : start + sequence_length]
                     out.append((doc_id, piece, start, len(part), zlib.crc32(part.astype("<u4").tobytes())))
