@@ -128,3 +128,19 @@ def test_heavy_shingles_are_cut_by_their_counts(spark):
         assert len(got) <= most and got == sorted(got)
         assert not got or min(times[t] for t in got) >= max((n for t, n in counts if t not in got), default=0)
     assert len(jaccard.Join(k=4, num=85, den=100).heavy(measured.limit(0))) == 0
+
+
+@pytest.mark.parametrize("group_tokens", [200_000, 12_000])
+def test_a_common_line_opens_no_group(spark, monkeypatch, group_tokens):
+    """Documents whose least shingle is of one common line are a group, but what shares a shingle with one of them isn't compared with all."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    line = [rng.choice(words) for _ in range(60)]
+    parts = [[rng.choice(words) for _ in range(12)] for _ in range(800)]
+    docs = [(i, " ".join([*line, *(rng.choice(words) for _ in range(300)), *parts[i // 2], *parts[i * 7 % 800], *parts[i * 11 % 800]])) for i in range(800)]
+    docs += [(1000 + i, f"{docs[i][1]} z{i}") for i in range(5)]
+    met, links = [], jaccard.Join.links
+    monkeypatch.setattr(jaccard.Join, "links", lambda self, docs, rows: (met.append(rows.count()), links(self, docs, rows))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.Join(group_tokens=group_tokens).run(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(docs, 5, 80, 100)
+    assert len(met) == 2 and met[1] < 50, met

@@ -2,7 +2,9 @@
 
 Documents with equal shingle sets are one class. Similar classes are put in groups (by the smallest
 mixed shingle hash, cut into chunks of bounded size) and compared within; what that links is a
-component, and a group's part in one component goes on as a group. The matrix has, for every such
+component, and a group's part in one component goes on as a group; those it has linked to nothing go on
+with those akin to them (of about one size, and with two more least shingles in common), so that documents
+which share a common line alone are asked one by one, not all at once. The matrix has, for every such
 group, the union of its members' prefix shingles (which shingle occurs in which group) and a folded
 histogram of the union of all their shingles. A query class meets the groups of other components that
 share a prefix shingle and have a fitting size; the histograms bound its overlap with any member, and
@@ -36,7 +38,9 @@ from veilscan.llm._words import word_hashes
 from veilscan.llm.components import components
 
 SETS = "doc_id long, n long, hi long, lo long, token long, times long"
-INDEXED = "doc_id long, n long, mkey long, prefix array<struct<token:long,position:int>>, sketch binary"
+INDEXED = "doc_id long, n long, mkey long, akin long, prefix array<struct<token:long,position:int>>, sketch binary"
+# Of the orders in which a set's least shingle is taken: for its group, and two for those that are akin in it.
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -128,8 +132,9 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, answers: n
     return edges
 
 
-# A group's members in one component are a part of it; those alone in theirs are a part together.
-PART = "xxhash64(gid, family IS NULL, family)"
+# A group's members in one component are a part of it. Of those alone in theirs, the ones of about one size that are
+# akin are a part together: most near copies are, documents that have no more than a line in common aren't.
+PART = "xxhash64(gid, family IS NULL, family, IF(family IS NULL, akin, NULL), IF(family IS NULL, FLOOR(LOG2(n) * 2), NULL))"
 
 
 class Join:
@@ -197,7 +202,7 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             late = shared.value
             for batch in batches:
-                cols: list[list] = [[] for _ in range(5)]
+                cols: list[list] = [[] for _ in range(6)]
                 for doc_id, s in zip(batch["doc_id"].to_pylist(), shingle_sets(texts(batch["text"]), k), strict=True):
                     if not len(s):
                         continue
@@ -207,16 +212,16 @@ class Join:
                         first = np.concatenate([s[~is_late], s[is_late]])[:p]
                     else:
                         first = s[:p]
-                    key = int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).min().view(np.int64))
-                    for c, x in zip(cols, (doc_id, len(s), key, first.view(np.int64), sketch(s).tobytes()), strict=True):
+                    key, *other = (mix64(s ^ np.uint64(seed)).min().view(np.int64) for seed in SEEDS)
+                    for c, x in zip(cols, (doc_id, len(s), int(key), int(other[0] ^ other[1]), first.view(np.int64), sketch(s).tobytes()), strict=True):
                         c.append(x)
-                flat = np.concatenate(cols[3]) if cols[3] else np.zeros(0, np.int64)
-                sizes = np.array([len(x) for x in cols[3]], np.int64)
+                flat = np.concatenate(cols[4]) if cols[4] else np.zeros(0, np.int64)
+                sizes = np.array([len(x) for x in cols[4]], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 position = np.arange(len(flat)) - np.repeat(offsets[:-1], sizes)
                 entry = pa.StructArray.from_arrays([pa.array(flat, pa.int64()), pa.array(position, pa.int32())], names=["token", "position"])
-                arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), entry), pa.array(cols[4], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "mkey", "prefix", "sketch"])
+                arrays = [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.ListArray.from_arrays(pa.array(offsets), entry), pa.array(cols[5], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "mkey", "akin", "prefix", "sketch"])
 
         return map_batches(docs, run, INDEXED)
 
@@ -248,13 +253,13 @@ class Join:
         out: they have been compared, or need no more links. Of two parts, the one of fewer members asks.
         """
         index_length = F.col("n") - F.ceil(F.lit(2 * self.num) * F.col("n") / F.lit(self.num + self.den)) + 1
-        rows = indexed.select("n", "gid", "comp", "family", (index_length + 1).alias("short"), F.explode("prefix").alias("entry"))
-        rows = rows.select(F.col("entry.token").alias("token"), "n", "gid", "comp", "family", F.when(F.col("entry.position") < F.col("short"), F.col("n")).alias("short_n"))
+        rows = indexed.select("n", "gid", "comp", "family", "sub", (index_length + 1).alias("short"), F.explode("prefix").alias("entry"))
+        rows = rows.select(F.col("entry.token").alias("token"), "n", "gid", "comp", "family", "sub", F.when(F.col("entry.position") < F.col("short"), F.col("n")).alias("short_n"))
         # Most shingles are in one component: these go first, by partial sums. What stays is small, and written.
         shared = materialise(rows.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("apart")).filter("apart").select("token"))
-        held = rows.drop("comp").join(shared, "token", "left_semi").groupBy("token", "gid", "family")
+        held = rows.drop("comp").join(shared, "token", "left_semi").groupBy("token", "gid", "family", "sub")
         held = held.agg(F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("short_n").alias("short_least"), F.max("short_n").alias("short_most"))
-        held = materialise(held.withColumn("sub", F.expr(PART)))
+        held = materialise(held)
         other = held.filter("short_least IS NOT NULL").select("token", *(F.col(c).alias(f"other_{c}") for c in ("gid", "family", "sub", "short_least", "short_most")))
         # The smaller of two similar sets shares a shingle of its shorter prefix.
         fits = (F.col("gid") != F.col("other_gid")) & F.coalesce(F.col("family") != F.col("other_family"), F.lit(True))
