@@ -144,3 +144,16 @@ def test_a_common_line_opens_no_group(spark, monkeypatch, group_tokens):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.Join(group_tokens=group_tokens).run(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute(docs, 5, 80, 100)
     assert len(met) == 2 and met[1] < 50, met
+
+
+def test_prefixes_are_not_kept(spark):
+    from pathlib import Path
+
+    from veilscan.sources.tables import scratch_dir
+
+    tables = lambda: {str(p) for p in Path(scratch_dir(spark).removeprefix("file://")).glob("veilscan-*")}
+    before, docs = tables(), [(i, " ".join(f"{i // 2}w{j}" for j in range(40)) + f" z{i}") for i in range(20)]
+    found = jaccard.Join().run(spark.createDataFrame(docs, "doc_id long, text string"))
+    held = {c for p in tables() - before for c in spark.read.parquet(p).columns}
+    assert "component_id" not in held and "prefix" not in held and "sketch" not in held
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i // 2 * 2 for i in range(20)}

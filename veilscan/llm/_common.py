@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.sources.tables import materialise, scratch_dir, table  # noqa: F401
+from veilscan.sources.tables import drop_scratch, materialise, scratch_dir, table  # noqa: F401
 
 # Words are maximal runs outside ASCII white space. bytes.split() has exactly these separators.
 WORD_RE = r"[^\x20\x09-\x0D]+"

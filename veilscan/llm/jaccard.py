@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm._common import groups, map_batches, materialise, mix64, texts
+from veilscan.llm._common import drop_scratch, groups, map_batches, materialise, mix64, texts
 from veilscan.llm._words import word_hashes
 from veilscan.llm.components import components
 
@@ -355,7 +355,8 @@ class Join:
         comps = members.join(first, members["doc_id"] == first["id"], "left").select("doc_id", "gid", F.coalesce("comp", "doc_id").alias("comp"))
         sizes = comps.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("gid", "comp", F.col("comp").alias("family"))
         comps = self.small(comps.join(self.small(sizes), ["gid", "comp"], "left").select("doc_id", "gid", "comp", "family"))
-        indexed = materialise(indexed.join(comps, ["doc_id", "gid"]).withColumn("sub", F.expr(PART)))
+        ungrouped, indexed = indexed, materialise(indexed.join(comps, ["doc_id", "gid"]).withColumn("sub", F.expr(PART)))
+        drop_scratch(ungrouped)  # prefixes and histograms, as large as nearly half the texts, are held once
         parts = indexed.select("doc_id", "n", "sub")
         met = materialise(self.candidates(indexed))
         opened = materialise(self.qualify(met, indexed))
@@ -364,6 +365,7 @@ class Join:
         asking = opened.join(salts, "sub").select("doc_id", F.col("sub").alias("gid"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), yes.alias("asks"), no.alias("answers"))
         answering = parts.join(salts, "sub").select("doc_id", F.col("sub").alias("gid"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), no.alias("asks"), yes.alias("answers"))
         far = self.links(docs, asking.unionByName(answering))
+        drop_scratch(indexed)
         far = far.join(first.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(first.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
         second = components(far.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         found = own.join(first, own["rep"] == first["id"], "left").select("doc_id", "n", F.coalesce("comp", "rep", "doc_id").alias("comp"))

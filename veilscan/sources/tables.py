@@ -139,6 +139,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(df: DataFrame) -> None:
+    """Deletes the written tables of this application that `df` reads; for those that no later step reads."""
+    spark, own = df.sparkSession, f"{SCRATCH}{df.sparkSession.sparkContext.applicationId}-"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.rpartition("/")[2].startswith(own):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Deletes what this application wrote to the shared folder; call it when no result that reads it is in use."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
